@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility
+from . import bpe, fertility, lines, ring, spaced
 from .tables import read, vocabulary
 
 
+#: Shards of op 4.
+SHARDS = 24
+
+
+def op4_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document on the bounded ring; the law is ``rows``."""
+    rows = ring.shard(read(spark, sf_dir, "documents"), SHARDS)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that holds a benchmark item, with its best overlap."""
+    return spaced.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept and removed of every document, and a digest of what is left."""
+    return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        F.col("__lines").alias("n_lines"),
+        F.col("__removed").alias("n_removed"),
+        F.octet_length("text").alias("n_bytes_left"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
     path = vocabulary("byte_bpe_50k.tiktoken")
@@ -37,7 +63,10 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_bounded_ring": op4_bounded_ring,
+        "op7_spaced_seeds": op7_spaced_seeds,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_line_winnowing": op9_line_winnowing,
         "op10_fertility_rules": op10_fertility_rules,
     }
 
