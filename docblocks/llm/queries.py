@@ -7,8 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, lines, ring, spaced
-from .tables import read, vocabulary
+from . import bpe, fertility, grammar, lines, pulearn, ring, spaced
+from .tables import read, remainder, vocabulary
+
+
+#: Rows whose crc32 of the id leaves this remainder by 4 are held out of the classifiers.
+HELD_OUT = 2
+
+
+def _verdict(scored: DataFrame, least: float) -> DataFrame:
+    held = F.coalesce(remainder("doc_id", 4) == HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by positive-unlabelled learning."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = remainder("doc_id", 4) != HELD_OUT
+    positives = read(spark, sf_dir, "labels").where(learn & (F.col("quality") == 1))
+    net = pulearn.train(docs, positives, docs.where(learn))
+    return _verdict(pulearn.score(docs, net), 0.7)
+
+
+def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the pattern grammar."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = grammar.train(docs, read(spark, sf_dir, "labels").where(remainder("doc_id", 4) != HELD_OUT))
+    return _verdict(grammar.score(docs, lexicon), 0.3)
 
 
 #: Shards of op 4.
@@ -63,7 +88,9 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pu_quality": op1_pu_quality,
         "op4_bounded_ring": op4_bounded_ring,
+        "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_spaced_seeds": op7_spaced_seeds,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_line_winnowing": op9_line_winnowing,
