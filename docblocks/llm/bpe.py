@@ -38,7 +38,9 @@ LONG_SUFFIXES = ("re", "ve", "ll")
 #: Longer slices are merged with a heap, one by one.
 LONG_SLICE = 48
 #: Slices that a worker keeps before it starts its cache anew.
-CACHE_SLICES = 1_500_000
+CACHE_SLICES = 400_000
+#: Text bytes encoded at once: the working arrays take about sixty times as much.
+ENCODE_BYTES = 1 << 20
 
 
 def _after(state: int, kind: int) -> int:
@@ -181,21 +183,36 @@ def slice_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at_byte[(rule == 1) | ((rule == 2) & solid_next)]
 
 
-class Ranks:
-    """A rank file: token bytes, pair ranks and pair merging."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ranks = ranks
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
+
+class Tokens:
+    """The bytes of every id, laid end to end: what decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.tokens = tokens
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes laid end to end, first byte of each text + total)."""
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return self.flat[ragged(self.begins[ids], lengths)], ends[cuts]
+
+
+class Ranks(Tokens):
+    """A rank file: token bytes, pair ranks and pair merging."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        super().__init__(ranks)
+        size = len(self.lengths)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.shift = size.bit_length()
         pairs: dict[int, int] = {}
@@ -358,6 +375,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_tokens: dict[str, Tokens] = {}
 
 
 def encoder(path: str) -> Encoder:
@@ -367,6 +385,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def tokens_of(path: str) -> Tokens:
+    if path not in _tokens:
+        _tokens[path] = Tokens(read_ranks(path))
+    return _tokens[path]
+
+
 def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     """A binary column over ``values``, cut at the given items."""
     at = (cuts * values.itemsize).astype(np.int32)
@@ -381,7 +405,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for first, end, data, at in chunks(batch.column(1)):
+            for first, end, data, at in chunks(batch.column(1), ENCODE_BYTES):
                 ids, cuts = enc.encode(data, at)
                 columns = [batch.column(0).slice(first, end - first), _binary(ids.astype("<u4"), cuts)]
                 if offsets:
@@ -400,16 +424,13 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     where = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = encoder(path).ranks
+        tokens = tokens_of(path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                raw = part.column(where).fill_null(b"")
-                cuts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in raw.to_pylist()], dtype=np.int64) // 4)])
-                ids = np.frombuffer(b"".join(raw.to_pylist()), dtype="<u4").astype(np.int64)
-                lengths = ranks.lengths[ids]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                text = ranks.flat[ragged(ranks.begins[ids], lengths)]
-                yield pa.RecordBatch.from_arrays([*part.columns, _binary(text, ends[cuts])], [*part.schema.names, "decoded"])
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                raw = [x or b"" for x in part.column(where).to_pylist()]
+                cuts = np.concatenate([[0], np.cumsum(np.array([len(x) for x in raw], dtype=np.int64) // 4)])
+                text, at = tokens.decode(np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64), cuts)
+                yield pa.RecordBatch.from_arrays([*part.columns, _binary(text, at)], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)
