@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, grammar, lines, pulearn, ring, spaced
+from . import bpe, fertility, grammar, lines, pulearn, ring, setsketch, spaced
 from .tables import read, remainder, vocabulary
 
 
@@ -29,6 +29,12 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(pulearn.score(docs, net), 0.7)
 
 
+def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = setsketch.groups(read(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the pattern grammar."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": op1_pu_quality,
+        "op2_setsketch": op2_setsketch,
         "op4_bounded_ring": op4_bounded_ring,
         "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_spaced_seeds": op7_spaced_seeds,
