@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, grammar, lines, pulearn, ring, setsketch, spaced
+from . import bpe, fertility, grammar, lattice, lines, pulearn, ring, setsketch, spaced
 from .tables import read, remainder, vocabulary
 
 
@@ -35,6 +35,13 @@ def op2_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text by the subword lattice, and by plain word counts."""
+    scored = lattice.score(read(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0, vocabulary("piece_bpe_32k.model"))
+    held = F.coalesce(remainder("doc_id", 10) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by the pattern grammar."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pu_quality": op1_pu_quality,
         "op2_setsketch": op2_setsketch,
         "op4_bounded_ring": op4_bounded_ring,
+        "op5_subword_lattice": op5_subword_lattice,
         "op6_toxicity_grammar": op6_toxicity_grammar,
         "op7_spaced_seeds": op7_spaced_seeds,
         "op8_byte_bpe": op8_byte_bpe,

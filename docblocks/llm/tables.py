@@ -33,10 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/docblocks-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, folder: str, name: str) -> DataFrame:
+def stored(frame: DataFrame, folder: str, name: str, codec: str = "snappy") -> DataFrame:
     """``frame`` written as Parquet under ``folder`` and read again: the lineage ends there."""
     spark, path = frame.sparkSession, f"{folder}/{name}"
-    frame.write.mode("overwrite").parquet(path)
+    frame.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
