@@ -1,9 +1,18 @@
-"""Queries of the document operators."""
+"""All queries of the document operators with their SQL."""
+
+from __future__ import annotations
+
+import importlib
+
+from docblocks.plans.registry import ORACLES, QUERIES
+
+for _name in ("text", "rules", "ordered", "tables", "readers", "watch"):
+    importlib.import_module(f"docblocks.plans.{_name}")
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
