@@ -1 +1,51 @@
-"""To come."""
+"""Queries of the page readers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docblocks.plans.registry import query, table
+from docblocks.sources import encoding, html
+
+
+@query("page_nodes")
+def q_nodes(spark, sf):
+    return html.nodes(table(spark, sf, "pages"), "page_id", "html").select("page_id", "node_id", "parent_id", "seq", "depth", "tag", "text")
+
+
+@query("page_paragraphs")
+def q_paragraphs(spark, sf):
+    return html.paragraphs(table(spark, sf, "pages"), "page_id", "html").withColumn("class", html.block_class(F.col("tag")))
+
+
+@query("page_runs")
+def q_runs(spark, sf):
+    found = html.inherited_emphasis(html.nodes(table(spark, sf, "pages"), "page_id", "html"), "page_id")
+    return html.merged_runs(found, "page_id", "node_id", ["bold", "italic", "strike", "underline"])
+
+
+@query("page_tags", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]')) AS h1, len(regexp_extract_all(html, '(?i)<li[ >]')) AS li, len(regexp_extract_all(html, '(?i)<a[ >]')) AS a FROM pages""")
+def q_tags(spark, sf):
+    count = lambda tag: F.count_if(F.col("tag") == tag).alias(tag)
+    return html.nodes(table(spark, sf, "pages"), "page_id", "html").groupBy("page_id").agg(count("h1"), count("li"), count("a"))
+
+
+@query("declared_charset", r"""SELECT page_id, lower(regexp_extract(substr(html, 1, 4096), '(?i)<meta[^>]+charset\s*=\s*["'']?\s*([A-Za-z0-9_.:-]+)', 1)) AS charset FROM pages""")
+def q_charset(spark, sf):
+    return table(spark, sf, "pages").select("page_id", encoding.declared_charset(F.col("html")).alias("charset"))
+
+
+@query("decoded_pages", "SELECT page_id, html AS text FROM pages")
+def q_decoded(spark, sf):
+    return table(spark, sf, "pages").select("page_id", encoding.decoded(F.col("html").cast("binary"), html=True)["text"].alias("text"))
+
+
+@query("page_boilerplate", r"""SELECT page_id, count(*) AS dropped FROM (SELECT page_id, unnest(string_split(html, '<')) AS t FROM pages) x WHERE regexp_matches(t, '(?i)cookie|subscribe|rights reserved') GROUP BY 1""")
+def q_boilerplate(spark, sf):
+    parts = table(spark, sf, "pages").select("page_id", F.explode(F.split("html", "<")).alias("t"))
+    return parts.where(F.col("t").rlike("(?i)cookie|subscribe|rights reserved")).groupBy("page_id").agg(F.count("*").alias("dropped"))
+
+
+@query("page_producers", r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)(urn:schemas-microsoft-com:office|class="?Mso|<meta[^>]+Microsoft Word)') THEN 'word' WHEN regexp_matches(html, '(?i)<body[^>]+class="[^"]*\bdoc-content\b') THEN 'google' END AS producer FROM pages""")
+def q_producers(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html.producer(F.col("html")).alias("producer"))
