@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, grammar, lattice, lines, pulearn, ring, setsketch, spaced
+from . import bpe, fertility, grammar, lattice, lines, pulearn, ring, setsketch, spaced, suffixes
 from .tables import read, remainder, vocabulary
 
 
@@ -49,6 +49,12 @@ def op6_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdict(grammar.score(docs, lexicon), 0.3)
 
 
+def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that long repeats cover, and a digest of the others."""
+    found = suffixes.dedup(read(spark, sf_dir, "documents"), text_out=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: Shards of op 4.
 SHARDS = 24
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": op1_pu_quality,
         "op2_setsketch": op2_setsketch,
+        "op3_suffix_levels": op3_suffix_levels,
         "op4_bounded_ring": op4_bounded_ring,
         "op5_subword_lattice": op5_subword_lattice,
         "op6_toxicity_grammar": op6_toxicity_grammar,
