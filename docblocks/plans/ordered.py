@@ -120,9 +120,9 @@ def q_regroup(spark, sf):
 
 
 @query("list_counters", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(coalesce(last_value(CASE WHEN e IS NOT NULL THEN e - n END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY n), 0) + n AS INTEGER) AS number FROM
- (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN CAST(l_suppkey % 50 AS INTEGER) END AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) AS n FROM lineitem) x""")
+ (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 5 = 0 THEN CAST(l_suppkey % 50 AS INTEGER) END AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) AS n FROM lineitem) x""")
 def q_list_counters(spark, sf):
-    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 5 == 0, (F.col("l_suppkey") % 50).cast("int")).alias("e"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("p"))
+    t = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_partkey") % 5 == 0, (F.col("l_suppkey") % 50).cast("int")).alias("e"), ((F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")) * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("long")).alias("p"))
     return O.list_counter(t, "l_orderkey", "p", "e").select("l_orderkey", "l_linenumber", "l_partkey", "number")
 
 

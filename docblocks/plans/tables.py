@@ -8,7 +8,8 @@ from docblocks.operators import tables as B
 from docblocks.operators import validate
 from docblocks.plans.registry import query, table
 
-_POS = "l_linenumber * 1000000 + l_partkey * 100 + l_suppkey"
+#: A place of its own for every row.
+_POS = "(l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 
 def cells(spark, sf):
