@@ -191,6 +191,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
+    positive, unlabelled = rng.permutation(positive), rng.permutation(unlabelled)
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-3
     z = lambda x: np.clip((x - mean) / scale, -8, 8)
@@ -202,7 +203,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 7) -> Network:
     guesses = []
     for fold in (0, 1):  # judged on the other half, so that what is learnt by heart doesn't count
         first = fresh()
-        _train(first, EPOCHS // 4, _Against(p[fold::2], u[fold::2]))
+        _train(first, EPOCHS // 2, _Against(p[fold::2], u[fold::2]))
         other = 1 - fold
         if len(p) > 1 and len(u) > 1:
             guesses.append(estimate_prior(first.logit(positive[other::2]), first.logit(unlabelled[other::2])))

@@ -28,17 +28,16 @@ rows; further columns are not looked at.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U64, chunks, prefix_sums, ragged, span_hashes
-from .tables import discard, shared_folder, stored
+from .tables import discard, release, shared_folder, stored
 
 SPAN = 200
 GRAM = 64
@@ -274,12 +273,6 @@ def _edge_rows(edges: list, first: str) -> list[tuple]:
     return out
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of tables that are no longer used."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame:
     """(tkey, runs) for the texts of (id, tkey, text) that hold repeats: runs (start, end) of bytes.
 
@@ -291,23 +284,23 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
     place = F.xxhash64("tkey", "pos")
     twice = marks.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select(F.col("gram").alias("g"))
     twice = stored(twice, folder, "grams")
-    _release(spark)
+    release(spark)
     chosen = marks.join(twice, F.col("gram") == F.col("g")).groupBy("tkey").agg(F.collect_set("pos").alias("at"))
     chosen = stored(chosen, folder, "chosen", "zstd")
     discard(spark, f"{folder}/samples")
     discard(spark, f"{folder}/grams")
-    _release(spark)
+    release(spark)
     wanted = chosen.join(copies.select("tkey", "rep"), "tkey").withColumnRenamed("tkey", "k")
     texts = docs.join(wanted, (F.col("tkey") == F.col("k")) & F.col("id").eqNullSafe(F.col("rep"))).select("tkey", "text", "at")
     records = stored(_contexts(texts), folder, "contexts", "zstd")
     discard(spark, f"{folder}/chosen")
-    _release(spark)
+    release(spark)
 
     counted = records.groupBy("ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     counted = stored(counted.select(F.col("ctx").alias("c"), "lo", (F.col("lo") != F.col("hi")).alias("multi")), folder, "counted")
     entries = records.withColumn("p", place).join(counted, F.col("ctx") == F.col("c")).where("p = lo").select("ctx", "gram", "before", "after", "multi").dropDuplicates(["ctx"])
     entries = stored(entries, folder, "entries", "zstd")
-    _release(spark)
+    release(spark)
 
     found = []
     for first, second in (("after", "before"), ("before", "after")):
@@ -316,7 +309,7 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
         more = spark.createDataFrame(_edge_rows(edges, first), "ctx long, lo int, hi int, one int")
         both = scan.where("edge is null").drop("edge").unionByName(more)
         found.append(both.withColumn("side", F.lit(first)))
-        _release(spark)
+        release(spark)
     every = found[0].unionByName(found[1])
     bounds = every.groupBy("ctx").agg(
         F.max(F.when(F.col("side") == "after", F.col("one"))).alias("right"),
@@ -343,7 +336,7 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
     shown = bounds.select("ctx", F.explode("cover").alias("s"))
     cover = stored(multi.unionByName(shown).unionByName(settled).groupBy("ctx").agg(F.collect_set("s").alias("s")), folder, "cover")
     discard(spark, f"{folder}/entries")
-    _release(spark)
+    release(spark)
     at = records.select("ctx", "tkey", "pos").join(cover.withColumnRenamed("ctx", "c"), F.col("ctx") == F.col("c")).select("tkey", F.explode("s").alias("s"), "pos")
     run = F.struct((F.col("pos") - F.col("s.hi")).alias("start"), (F.col("pos") - F.col("s.lo") + SPAN).alias("end"))
     return at.select("tkey", run.alias("r")).groupBy("tkey").agg(F.collect_set("r").alias("runs"))

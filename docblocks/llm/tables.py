@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that are no longer used."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remainder(id_col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
