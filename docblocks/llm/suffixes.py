@@ -211,6 +211,17 @@ class SuffixLevels:
         return [min(edges, key=lambda e: e[1]), max(edges, key=lambda e: e[1])] if edges else []
 
 
+def _united(who: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals of every entry with those that meet made one."""
+    order = np.lexsort((lo, who))
+    who, lo, hi = who[order], lo[order], hi[order]
+    step = 1 << 20
+    far = np.maximum.accumulate(hi + who * step)
+    opens = np.append(True, lo[1:] + who[1:] * step > far[:-1] + 1)
+    begins = np.flatnonzero(opens)
+    return who[begins], lo[begins], np.maximum.reduceat(hi, begins)
+
+
 _SCAN = "ctx long, lo int, hi int, one int, edge binary"
 
 
@@ -243,8 +254,7 @@ def _scan(entries: DataFrame, first: str, second: str) -> DataFrame:
         if family.found:
             who, one, two = (np.concatenate(x) for x in zip(*family.found, strict=True))
             after, before = (one, two) if first == "after" else (two, one)
-            triple = np.unique(np.column_stack([who, reach - after, before]), axis=0)
-            yield out(triple[:, 0], triple[:, 1], triple[:, 2], None)
+            yield out(*_united(who, reach - after, before), None)
         edges = family.ends()
         yield out(np.array([i for i, _ in edges]), None, None, None, [e for _, e in edges])
 
@@ -300,6 +310,9 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
     counted = stored(counted.select(F.col("ctx").alias("c"), "lo", (F.col("lo") != F.col("hi")).alias("multi")), folder, "counted")
     entries = records.withColumn("p", place).join(counted, F.col("ctx") == F.col("c")).where("p = lo").select("ctx", "gram", "before", "after", "multi").dropDuplicates(["ctx"])
     entries = stored(entries, folder, "entries", "zstd")
+    places = stored(records.select("ctx", "tkey", "pos"), folder, "places", "zstd")
+    discard(spark, f"{folder}/contexts")
+    discard(spark, f"{folder}/counted")
     release(spark)
 
     found = []
@@ -335,9 +348,10 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
     multi = entries.where("multi").select("ctx", whole.alias("s")).where("s.lo <= s.hi")
     shown = bounds.select("ctx", F.explode("cover").alias("s"))
     cover = stored(multi.unionByName(shown).unionByName(settled).groupBy("ctx").agg(F.collect_set("s").alias("s")), folder, "cover")
-    discard(spark, f"{folder}/entries")
+    for name in ("entries", "scan-after", "scan-before", "bounds", "left"):
+        discard(spark, f"{folder}/{name}")
     release(spark)
-    at = records.select("ctx", "tkey", "pos").join(cover.withColumnRenamed("ctx", "c"), F.col("ctx") == F.col("c")).select("tkey", F.explode("s").alias("s"), "pos")
+    at = places.join(cover.withColumnRenamed("ctx", "c"), F.col("ctx") == F.col("c")).select("tkey", F.explode("s").alias("s"), "pos")
     run = F.struct((F.col("pos") - F.col("s.hi")).alias("start"), (F.col("pos") - F.col("s.lo") + SPAN).alias("end"))
     return at.select("tkey", run.alias("r")).groupBy("tkey").agg(F.collect_set("r").alias("runs"))
 
