@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fertility, grammar, lattice, lines, pulearn, ring, setsketch, spaced, suffixes
+from .oracles import ORACLES
 from .tables import read, remainder, vocabulary
 
 
@@ -121,4 +122,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
