@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import chunks, ragged
+from .bytesets import chunks, held, ragged
 
 # Character classes. A letter may end a contraction after an apostrophe ('s) or open one of two letters ('re).
 LETTER, SHORT, OPENS, NUMBER, OTHER, QUOTE, BLANK, SPACE, BREAK = range(9)
@@ -38,7 +38,7 @@ LONG_SUFFIXES = ("re", "ve", "ll")
 #: Longer slices are merged with a heap, one by one.
 LONG_SLICE = 48
 #: Slices that a worker keeps before it starts its cache anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 300_000
 #: Text bytes encoded at once: the working arrays take about sixty times as much.
 ENCODE_BYTES = 1 << 20
 
@@ -221,7 +221,6 @@ class Ranks(Tokens):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << self.shift | right] = rank
-        self.pairs = pairs
         self.bits = max(10, (4 * len(pairs)).bit_length())
         self.slot_key = np.full(1 << self.bits, -1, dtype=np.int64)
         self.slot_rank = np.full(1 << self.bits, self.NONE, dtype=np.int64)
@@ -257,6 +256,15 @@ class Ranks(Tokens):
             open_ = open_[~hit & (seen >= 0)]
         return out
 
+    def _rank(self, key: int) -> int | None:
+        """Rank of one pair, None if it doesn't merge."""
+        at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - self.bits)
+        while (seen := int(self.slot_key[at])) >= 0:
+            if seen == key:
+                return int(self.slot_rank[at])
+            at = (at + 1) & ((1 << self.bits) - 1)
+        return None
+
     def merge_all(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids laid end to end, ids of each slice): in each round, the leftmost pair of the lowest rank of every slice that has one."""
         sizes = np.fromiter(map(len, slices), dtype=np.int64, count=len(slices))
@@ -303,7 +311,7 @@ class Ranks(Tokens):
         ids = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        get, shift = self.pairs.get, self.shift
+        get, shift = self._rank, self.shift
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << shift | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
@@ -374,21 +382,23 @@ class Encoder:
         return ids, before[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
-_tokens: dict[str, Tokens] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    own = held("bpe")
+    if ("encoder", path) not in own:
+        own.clear()
+        own["encoder", path] = Encoder(path)
+    return own["encoder", path]
 
 
 def tokens_of(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(read_ranks(path))
-    return _tokens[path]
+    """Token bytes: an encoder's, if the worker has one."""
+    own = held("bpe")
+    if ("encoder", path) in own:
+        return own["encoder", path].ranks
+    if ("tokens", path) not in own:
+        own["tokens", path] = Tokens(read_ranks(path))
+    return own["tokens", path]
 
 
 def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:

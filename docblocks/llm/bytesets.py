@@ -21,6 +21,16 @@ U64 = np.uint64
 #: Text bytes handled by one vectorised call; a longer text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 
+_held: dict[str, dict] = {}
+
+
+def held(group: str) -> dict:
+    """What a worker keeps for one group of tables and caches; another group's are let go, as workers serve many stages."""
+    for other in [g for g in _held if g != group]:
+        del _held[other]
+    return _held.setdefault(group, {})
+
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
 #: A random odd value for each byte, one for the base of the polynomial and its inverse mod 2**64.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

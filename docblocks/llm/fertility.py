@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import IS_SPACE, U64, Words, chunks, gram_hashes, mix, ragged, repeats, span_hashes, sums_by_row
+from .bytesets import IS_SPACE, U64, Words, chunks, gram_hashes, held, mix, ragged, repeats, span_hashes, sums_by_row
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Words whose tokens a worker keeps before it starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 400_000
 WINDOW = 8
 
 
@@ -115,13 +115,12 @@ class Pieces:
         return self.flat[ragged(self.begins[entry], lengths)], lengths
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    """One for each worker and file."""
+    own = held("fertility")
+    if path not in own:
+        own[path] = Pieces(path)
+    return own[path]
 
 
 def _measure(data: np.ndarray, offsets: np.ndarray, model: Pieces) -> dict[str, np.ndarray]:
