@@ -11,10 +11,10 @@ union are the maxima of registers, and they agree more often the more similar tw
    bucket the least class is the pivot, and each class keeps the pivot of greatest similarity, as
    estimated jointly from both registers by maximum likelihood.
 3. Candidates are verified on their full sets, and links give connected components.
-4. Classes of a bucket that are not in its main component meet all others of the bucket, in blocks:
-   registers are compared block by block, pairs of other components that the likelihood doesn't rule
-   out are verified, and components are computed again. So no pair that shares a band is left out
-   unless it is inside one component already, and no bucket is paired with itself.
+4. Classes of a bucket that are not in its main component meet all that share a bucket of that
+   component, block against block on their full sets, and components are computed again. A block
+   pair gives at most as many links as it has classes, so no bucket is written out as pairs, and no
+   pair that shares a band is left out unless it is inside one component already.
 
 A pair at the threshold is missed with probability (1 - 0.75**3)**24, about 2 in a million.
 
@@ -46,7 +46,7 @@ RATE = 20.0
 LEVELS = 2**16 - 2
 #: A candidate goes on while the likelihood at the threshold is at least exp(-SLACK) of the greatest.
 SLACK = 12.0
-#: Classes compared with all others of their bucket at once.
+#: Classes of a block.
 BLOCK = 256
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
@@ -207,36 +207,72 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
     return rows.mapInArrow(run, "sig binary, set array<long>")
 
 
-def _blocked(members: DataFrame, name: str) -> DataFrame:
-    """(band, name): the rows of every band in lists of about BLOCK, dealt by a hash of the class."""
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).withColumnRenamed("band", "k")
-    dealt = members.join(counts, F.col("band") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")))
-    return dealt.groupBy("band", "part").agg(F.collect_list(F.struct("sig", "root", "n", "regs")).alias(name)).drop("part")
+def _blocked(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(main, name): the classes of every main component's buckets with their sets, in lists of about BLOCK, dealt by a hash."""
+    counts = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).withColumnRenamed("main", "k")
+    dealt = members.join(counts, F.col("main") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts"))).drop("k", "parts")
+    full = dealt.join(sets.withColumnRenamed("sig", "g"), F.col("sig") == F.col("g"))
+    return full.groupBy("main", "part").agg(F.collect_list(F.struct("sig", "root", "set")).alias(name)).drop("part")
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components, one of them not the bucket's main one, that may be similar enough."""
-    blocks = _blocked(members, "mine").join(_blocked(members.where("root != main"), "strays"), "band").select("mine", "strays")
-    least_equal = int(REGISTERS * threshold - 7 * np.sqrt(REGISTERS * threshold * (1 - threshold)))
+def _block_links(mine: pa.StructArray, theirs: pa.StructArray, similarity: tuple[int, int]) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks that join what isn't joined yet: at most one less than there are classes."""
+    num, den = similarity
+
+    def unpack(rows: pa.StructArray) -> tuple[list, list, np.ndarray, np.ndarray]:
+        lists = rows.field("set")
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        sizes = np.diff(lists.offsets.to_numpy(zero_copy_only=False))
+        return rows.field("sig").to_pylist(), rows.field("root").to_pylist(), sizes, flat
+
+    sig, root, n, x = unpack(mine)
+    other, their_root, m, y = unpack(theirs)
+    common = np.intersect1d(x, y)
+    shared = np.zeros((len(sig), len(other)), dtype=np.float32)
+    row_x, row_y = np.repeat(np.arange(len(sig)), n), np.repeat(np.arange(len(other)), m)
+    for low in range(0, len(common), 16_384):
+        part = common[low : low + 16_384]
+        sides = []
+        for rows, values, count in ((row_x, x, len(sig)), (row_y, y, len(other))):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            side = np.zeros((count, len(part)), dtype=np.float32)
+            side[rows[hit], at[hit]] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    both = np.rint(shared).astype(np.int64)
+    linked = den * both >= num * (n[:, None] + m[None, :] - both)
+    parent: dict[bytes, bytes] = {}
+
+    def find(v: bytes) -> bytes:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(root[i]), find(their_root[j])
+        if a != b:
+            parent[a] = b
+            out.append((sig[i], other[j]))
+    return out
+
+
+def _cross_links(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between different components that meet in a bucket.
 
-    def unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        regs = np.frombuffer(b"".join(r["regs"] for r in rows), dtype=np.uint16).reshape(-1, REGISTERS)
-        return np.array([r["sig"] for r in rows], dtype=object), np.array([r["root"] for r in rows], dtype=object), np.array([r["n"] for r in rows], dtype=float), regs
+    The classes that aren't in their bucket's main component are compared, on their full sets, with
+    all that share a bucket of that component: block against block, by a matrix product.
+    """
+    everyone = open_.select("main", "sig", "root").distinct()
+    blocks = _blocked(everyone, sets, "mine").join(_blocked(everyone.where("root != main"), sets, "strays"), "main").select("mine", "strays")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sig, root, n, regs = unpack(batch.column(0)[i].as_py())
-                other, their_root, m, their = unpack(batch.column(1)[i].as_py())
-                left, right = [], []
-                for j in range(len(other)):
-                    may = (regs == their[j]).sum(1) >= least_equal
-                    at = np.flatnonzero(may & (root != their_root[j]))
-                    if len(at):
-                        _, ok = estimate(regs[at], np.broadcast_to(their[j], (len(at), REGISTERS)), n[at], np.full(len(at), m[j]), threshold)
-                        for s in sig[at[ok]].tolist():
-                            left.append(min(s, other[j])), right.append(max(s, other[j]))
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+                found = _block_links(batch.column(0)[i].values, batch.column(1)[i].values, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return blocks.mapInArrow(run, "a binary, b binary")
 
@@ -271,17 +307,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select(F.col("band").alias("k"), F.col("m.root").alias("main"))
     main = stored(main, folder, "main")
-    open_ = placed.join(main, F.col("band") == F.col("k")).join(side, "sig").select("band", "sig", "root", "n", "regs", "main")
-    open_ = stored(open_, folder, "open")
-    more = stored(_cross_pairs(open_, threshold).distinct(), folder, "more")
-    links = stored(links.union(_verified(more, sets, similarity)), folder, "links-2")
+    open_ = placed.join(main, F.col("band") == F.col("k")).select("sig", "root", "main")
+    links = stored(links.union(_cross_links(open_, sets, similarity)), folder, "links-2")
     roots = stored(components(links, folder), folder, "roots-2")
 
     named = classes.select("sig", "doc").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("doc").alias("least"))
     least = stored(least, folder, "least")
     named = stored(named.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "least"), folder, "named")
-    for name in ("bands", "members", "sets", "classes", "open", "placed"):
+    for name in ("members", "sets", "classes", "placed"):
         discard(spark, f"{folder}/{name}")
     full = rows.select("id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
     out = full.join(named, F.col("sig") == F.col("s"), "left")
