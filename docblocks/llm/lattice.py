@@ -270,7 +270,8 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
         # a word's end among all symbols: one for each word, against the expected pieces
         stop = kinds / (kinds + float(uses.sum())) if kinds else stop
     logp = log_p(pieces, uses, stop)
-    ends = texts / n_train if n_train else 0.5
+    ends = texts / n_train if kinds else 0.5  # texts without a word say nothing of words
+    fresh, other = float(np.log(new) + np.log(stop)), float(np.log1p(-ends))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces_of(path)
@@ -278,9 +279,10 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
             for low in range(0, batch.num_rows, 20_000):
                 part = batch.slice(low, 20_000)
                 n = part.column(1).to_numpy().astype(float)
-                lattice = np.exp(word_log_probs(own, logp, part.column(0).to_pylist())) * stop
-                p = (1 - ends) * ((1 - new) * n / words + new * lattice)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.log10(np.maximum(p, 1e-300)))], ["w", "n", "lm"])
+                whole = np.full(len(n), -np.inf)
+                np.log((1 - new) * n / words, out=whole, where=n > 0)
+                lm = np.logaddexp(whole, fresh + word_log_probs(own, logp, part.column(0).to_pylist())) + other
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lm / np.log(10))], ["w", "n", "lm"])
 
     weighed = stored(every.mapInArrow(weigh, "w binary, n long, lm double"), folder, "weighed", "zstd")
     discard(spark, f"{folder}/counts")
@@ -325,7 +327,7 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
                         pa.array(sums[2].astype(np.int64) + known_end),
                         pa.array(np.full(rows, n_train, dtype=np.int64)),
                         pa.array(sums[0] + end_base),
-                        pa.array(sums[1] + float(np.log10(max(ends, 1e-300)))),
+                        pa.array(sums[1] + float(np.log10(ends))),
                     ],
                     ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

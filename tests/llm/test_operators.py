@@ -366,6 +366,18 @@ def test_scores_of_texts(docs, empty):
     assert lattice.score(empty, learn, path).count() == 0
 
 
+def test_long_unseen_words_stay_in_log_space(spark):
+    """Twice the bytes of an unseen word are about twice the score, without a floor; so for training texts without words."""
+    long = {1: "qzx7" * 900, 2: "qzx7" * 1800}
+    texts = [(0, prose(400)), *long.items()]
+    for known in (texts, [(0, ""), *texts[1:]]):
+        rows = spark.createDataFrame(known, "doc_id long, text string")
+        got = {r["doc_id"]: r["score"] for r in lattice.score(rows, F.col("doc_id") == 0, vocabulary("piece_bpe_32k.model")).collect()}
+        assert got[1] < -3000
+        assert got[2] / got[1] == pytest.approx(2, rel=0.02)
+        assert all(map(math.isfinite, got.values()))
+
+
 # 7
 
 
