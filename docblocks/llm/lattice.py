@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from .bytesets import Words, chunks, held, prefix_sums, ragged, span_hashes
 from .tables import discard, release, shared_folder, stored
 
-#: Longest piece in bytes that the lattice uses.
-LONGEST = 12
+#: A vocabulary with a piece of more bytes is refused, as stretches carry values over a piece's length only.
+LONGEST = 1 << 10
 #: Weight of the vocabulary's own distribution, in expected uses.
 PRIOR_WEIGHT = 2000.0
-#: Longer words are scored in stretches of so many bytes.
-STRETCH = 64
+#: Longer words are worked through in stretches of so many bytes; no segmentation is lost at their borders.
+STRETCH = 1 << 14
+#: Bytes of the words of one lattice.
+LATTICE_BYTES = 1 << 18
 #: Text bytes of a block.
 BLOCK_BYTES = 12 << 20
 SMOOTH = 0.1
@@ -60,11 +62,15 @@ class Pieces:
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
                 continue
             piece = model.id_to_piece(i).replace("▁", "").lower().encode()
-            if 0 < len(piece) <= LONGEST:
+            if piece:
                 found[piece] = max(found.get(piece, -np.inf), model.get_score(i))
         for b in range(256):
             found.setdefault(bytes([b]), -1e6)
         pieces = sorted(found, key=lambda p: (-found[p], p))
+        self.lengths = sorted({len(p) for p in pieces})
+        self.longest = self.lengths[-1]
+        if self.longest > LONGEST:
+            raise ValueError(f"{path}: a piece has {self.longest} bytes, more than {LONGEST}")
         data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         hashes = span_hashes(prefix_sums(data), ends - np.array([len(p) for p in pieces]), ends)
@@ -95,52 +101,58 @@ def log_p(pieces: Pieces, uses: np.ndarray | None, stop: float) -> np.ndarray:
 
 
 class Lattice:
-    """All pieces in some words: the arcs (word, from, to, piece), by their end."""
+    """All pieces that start in some stretches: arcs (from, to, piece) by the level of their end.
 
-    def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    A stretch is bytes starts to ends of a word that goes on to ``limits``; its nodes are the places 0 to
+    ends - starts and those beyond that its last pieces reach, ``more`` of them.
+    """
+
+    def __init__(self, pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limits: np.ndarray | None = None):
         sums = prefix_sums(data)
+        limits = ends if limits is None else limits
         self.length = ends - starts
+        self.more = np.minimum(limits - ends, pieces.longest - 1)
         self.n = len(starts)
-        self.base = np.concatenate([[0], np.cumsum(self.length + 1)])  # node 0 of each word
+        self.base = np.concatenate([[0], np.cumsum(self.length + self.more + 1)])  # node 0 of each stretch
         word = np.repeat(np.arange(self.n), self.length)
         place = ragged(np.zeros(self.n, np.int64), self.length)
-        at = starts[word] + place
-        source, target, piece = [], [], []
-        for k in range(1, LONGEST + 1):
-            fits = np.flatnonzero(place + k <= self.length[word])
+        at, left = starts[word] + place, (limits - starts)[word] - place
+        node = self.base[word] + place
+        source, piece, size = [], [], []
+        for k in pieces.lengths:
+            fits = np.flatnonzero(left >= k)
             if not len(fits):
                 break
             found = pieces.find(span_hashes(sums, at[fits], at[fits] + k))
             hit = found >= 0
-            fits, found = fits[hit], found[hit]
-            node = self.base[word[fits]] + place[fits]
-            source.append(node), target.append(node + k), piece.append(found)
-        self.source = np.concatenate(source) if source else np.zeros(0, np.int64)
-        self.target = np.concatenate(target) if target else np.zeros(0, np.int64)
+            source.append(fits[hit]), piece.append(found[hit]), size.append(np.full(int(hit.sum()), k))
+        which = np.concatenate(source) if source else np.zeros(0, np.int64)
         self.piece = np.concatenate(piece) if piece else np.zeros(0, np.int64)
-        self.place = np.concatenate([place, self.length])  # unused beyond sorting
-        level = self.target - self.base[np.searchsorted(self.base, self.target, side="right") - 1]
-        order = np.argsort(level, kind="stable")
-        self.source, self.target, self.piece, level = self.source[order], self.target[order], self.piece[order], level[order]
-        self.cuts = np.searchsorted(level, np.arange(1, (int(level.max()) if len(level) else 0) + 2))
-
-    def forward(self, logp: np.ndarray) -> np.ndarray:
-        """Log of the summed probability of all paths to each node."""
-        a = np.full(self.base[-1], -np.inf)
-        a[self.base[:-1]] = 0.0
+        sizes = np.concatenate(size) if size else np.zeros(0, np.int64)
+        self.source, self.owner, self.level = node[which], word[which], place[which]
+        self.target = self.source + sizes
+        reach = self.level + sizes
+        order = np.lexsort((self.target, reach))
+        self.source, self.target, self.piece, self.owner, self.level = (x[order] for x in (self.source, self.target, self.piece, self.owner, self.level))
+        self.cuts = np.flatnonzero(np.diff(reach[order], prepend=-1, append=-1))
+
+    def forward(self, logp: np.ndarray, carried: np.ndarray | None = None) -> np.ndarray:
+        """Log of the summed probability of all paths to each node; ``carried`` has a start for each node."""
+        a = np.full(self.base[-1], -np.inf) if carried is None else carried.copy()
+        if carried is None:
+            a[self.base[:-1]] = 0.0
         for low, high in zip(self.cuts[:-1], self.cuts[1:], strict=True):
-            if high > low:
-                np.logaddexp.at(a, self.target[low:high], a[self.source[low:high]] + logp[self.piece[low:high]])
+            np.logaddexp.at(a, self.target[low:high], a[self.source[low:high]] + logp[self.piece[low:high]])
         return a
 
-    def backward(self, logp: np.ndarray) -> np.ndarray:
+    def backward(self, logp: np.ndarray, carried: np.ndarray | None = None) -> np.ndarray:
         """Log of the summed probability of all paths from each node to its word's end."""
-        z = np.full(self.base[-1], -np.inf)
-        z[self.base[1:] - 1] = 0.0
-        order = np.argsort(-(self.source - self.base[np.searchsorted(self.base, self.source, side="right") - 1]), kind="stable")
-        level = (self.source - self.base[np.searchsorted(self.base, self.source, side="right") - 1])[order]
-        cuts = np.flatnonzero(np.append(True, level[1:] != level[:-1])) if len(level) else np.zeros(0, np.int64)
-        for low, high in zip(cuts, np.append(cuts[1:], len(level)), strict=True):
+        z = np.full(self.base[-1], -np.inf) if carried is None else carried.copy()
+        if carried is None:
+            z[self.base[1:] - 1] = 0.0
+        order = np.argsort(-self.level, kind="stable")
+        cuts = np.flatnonzero(np.diff(self.level[order], prepend=-1, append=-1))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             o = order[low:high]
             np.logaddexp.at(z, self.source[o], logp[self.piece[o]] + z[self.target[o]])
         return z
@@ -149,36 +161,78 @@ class Lattice:
         return a[self.base[1:] - 1]
 
 
-def _stretches(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, word) of words in stretches of at most STRETCH bytes."""
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+def _groups(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, bytes, starts, ends): those of at most STRETCH bytes by length, in groups of bounded bytes."""
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    begin = np.cumsum(sizes) - sizes
-    parts = np.maximum(-(-sizes // STRETCH), 1)
-    word = np.repeat(np.arange(len(words)), parts)
-    start = begin[word] + STRETCH * ragged(np.zeros(len(words), np.int64), parts)
-    return data, start, np.minimum(start + STRETCH, (begin + sizes)[word]), word
+    order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], STRETCH, side="right")]
+    group = np.cumsum(sizes[order]) // LATTICE_BYTES
+    for at in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+        if len(at):
+            ends = np.cumsum(sizes[at])
+            yield at, np.frombuffer(b"".join(words[i] for i in at), dtype=np.uint8), ends - sizes[at], ends
+
+
+def _part(pieces: Pieces, word: bytes, start: int) -> Lattice:
+    """The stretch of a long word from ``start``, with the bytes that its last pieces reach."""
+    data = np.frombuffer(word, dtype=np.uint8)[start : start + STRETCH + pieces.longest - 1]
+    one = np.zeros(1, np.int64)
+    return Lattice(pieces, data, one, one + min(STRETCH, len(data)), one + len(data))
+
+
+def _forward_parts(pieces: Pieces, logp: np.ndarray, word: bytes) -> tuple[list[np.ndarray], float]:
+    """The values that each stretch of a long word starts with, and the log of the sum over its paths."""
+    begin, starts = np.zeros(1), []
+    for start in range(0, len(word), STRETCH):
+        lattice = _part(pieces, word, start)
+        starts.append(begin)
+        a = lattice.forward(logp, _filled(lattice, begin, 0))
+        begin = a[lattice.length[0] :]
+    return starts, float(begin[0])
+
+
+def _filled(lattice: Lattice, values: np.ndarray, at: int) -> np.ndarray:
+    """Values from node ``at`` on, and no path elsewhere."""
+    out = np.full(lattice.base[-1], -np.inf)
+    out[at : at + len(values)] = values
+    return out
 
 
 def word_log_probs(pieces: Pieces, logp: np.ndarray, words: list[bytes]) -> np.ndarray:
     """Natural log of the marginal probability of each word's bytes."""
-    if not words:
-        return np.zeros(0)
-    data, starts, ends, word = _stretches(words)
-    lattice = Lattice(pieces, data, starts, ends)
-    return np.bincount(word, weights=lattice.totals(lattice.forward(logp)), minlength=len(words))
+    out = np.zeros(len(words))
+    for at, data, starts, ends in _groups(words):
+        lattice = Lattice(pieces, data, starts, ends)
+        out[at] = lattice.totals(lattice.forward(logp))
+    for i, word in enumerate(words):
+        if len(word) > STRETCH:
+            out[i] = _forward_parts(pieces, logp, word)[1]
+    return out
 
 
 def expected_uses(pieces: Pieces, logp: np.ndarray, words: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece over words with counts."""
-    if not words:
-        return np.zeros(pieces.size)
-    data, starts, ends, word = _stretches(words)
-    lattice = Lattice(pieces, data, starts, ends)
-    a, z = lattice.forward(logp), lattice.backward(logp)
-    owner = np.searchsorted(lattice.base, lattice.source, side="right") - 1
-    share = np.exp(a[lattice.source] + logp[lattice.piece] + z[lattice.target] - lattice.totals(a)[owner])
-    return np.bincount(lattice.piece, weights=share * counts[word[owner]], minlength=pieces.size)
+    uses = np.zeros(pieces.size)
+
+    def add(lattice: Lattice, a: np.ndarray, z: np.ndarray, totals: np.ndarray, n: np.ndarray) -> None:
+        share = np.exp(a[lattice.source] + logp[lattice.piece] + z[lattice.target] - totals[lattice.owner])
+        np.add(uses, np.bincount(lattice.piece, weights=share * n[lattice.owner], minlength=pieces.size), out=uses)
+
+    for at, data, starts, ends in _groups(words):
+        lattice = Lattice(pieces, data, starts, ends)
+        a = lattice.forward(logp)
+        add(lattice, a, lattice.backward(logp), lattice.totals(a), counts[at])
+    for i, word in enumerate(words):
+        if len(word) > STRETCH:
+            begins, total = _forward_parts(pieces, logp, word)
+            end = np.zeros(1)  # values from the stretch's last node on
+            for k in range(len(begins) - 1, -1, -1):
+                lattice = _part(pieces, word, k * STRETCH)
+                a = lattice.forward(logp, _filled(lattice, begins[k], 0))
+                z = lattice.backward(logp, _filled(lattice, end[: lattice.more[0] + 1], int(lattice.length[0])))
+                add(lattice, a, z, np.array([total]), counts[i : i + 1])
+                end = z
+    return uses
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:

@@ -351,6 +351,45 @@ def test_lattice_sums_all_segmentations():
     assert 2.0 <= uses.sum() <= 10.0
 
 
+def test_lattice_leaves_no_segmentation_out(monkeypatch):
+    """Long pieces and long words against a sum over every span, in one stretch and in many."""
+    pieces = lattice.Pieces(vocabulary("piece_bpe_32k.model"))
+    logp = lattice.log_p(pieces, None, 0.25)
+    words = [b"international", b"misrepresentations", b"reconfigurationimplementation", "população".encode() * 12, b"https://a.example/" + b"implementation" * 12, "自然言語処理".encode() * 9]
+
+    def spans(word):
+        n = len(word)
+        i, j = np.triu_indices(n + 1, 1)
+        at = pieces.find(span_hashes(prefix_sums(np.frombuffer(word, dtype=np.uint8)), i, j))
+        into = [[] for _ in range(n + 1)]
+        for x, y, k in zip(i[at >= 0], j[at >= 0], at[at >= 0], strict=True):
+            into[y].append((x, k))
+        return into
+
+    def brute(word):
+        into, n = spans(word), len(word)
+        a, z, uses = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf), np.zeros(pieces.size)
+        a[0] = z[n] = 0.0
+        for y in range(1, n + 1):
+            for x, k in into[y]:
+                a[y] = np.logaddexp(a[y], a[x] + logp[k])
+        for y in range(n, 0, -1):
+            for x, k in into[y]:
+                z[x] = np.logaddexp(z[x], z[y] + logp[k])
+        for y in range(1, n + 1):
+            for x, k in into[y]:
+                uses[k] += math.exp(a[x] + logp[k] + z[y] - a[n])
+        return a[n], uses
+
+    want = [brute(w) for w in words]
+    counts = np.arange(1.0, len(words) + 1)
+    for stretch in (None, 7, 30, 64):
+        if stretch:
+            monkeypatch.setattr(lattice, "STRETCH", stretch)
+        assert lattice.word_log_probs(pieces, logp, words) == pytest.approx([w[0] for w in want])
+        assert np.allclose(lattice.expected_uses(pieces, logp, words, counts), sum(n * w[1] for n, w in zip(counts, want, strict=True)))
+
+
 def test_scores_of_texts(docs, empty):
     path = vocabulary("piece_bpe_32k.model")
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
