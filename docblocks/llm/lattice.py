@@ -6,15 +6,14 @@ A text is the product over its words and one end each, so its score is the log10
 probability, not of one best segmentation.
 
 The vocabulary's own scores are the start: they order pieces, and p falls as a power of the rank.
-The training corpus then weighs them: every distinct training word adds the expected uses of each
-piece given the word (forward-backward), and expected uses plus PRIOR_WEIGHT times the start give p.
-Each word counts once, because the lattice stands for words that are new. The vocabulary itself is
-never changed, so what reaches the driver is one number for each of its pieces. Words are cut by
-``[^\\x20\\x09-\\x0D]+`` and lower-cased (A-Z); bytes that no piece covers are pieces of their own.
+The training corpus then weighs them: every training word adds, as often as it occurs, the expected
+uses of each piece given the word (forward-backward), and expected uses plus PRIOR_WEIGHT times the
+start give p. The vocabulary itself is never changed, so what reaches the driver is one number for
+each of its pieces. Words are cut by ``[^\\x20\\x09-\\x0D]+`` and lower-cased (A-Z), pieces likewise and
+without the vocabulary's word-start mark; bytes that no piece covers are pieces of their own.
 
-A word may also come whole, as in training: its probability is (1 - new) * c / N + new * lattice,
-``new`` being the share of training tokens that occur once (Good and Turing's estimate of what a
-further text brings). All probabilities of words and of the end sum to one.
+The lattice alone gives the score of every word, seen in training or not; whole-word counts make the
+base score only. All probabilities of words and of the end sum to one.
 
 The corpus counts of all words are a distributed table. Documents are dealt into blocks of bounded
 bytes; a block's distinct words are joined with the counts, and block and words come together again
@@ -292,14 +291,13 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     found = stored(found, folder, "words", "zstd")
     every = stored(found.groupBy("word").agg(F.sum("t").alias("n")), folder, "counts", "zstd")
     release(spark)
-    counts = every.where("n > 0").select("word")
-    total = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 1)).first()
+    counts = every.where("n > 0")
+    total = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     texts = blocks.where("learn").count()
     n_train, vocabulary = int(total[0]) + texts, int(total[1]) + (texts > 0)
 
     pieces = pieces_of(path)
-    kinds, words = int(total[1]), max(n_train - texts, 1)
-    new = float(np.clip(total[2] / words, 1e-4, 0.5)) if kinds else 1.0
+    words = int(total[0])
     uses: np.ndarray | None = None
     stop = 0.25
     for _ in range(rounds):
@@ -310,7 +308,7 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
             for batch in batches:
                 for low in range(0, batch.num_rows, 20_000):
                     part = batch.slice(low, 20_000)
-                    got = expected_uses(own, logp, part.column(0).to_pylist(), np.ones(part.num_rows))
+                    got = expected_uses(own, logp, part.column(0).to_pylist(), part.column(1).to_numpy().astype(float))
                     sums = got if sums is None else sums + got
             if sums is not None:
                 at = np.flatnonzero(sums)
@@ -322,20 +320,17 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
         for r in rows:
             uses[r[0]] = r[1]
         # a word's end among all symbols: one for each word, against the expected pieces
-        stop = kinds / (kinds + float(uses.sum())) if kinds else stop
+        stop = words / (words + float(uses.sum())) if words else stop
     logp = log_p(pieces, uses, stop)
-    ends = texts / n_train if kinds else 0.5  # texts without a word say nothing of words
-    fresh, other = float(np.log(new) + np.log(stop)), float(np.log1p(-ends))
+    ends = texts / n_train if words else 0.5  # texts without a word say nothing of words
+    other = float(np.log(stop) + np.log1p(-ends))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces_of(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 20_000):
                 part = batch.slice(low, 20_000)
-                n = part.column(1).to_numpy().astype(float)
-                whole = np.full(len(n), -np.inf)
-                np.log((1 - new) * n / words, out=whole, where=n > 0)
-                lm = np.logaddexp(whole, fresh + word_log_probs(own, logp, part.column(0).to_pylist())) + other
+                lm = word_log_probs(own, logp, part.column(0).to_pylist()) + other
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lm / np.log(10))], ["w", "n", "lm"])
 
     weighed = stored(every.mapInArrow(weigh, "w binary, n long, lm double"), folder, "weighed", "zstd")

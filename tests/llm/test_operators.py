@@ -405,6 +405,22 @@ def test_scores_of_texts(docs, empty):
     assert lattice.score(empty, learn, path).count() == 0
 
 
+def test_the_lattice_scores_seen_words(spark):
+    """A word of the training texts gets its lattice marginal, from piece weights by token counts, and not its own count."""
+    path = vocabulary("piece_bpe_32k.model")
+    texts = [(0, "there there there there xqzzy"), (1, "there"), (2, "xqzzy"), (3, "xqzzyy")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lattice.score(rows, F.col("doc_id") == 0, path).collect()}
+    pieces, uses, stop = lattice.Pieces(path), None, 0.25
+    seen, n = [b"there", b"xqzzy"], np.array([4.0, 1.0])
+    for _ in range(2):
+        uses = lattice.expected_uses(pieces, lattice.log_p(pieces, uses, stop), seen, n)
+        stop = 5 / (5 + uses.sum())
+    marginal = lattice.word_log_probs(pieces, lattice.log_p(pieces, uses, stop), [b"there", b"xqzzy", b"xqzzyy"])
+    want = (marginal + math.log(stop) + math.log(5 / 6) + math.log(1 / 6)) / math.log(10)
+    assert [got[1], got[2], got[3]] == pytest.approx(list(want))
+
+
 def test_long_unseen_words_stay_in_log_space(spark):
     """Twice the bytes of an unseen word are about twice the score, without a floor; so for training texts without words."""
     long = {1: "qzx7" * 900, 2: "qzx7" * 1800}
