@@ -45,7 +45,8 @@ def q_repeats(spark, sf):
 
 @query("column_widths", None)
 def q_widths(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 4)).alias("col", "text"))
+    """Every document as a table of four columns: line n is a cell of column n mod 4."""
+    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("col", F.col("pos") % 4)
     return B.content_widths(docs, "doc_id", "col", "text")
 
 

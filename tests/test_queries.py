@@ -47,3 +47,14 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_column_widths_see_every_line(spark, tmp_path):
+    """A long line beyond the first four makes its column wide, as if the cells above it were not there."""
+    short = ["a b", "a b", "a b", "a b"]
+    texts = [(1, "\n".join(short)), (2, "\n".join([*short, "a", "word " * 20, "a"])), (3, "a b\n" + "word " * 20 + "\na b\na b"), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["col"]): r["width"] for r in QUERIES["column_widths"](spark, str(tmp_path)).collect()}
+    assert [got[1, k] for k in range(4)] == [25.0] * 4
+    assert [got[2, k] for k in range(4)] == [got[3, k] for k in range(4)]
+    assert got[2, 1] > 25.0 and len(got) == 12
