@@ -38,9 +38,9 @@ LONG_SUFFIXES = ("re", "ve", "ll")
 #: Longer slices are merged with a heap, one by one.
 LONG_SLICE = 48
 #: Slices that a worker keeps before it starts its cache anew.
-CACHE_SLICES = 300_000
+CACHE_SLICES = 200_000
 #: Text bytes encoded at once: the working arrays take about sixty times as much.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 
 
 def _after(state: int, kind: int) -> int:
@@ -407,10 +407,14 @@ def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True) -> DataFrame:
-    """(id, ids, offsets): ids and the byte offsets at which tokens start, both little-endian unsigned 32-bit."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """(id, ids, offsets): ids and the byte offsets at which tokens start, both little-endian unsigned 32-bit.
+
+    With ``decoded``, the bytes that the ids decode to come from the same worker, in a last column.
+    """
     source = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     kind = source.schema[id_col].dataType.simpleString()
+    names = [id_col, "ids", *["offsets"] * offsets, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -423,9 +427,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     begins = np.cumsum(lengths) - lengths
                     begins = begins - np.repeat(at[:-1], np.diff(cuts))
                     columns.append(_binary(begins.astype("<u4"), cuts))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "offsets"][: len(columns)])
+                if decoded:
+                    columns.append(_binary(*enc.ranks.decode(ids.astype(np.int64), cuts)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary" + (", offsets binary" if offsets else ""))
+    return source.mapInArrow(run, f"`{id_col}` {kind}" + "".join(f", {n} binary" for n in names[1:]))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -12,6 +12,7 @@ Hashes use fixed seeds, so every executor and every retry computes the same valu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Text bytes handled by one vectorised call; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _held: dict[str, dict] = {}
 
@@ -82,6 +83,14 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(raw + U64(0x9E3779B97F4A7C15) * (ends - starts).astype(U64))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers are kept for later tasks and share the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and len + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,6 +114,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = min(n, max(end, first + 1))
         yield first, end, data[at[first] : at[end]], at[first : end + 1] - at[first]
         first = end
+    give_back()
 
 
 def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -133,6 +133,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return run.groupBy("dkey").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
+def _without(text: str, spans: list[dict]) -> tuple[str, int]:
+    """The text without the lines of these runs, and how many went."""
+    parts = text.split("\n")
+    full = [i for i, p in enumerate(parts) if p.encode().split()]
+    gone = {full[i] for s in spans for i in range(max(0, s["start"]), min(len(full), s["end"]))}
+    return "\n".join(p for i, p in enumerate(parts) if i not in gone), len(gone)
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with the repeated runs gone from the text, then ``__lines`` and ``__removed``."""
     spark = docs.sparkSession
@@ -147,20 +155,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed, counts = [], [], []
-            for text, spans in zip(batch.column(where).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if text is None:
-                    texts.append(None), removed.append(0), counts.append(0)
-                    continue
-                parts = text.split("\n")
-                if not spans:
-                    texts.append(text), removed.append(0), counts.append(sum(1 for p in parts if p.encode().split()))
-                    continue
-                full = [i for i, p in enumerate(parts) if p.encode().split()]
-                gone = {full[i] for s in spans for i in range(max(0, s["start"]), min(len(full), s["end"]))}
-                texts.append("\n".join(p for i, p in enumerate(parts) if i not in gone)), removed.append(len(gone)), counts.append(len(full))
-            columns = list(batch.columns[:-1])
-            columns[where] = pa.array(texts, type=columns[where].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], [*batch.schema.names[:-1], "__lines", "__removed"])
+            for first, end, data, offsets in chunks(batch.column(where)):
+                part = batch.slice(first, end - first)
+                counts = np.bincount(line_spans(data, offsets, Words(data, offsets))[0], minlength=end - first)
+                removed = np.zeros(end - first, dtype=np.int64)
+                spans, columns = part.column(part.num_columns - 1), list(part.columns[:-1])
+                cut = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+                if len(cut):
+                    texts = columns[where].to_pylist()
+                    for i in cut.tolist():
+                        texts[i], removed[i] = _without(texts[i], spans[i].as_py())
+                    columns[where] = pa.array(texts, type=columns[where].type)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int32)), pa.array(removed.astype(np.int32))], [*batch.schema.names[:-1], "__lines", "__removed"])
 
     return joined.mapInArrow(rebuild, schema)

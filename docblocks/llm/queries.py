@@ -85,8 +85,7 @@ def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
     path = vocabulary("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(read(spark, sf_dir, "documents"), path, offsets=False)
-    return bpe.decode(encoded, path).select(
+    return bpe.encode(read(spark, sf_dir, "documents"), path, offsets=False, decoded=True).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
