@@ -33,10 +33,17 @@ def held(group: str) -> dict:
 
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-#: A random odd value for each byte, one for the base of the polynomial and its inverse mod 2**64.
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = int(_rng.integers(1, 2**61)) * 8 + 5
-BASE_INV = pow(BASE, -1, 2**64)
+
+
+def _family() -> tuple[np.ndarray, int, int]:
+    """A random odd value for each byte, one for the base of a polynomial and its inverse mod 2**64."""
+    values = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+    base = int(_rng.integers(1, 2**61)) * 8 + 5
+    return values, base, pow(base, -1, 2**64)
+
+
+#: Two independent hash families: where equal hashes stand for equal bytes and decide, both are compared.
+FAMILIES = (_family(), _family())
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -46,7 +53,7 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
+def power_table(base: int, n: int) -> np.ndarray:
     """``base ** i`` mod 2**64 for i < n, kept and grown by doubling."""
     got = _powers.get(base)
     if got is None or len(got) < n:
@@ -70,16 +77,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
     """Running polynomial sums of the bytes; entry i covers data[:i]."""
+    values, base, _ = FAMILIES[family]
     out = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(BYTE_VALUE[data] * _power_table(BASE, len(data)), out=out[1:])
+    np.cumsum(values[data] * power_table(base, len(data)), out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """Hashes of data[start:end]; equal bytes give equal hashes wherever they stand."""
-    raw = (sums[ends] - sums[starts]) * _power_table(BASE_INV, len(sums))[starts]
+    raw = (sums[ends] - sums[starts]) * power_table(FAMILIES[family][2], len(sums))[starts]
     return mix(raw + U64(0x9E3779B97F4A7C15) * (ends - starts).astype(U64))
 
 

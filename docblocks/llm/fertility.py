@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import IS_SPACE, U64, Words, chunks, gram_hashes, held, mix, ragged, repeats, span_hashes, sums_by_row
+from .tables import unused
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: Words whose tokens a worker keeps before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 WINDOW = 8
 
 
@@ -180,7 +181,8 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 
 def measure(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then a struct ``__m`` of MEASURES."""
+    """All columns of ``docs``, then a struct of MEASURES (measures, with underscores behind where that name is taken)."""
+    name = unused("measures", docs.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     where = docs.columns.index(text_col)
 
@@ -191,9 +193,9 @@ def measure(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
                 found = _measure(data, at, model)
                 struct = pa.StructArray.from_arrays([pa.array(v) for v in found.values()], list(found))
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, "__m"])
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, f"{schema}, __m struct<{MEASURES.replace(' long', ':bigint').replace(' double', ':double')}>")
+    return docs.mapInArrow(run, f"{schema}, {name} struct<{MEASURES.replace(' long', ':bigint').replace(' double', ':double')}>")
 
 
 def base_failed(m: Column) -> Column:
@@ -216,15 +218,17 @@ def fits(m: Column, lang: Column, script: Column, bands: dict[str, Band] = BANDS
 
 
 def judge(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
-    """All columns of ``docs``, ``__m``, ``__base_failed`` and ``__kept``."""
+    """All columns of ``docs``, then measures, base_failed and kept (with underscores behind where such a name is taken)."""
     lang = F.lower(F.col(lang_col)) if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     known = lang.isin([k for k in bands if k != "*"])
     script = F.when(F.coalesce(known, F.lit(False)), F.lit(None).cast("string")).otherwise(script_of(text_col))
     out = measure(docs, path, text_col)
-    m = F.col("__m")
-    return out.withColumns({"__base_failed": base_failed(m), "__kept": ~base_failed(m) & fits(m, lang, script, bands)})
+    m = F.col(out.columns[-1])
+    failed, kept = (unused(n, docs.columns) for n in ("base_failed", "kept"))
+    return out.withColumns({failed: base_failed(m), kept: ~base_failed(m) & fits(m, lang, script, bands)})
 
 
 def filter_documents(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] = BANDS) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they were."""
-    return judge(docs, path, text_col, lang_col, bands).where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = judge(docs, path, text_col, lang_col, bands)
+    return judged.where(F.col(judged.columns[-1])).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,19 +1,27 @@
 """Op 6: toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report, quote, clause end, other) with a
-weight; transducers for targets, negation and reported speech are composed into one machine whose
-states remember what a clause has shown so far, and whose arcs multiply the weight of an insult or a
-threat: more with a target near, less after a negation, less inside reported speech. A clause scores
-the weights of its matches; a text scores the clauses together, so no word counts by itself.
-
-The lexicon has fixed words, and stems that labelled training rows teach: word beginnings that are
-far more frequent in toxic texts than in others (by a G statistic), found in a bounded sample of
-MAX_TOXIC and MAX_CLEAN rows, the first by a hash of the id. Two numbers then calibrate the score on
-the same sample. Scoring covers every row and whole texts.
+Words become symbols; small machines for targets, copulas, epithets, objects, further insults, negation,
+reported speech and quotation are composed into one machine that reads a clause forwards and one that reads it
+backwards (a bimachine), so that a match is weighed by what stands on both sides of it. Every
+state of a machine has a frame weight for insults, one for threats, and a factor; composition takes
+the greatest frame weight and multiplies the factors.
+
+* An insult matches in a frame only: a target near it on either side, a copula before it, a
+  determiner or preposition right before it, or another insult near it. A word by itself weighs nothing.
+* A threat matches with an object: a pronoun after it that can be one, or before it one that can
+  only be one (verb-final clauses). A subject is no object.
+* Negation within reach, a verb of saying (before, or shortly after) and quotation marks lower the weight.
+* Insults of a text without a frame count for less, and only if the text has two or more insults.
+
+Words are labels of arcs: fixed lists, and stems that labelled training rows teach, word beginnings
+that are far more frequent in toxic texts than in others (by a G statistic). They are counted on the
+executors over a bounded sample, MAX_TOXIC and MAX_CLEAN rows, the first by a hash of the id, and at
+most MAX_STEMS of them reach the driver. Two numbers calibrate the score on the same sample. Scoring
+covers every row and whole texts.
 
 Results for odd inputs: null and empty texts match nothing and get the least score; without labelled
-rows, the fixed words alone decide; ties and repeated rows score alike; an empty table gives no rows;
-further columns are passed through.
+rows, the fixed words alone decide; ties and repeated rows score alike; of rows that share an id, the
+sample takes one; an empty table gives no rows; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -28,9 +36,11 @@ from pyspark.sql import functions as F
 
 from .bytesets import LOWER, U64, chunks, mix, prefix_sums, span_hashes
 from .pulearn import first_ids
+from .tables import clear, shared_folder, stored, unused
 
 MAX_TOXIC = 3000
 MAX_CLEAN = 9000
+MAX_STEMS = 20_000
 #: Lengths in bytes of the word beginnings that can be stems.
 STEMS = tuple(range(3, 13))
 LEAST_G = 16.0
@@ -39,81 +49,117 @@ LEAST_PRECISION = 0.6
 # Fixed word lists, lower case.
 INSULTS = "idiot idiots moron morons stupid trash scum loser losers clown pathetic worthless disgusting dumb imbecile idiota idiotas imbécil estúpido estúpida basura escoria idiote imbécile débile crétin crétine ordure idiotin dumm trottel abschaum versager".split()
 THREATS = "kill hurt destroy murder hang shoot beat töten umbringen vernichten tuer détruire frapper matar destruir golpear".split()
-TARGETS = "you your he she they him her them his their these those people du dich dir ihr euch sie tu te vous toi ils elles vosotros ustedes usted ellos ellas".split()
+SUBJECTS = "he she they i we your his their these those people er du tu il elle ils elles él ella ellos ellas usted ustedes vosotros".split()
+OBJECTS = "him them dich dir euch ihn ihm ihnen te toi leur lui os le les".split()
+PERSONS = "you her sie ihr vous nous".split()
+COPULAS = "is are was were am be been being 're 's bist ist sind seid war waren est es sont était suis êtes eres soy son era fue".split()
+LINKS = "a an the of such what with to in and or by for ein eine einen der die das den dem von mit so und un une le la les de du des quel quelle et una el los las del qué tan y con".split()
 NEGATIONS = "not never no none without isn't aren't wasn't don't nicht nie kein keine keinen pas jamais sans aucun nunca ningún sin".split()
 REPORTS = "said says told wrote claimed called quoted reported sagte schrieb behauptete dit écrit affirme appelé dijo escribió afirma llamó".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-
+OTHER, INSULT, THREAT, SUBJECT, OBJECT, PERSON, COPULA, LINK, NEGATION, REPORT, QUOTE = range(11)
+TARGETS = (SUBJECT, OBJECT, PERSON)
+#: Weight of an insult without a frame in a text that has others.
+UNFRAMED = 0.5
 
-class Transducer:
-    """Deterministic weighted machine: ``step[state][symbol]`` is (next state, factor)."""
 
-    def __init__(self, step: list[dict[int, tuple[int, float]]], default: list[tuple[int, float]]):
-        self.step, self.default = step, default
+class Machine:
+    """Deterministic machine with weighted states: ``step[state]`` maps symbols to states (others lead to
+    ``default[state]``), ``out[state]`` is (frame weight of an insult, of a threat, factor) for a match read in that state."""
 
-    def __len__(self) -> int:
-        return len(self.step)
+    def __init__(self, step: list[dict[int, int]], default: list[int], out: list[tuple[float, float, float]]):
+        self.step, self.default, self.out = step, default, out
 
-    def arc(self, state: int, symbol: int) -> tuple[int, float]:
+    def arc(self, state: int, symbol: int) -> int:
         return self.step[state].get(symbol, self.default[state])
 
-    def __matmul__(self, other: Transducer) -> Transducer:
-        """Both read the same symbols; states are pairs and factors multiply. Only reachable pairs are kept."""
-        index, todo, steps = {(0, 0): 0}, [(0, 0)], []
-        while todo:
-            a, b = todo.pop(0)
-            arcs = {}
-            for symbol in range(7):
-                (x, f), (y, g) = self.arc(a, symbol), other.arc(b, symbol)
-                if (x, y) not in index:
-                    index[x, y] = len(index)
-                    todo.append((x, y))
-                arcs[symbol] = (index[x, y], f * g)
-            steps.append(arcs)
-        return Transducer(steps, [(0, 1.0)] * len(steps))
-
-
-def _hits(state: int, factor: float) -> dict[int, tuple[int, float]]:
-    return {INSULT: (state, factor), THREAT: (state, factor), END: (0, 1.0)}
-
-
-def insult_machine() -> Transducer:
-    """An insult counts whole; a second in the clause counts a little more."""
-    return Transducer([{INSULT: (1, 1.0), END: (0, 1.0)}, {INSULT: (1, 1.2), END: (0, 1.0)}], [(0, 1.0), (1, 1.0)])
-
-
-def threat_machine() -> Transducer:
-    """A threat needs a target: alone it counts for a fifth."""
-    return Transducer([{THREAT: (0, 0.2), TARGET: (1, 1.0), END: (0, 1.0)}, {THREAT: (1, 1.0), END: (0, 1.0)}], [(0, 1.0), (1, 1.0)])
-
-
-def target_machine(reach: int = 4) -> Transducer:
-    """A target at most ``reach`` words before makes a match weigh more."""
-    steps = [_hits(0, 1.0) | {TARGET: (reach, 1.0)}]
-    defaults = [(0, 1.0)]
-    for left in range(1, reach + 1):
-        steps.append(_hits(left - 1, 1.3) | {TARGET: (reach, 1.0)})
-        defaults.append((left - 1, 1.0))
-    return Transducer(steps, defaults)
-
-
-def negation_machine(reach: int = 2) -> Transducer:
-    """A negation at most ``reach`` words before makes a match weigh less."""
-    steps = [_hits(0, 1.0) | {NEGATION: (reach, 1.0)}]
-    defaults = [(0, 1.0)]
-    for left in range(1, reach + 1):
-        steps.append(_hits(left - 1, 0.45) | {NEGATION: (reach, 1.0)})
-        defaults.append((left - 1, 1.0))
-    return Transducer(steps, defaults)
-
-
-def report_machine() -> Transducer:
-    """After a verb of saying, the rest of the clause is someone else's."""
-    return Transducer([_hits(0, 1.0) | {REPORT: (1, 1.0)}, _hits(1, 0.6)], [(0, 1.0), (1, 1.0)])
 
-
-GRAMMAR = insult_machine() @ threat_machine() @ target_machine() @ negation_machine() @ report_machine()
+def near(symbols: tuple[int, ...], reach: int, insult: float = 0.0, threat: float = 0.0, factor: float = 1.0) -> Machine:
+    """What one of the symbols does to a match that is at most ``reach`` words further on."""
+    steps = [dict.fromkeys(symbols, reach) for _ in range(reach + 1)]
+    return Machine(steps, [0, *range(reach)], [(0.0, 0.0, 1.0), *[(insult, threat, factor)] * reach])
+
+
+def since(symbol: int, factor: float) -> Machine:
+    """What a symbol does to all matches after it in the clause."""
+    return Machine([{symbol: 1}, {}], [0, 1], [(0.0, 0.0, 1.0), (0.0, 0.0, factor)])
+
+
+def between(symbol: int, factor: float) -> Machine:
+    """What a pair of symbols does to the matches inside."""
+    return Machine([{symbol: 1}, {symbol: 0}], [0, 1], [(0.0, 0.0, 1.0), (0.0, 0.0, factor)])
+
+
+class Composed:
+    """Machines that read the same symbols: a state has one of each. States are found as they are reached."""
+
+    def __init__(self, *machines: Machine):
+        self.machines = machines
+        self.index = {(0,) * len(machines): 0}
+        self.states = [(0,) * len(machines)]
+        self.out = [self._weigh(self.states[0])]
+        self.arcs: dict[tuple[int, int], int] = {}
+
+    def _weigh(self, state: tuple[int, ...]) -> tuple[float, float, float]:
+        insult, threat, factor = 0.0, 0.0, 1.0
+        for m, s in zip(self.machines, state, strict=True):
+            a, b, f = m.out[s]
+            insult, threat, factor = max(insult, a), max(threat, b), factor * f
+        return insult, threat, factor
+
+    def arc(self, state: int, symbol: int) -> int:
+        to = self.arcs.get((state, symbol))
+        if to is None:
+            reached = tuple(m.arc(s, symbol) for m, s in zip(self.machines, self.states[state], strict=True))
+            to = self.index.setdefault(reached, len(self.states))
+            if to == len(self.states):
+                self.states.append(reached)
+                self.out.append(self._weigh(reached))
+            self.arcs[state, symbol] = to
+        return to
+
+    def read(self, symbols: list[int]) -> list[tuple[float, float, float]]:
+        """The weights of the state before each symbol."""
+        state, out = 0, []
+        for s in symbols:
+            out.append(self.out[state])
+            state = self.arc(state, s)
+        return out
+
+
+FORWARD = Composed(
+    near(TARGETS, 4, insult=1.3),
+    near((COPULA,), 3, insult=1.0),
+    near((LINK,), 1, insult=0.7),
+    near((INSULT,), 3, insult=0.7),
+    near((OBJECT,), 4, threat=1.3),
+    near((NEGATION,), 3, factor=0.35),
+    since(REPORT, 0.5),
+    between(QUOTE, 0.6),
+)
+BACKWARD = Composed(
+    near(TARGETS, 3, insult=1.3),
+    near((INSULT,), 3, insult=0.7),
+    near((OBJECT, PERSON), 3, threat=1.3),
+    near((NEGATION,), 2, factor=0.5),
+    near((REPORT,), 4, factor=0.5),
+)
+
+
+def clause_weights(symbols: list[int], weights: list[float]) -> tuple[float, int, float]:
+    """(weight of the framed matches, number of insults, weight of the insults without a frame) of a clause."""
+    total, insults, bare = 0.0, 0, 0.0
+    ahead = FORWARD.read(symbols)
+    behind = BACKWARD.read(symbols[::-1])[::-1]
+    for s, w, (i, t, f), (j, u, g) in zip(symbols, weights, ahead, behind, strict=True):
+        if s == INSULT:
+            frame = max(i, j)
+            insults += 1
+            total += w * frame * f * g
+            bare += 0.0 if frame else w * f * g
+        elif s == THREAT:
+            total += w * max(t, u) * f * g
+    return total, insults, bare
 
 
 def _word_table() -> np.ndarray:
@@ -135,6 +181,16 @@ class LetterWords:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = LOWER[data]
         solid = IN_WORD[self.data]
+        after = np.append(self.data[1:], 0)
+        mark = np.flatnonzero((self.data == 0xE2) & ((after == 0x80) | (after == 0x81)))  # U+2000 to U+207F
+        low = np.flatnonzero(self.data == 0xC2)  # U+0080 to U+00BF
+        for at, width in ((mark, 3), (low, 2)):
+            for k in range(width):
+                solid[np.minimum(at + k, len(solid) - 1)] = False
+        third = self.data[np.minimum(mark + 2, len(data) - 1)]
+        second = self.data[np.minimum(low + 1, len(data) - 1)]
+        quotes = [np.flatnonzero(self.data == 0x22), mark[(third >= 0x9C) & (third <= 0x9F) & (after[mark] == 0x80)], low[(second == 0xAB) | (second == 0xBB)]]
+        self.quotes = np.sort(np.concatenate(quotes))
         edge = np.zeros(len(data) + 1, dtype=np.int8)
         edge[:-1] += solid
         edge[1:] -= solid
@@ -172,8 +228,9 @@ class Lexicon:
     shift: float = -3.5
 
     def __post_init__(self) -> None:
-        pairs = {}
-        for symbol, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INSULT, INSULTS)):
+        pairs: dict[str, int] = {}
+        # a word of two lists has the symbol of the later one
+        for symbol, words in ((LINK, LINKS), (SUBJECT, SUBJECTS), (OBJECT, OBJECTS), (PERSON, PERSONS), (COPULA, COPULAS), (REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (INSULT, INSULTS)):
             pairs |= dict.fromkeys(words, symbol)
         hashes = _hash_words(list(pairs))
         order = np.argsort(hashes)
@@ -203,66 +260,73 @@ def raw_scores(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.nd
     """Weight of the matched clauses of each text."""
     words = LetterWords(data, offsets)
     symbol, weight = lexicon.matched(words)
-    total = np.zeros(len(offsets) - 1)
+    rows = len(offsets) - 1
+    total, insults, bare = np.zeros(rows), np.zeros(rows, dtype=np.int64), np.zeros(rows)
+    at = np.searchsorted(words.starts, words.quotes)
+    symbol, weight = np.insert(symbol, at, QUOTE), np.insert(weight, at, 0.0)
+    place = np.insert(words.starts, at, words.quotes)
+    row = np.searchsorted(offsets, place, side="right") - 1
     hits = np.flatnonzero((symbol == INSULT) | (symbol == THREAT))
     if not len(hits):
         return total
-    ends = np.flatnonzero(ENDS_CLAUSE[words.data])
-    clause = np.searchsorted(ends, words.starts) + (words.row << 40)
-    done = -1
-    for h in hits.tolist():
-        if h <= done:
-            continue
-        # the clause around the match: the words before it that may bear on it, then on to the clause's end
-        first = int(np.searchsorted(clause, clause[h], side="left"))
-        last = int(np.searchsorted(clause, clause[h], side="right"))
-        state, got = 0, 0.0
-        for s, w in zip(symbol[first:last].tolist(), weight[first:last].tolist(), strict=True):
-            state, factor = GRAMMAR.arc(state, s)
-            if s in (INSULT, THREAT):
-                got += w * factor
-        total[words.row[h]] += got
-        done = last - 1
-    return total
-
-
-def mine_stems(texts: list[str | None], toxic: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Word beginnings that labelled texts show to be toxic: by length, sorted hashes and weights from 0 to 1."""
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    clause = np.searchsorted(np.flatnonzero(ENDS_CLAUSE[words.data]), place) + (row << 40)
+    for first in np.unique(np.searchsorted(clause, clause[hits], side="left")).tolist():
+        last = int(np.searchsorted(clause, clause[first], side="right"))
+        got, n, loose = clause_weights(symbol[first:last].tolist(), weight[first:last].tolist())
+        r = row[first]
+        total[r] += got
+        insults[r] += n
+        bare[r] += loose
+    return total + np.where(insults > 1, UNFRAMED * bare, 0.0)
+
+
+_COUNTS = "size int, stem long, toxic long, clean long"
+
+
+def _stem_counts(rows: DataFrame) -> DataFrame:
+    """(size, stem, toxic, clean): in how many texts of (text, y) of either label each word beginning occurs, before they are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, end, data, offsets in chunks(batch.column(0)):
+                words, label = LetterWords(data, offsets), y[first:end]
+                for k in STEMS:
+                    at, hashes = words.prefixes(k)
+                    once = np.unique(hashes ^ mix(words.row[at].astype(U64)), return_index=True)[1]
+                    values, which = np.unique(hashes[once], return_inverse=True)
+                    bad = np.bincount(which, weights=label[words.row[at[once]]], minlength=len(values)).astype(np.int64)
+                    every = np.bincount(which, minlength=len(values))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), k, dtype=np.int32)), pa.array(values.view(np.int64)), pa.array(bad), pa.array(every - bad)], ["size", "stem", "toxic", "clean"])
+
+    return rows.mapInArrow(run, _COUNTS)
+
+
+def mine_stems(rows: DataFrame, n_toxic: int, n_clean: int, most: int = MAX_STEMS) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Word beginnings that labelled texts (text, y) show to be toxic: by length, sorted hashes and weights from 0 to 1."""
     if not n_toxic or not n_clean:
-        return found
-    seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in STEMS}
-    for label in (True, False):
-        for first, end, data, offsets in chunks(pa.array([t for t, x in zip(texts, toxic, strict=True) if x == label], pa.string())):
-            words = LetterWords(data, offsets)
-            for k in STEMS:
-                at, hashes = words.prefixes(k)
-                keys = np.unique(hashes ^ mix(words.row[at].astype(U64)), return_index=True)[1]
-                values, counts = np.unique(hashes[keys], return_counts=True)
-                seen[k].append((values, counts if label else -counts))
-            del first, end
-    for k, parts in seen.items():
-        values, inverse = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
-        counts = np.concatenate([c for _, c in parts])
-        a = np.bincount(inverse, weights=np.maximum(counts, 0), minlength=len(values))
-        b = np.bincount(inverse, weights=np.maximum(-counts, 0), minlength=len(values))
-        rate = (a + b) / (n_toxic + n_clean)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g = 2 * (np.where(a > 0, a * np.log(a / (rate * n_toxic)), 0) + np.where(b > 0, b * np.log(b / (rate * n_clean)), 0))
-        lift = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
-        good = (g >= LEAST_G) & (a / np.maximum(a + b, 1) >= LEAST_PRECISION) & (lift > 8)
-        if good.any():
-            found[k] = values[good], np.clip(np.log(lift[good]) / np.log(2000), 0.1, 1.0) ** 1.5
-    return found
-
-
-def fit(texts: list[str | None], toxic: np.ndarray) -> Lexicon:
-    """Stems, then scale and shift by a regularised logistic fit of the raw scores."""
-    lexicon = Lexicon(mine_stems(texts, toxic))
+        return {}
+    a, b = F.col("toxic"), F.col("clean")
+    rate = (a + b) / (n_toxic + n_clean)
+    part = lambda n, total: F.when(n > 0, n * F.log(n / (rate * total))).otherwise(0.0)
+    lift = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
+    counts = _stem_counts(rows).groupBy("size", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    good = counts.where((2 * (part(a, n_toxic) + part(b, n_clean)) >= LEAST_G) & (a / (a + b) >= LEAST_PRECISION) & (lift > 8))
+    found: dict[int, list[tuple[int, float]]] = {}
+    for size, stem, value in good.select("size", "stem", lift.alias("lift")).orderBy(F.desc("lift"), "size", "stem").limit(most).collect():
+        found.setdefault(size, []).append((stem, value))
+    out = {}
+    for size, pairs in found.items():
+        stems = np.array([p[0] for p in pairs], dtype=np.int64).view(U64)
+        order = np.argsort(stems)
+        out[size] = stems[order], np.clip(np.log(np.array([p[1] for p in pairs])) / np.log(2000), 0.1, 1.0)[order] ** 1.5
+    return out
+
+
+def calibrate(lexicon: Lexicon, raw: np.ndarray, toxic: np.ndarray) -> Lexicon:
+    """Scale and shift by a regularised logistic fit of the raw scores."""
     if not toxic.any() or toxic.all():
         return lexicon
-    raw = np.concatenate([raw_scores(data, offsets, lexicon) for _, _, data, offsets in chunks(pa.array(texts, pa.string()))])
     x, y = np.log1p(raw), toxic.astype(float)
     w, b = 3.0, -3.0
     for _ in range(200):  # Newton with a ridge towards the start
@@ -279,29 +343,41 @@ def fit(texts: list[str | None], toxic: np.ndarray) -> Lexicon:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Lexicon:
-    """Fit on bounded samples of the labelled rows; ``labels`` holds the ids and labels that may be learnt from."""
-    toxic = first_ids(labels.where(F.col(label_col) == 1), id_col, max_toxic).withColumn("__y", F.lit(True))
-    clean = first_ids(labels.where(F.col(label_col) == 0), id_col, max_clean).withColumn("__y", F.lit(False))
-    wanted = F.broadcast(toxic.unionByName(clean))
-    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__t")).join(wanted, F.col("__doc") == F.col("__id")).select("__t", "__y")
-    texts, y = [], []
-    for row in rows.toLocalIterator():
-        texts.append(row[0])
-        y.append(row[1])
-    return fit(texts, np.array(y, dtype=bool))
-
-
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then ``__score``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double"
+    """Fit on bounded samples of the labelled rows; ``labels`` holds the ids and labels that may be learnt from.
+
+    The texts of the sample are stored in the shared folder; stems and one number a row reach the driver.
+    """
+    toxic = first_ids(labels.where(F.col(label_col) == 1), id_col, max_toxic).withColumn("y", F.lit(True))
+    clean = first_ids(labels.where(F.col(label_col) == 0), id_col, max_clean).withColumn("y", F.lit(False))
+    wanted = F.broadcast(toxic.unionByName(clean).groupBy("__id").agg(F.max("y").alias("y")))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(wanted, F.col("__doc") == F.col("__id"))
+    rows = rows.groupBy("__id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
+    spark = docs.sparkSession
+    folder = shared_folder(spark)
+    rows = stored(rows, folder, "sample", "zstd")
+    n = rows.agg(F.count_if("y"), F.count_if(~F.col("y"))).first()
+    lexicon = Lexicon(mine_stems(rows, int(n[0]), int(n[1])))
+    scored = _raw(rows, "text", lexicon).select("raw", "y").collect()  # MAX_TOXIC + MAX_CLEAN numbers at most
+    clear(spark, [folder])
+    return calibrate(lexicon, np.array([r[0] for r in scored], dtype=float), np.array([r[1] for r in scored], dtype=bool))
+
+
+def _raw(docs: DataFrame, text_col: str, lexicon: Lexicon, name: str = "raw") -> DataFrame:
+    """All columns of ``docs``, then the weight of the matched clauses."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {name} double"
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, at in chunks(batch.column(where)):
-                raw = raw_scores(data, at, lexicon)
-                value = 1 / (1 + np.exp(-(lexicon.scale * np.log1p(raw) + lexicon.shift)))
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], [*part.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw_scores(data, at, lexicon))], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, then score (with underscores behind where that name is taken)."""
+    name = unused("score", docs.columns)
+    raw = F.col(name)
+    return _raw(docs, text_col, lexicon, name).withColumn(name, 1 / (1 + F.exp(-(F.lit(lexicon.scale) * F.log1p(raw) + F.lit(lexicon.shift)))))

@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, chunks, mix, span_hashes
-from .tables import discard, shared_folder, stored
+from .tables import discard, shared_folder, stored, unused
 
 MIN_WORDS = 5
-_SCHEMA = "dkey long, pos int, n int, fingerprint long, window long, head array<long>, tail array<long>"
+_SCHEMA = "dkey long, dkey2 long, pos int, n int, fingerprint long, window long, head array<long>, tail array<long>"
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray, words: Words) -> tuple[np.ndarray, ...]:
@@ -85,14 +85,20 @@ def _context(at: np.ndarray, size: np.ndarray, row: np.ndarray, total: np.ndarra
     return lists(at - 1, at - begin, -1), lists(after, stop - after, 1)
 
 
+def document_keys(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes that name a row by its id and text."""
+    return F.xxhash64(id_, text), F.xxhash64(F.lit(1), id_, text)
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Windows of all texts with their fingerprints: id, document key, position and context."""
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("dkey"), F.col(text_col).alias("text"))
+    keys = document_keys(F.col(id_col), F.col(text_col))
+    source = docs.select(F.col(id_col).alias("id"), keys[0].alias("dkey"), keys[1].alias("dkey2"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in chunks(batch.column(2)):
+            for first, end, data, offsets in chunks(batch.column(3)):
                 words = Words(data, offsets)
                 row, _, _, count, hashes = line_spans(data, offsets, words)
                 if not len(row):
@@ -102,10 +108,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                 head, tail = _context(at, size, row, total, hashes, min_words)
                 begin = np.searchsorted(row, row[at], side="left")
                 owner = pa.array(row[at])
-                ids, keys = (batch.column(i).slice(first, end - first).take(owner) for i in (0, 1))
+                of = [batch.column(i).slice(first, end - first).take(owner) for i in (0, 1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, keys, pa.array((at - begin).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashes[where].view(np.int64)), pa.array(value.view(np.int64)), head, tail],
-                    ["id", "dkey", "pos", "n", "fingerprint", "window", "head", "tail"],
+                    [*of, pa.array((at - begin).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(hashes[where].view(np.int64)), pa.array(value.view(np.int64)), head, tail],
+                    ["id", "dkey", "dkey2", "pos", "n", "fingerprint", "window", "head", "tail"],
                 )
 
     return source.mapInArrow(run, f"id {kind}, {_SCHEMA}")
@@ -117,20 +123,21 @@ def _common(a: str, b: str) -> str:
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, folder: str | None = None) -> DataFrame:
-    """(dkey, runs): for each document with repeats, its runs (start, end) of line positions to delete."""
+    """(dkey, dkey2, runs): for each document with repeats, its runs (start, end) of line positions to delete."""
     folder = folder or shared_folder(docs.sparkSession)
     marks = stored(fingerprints(docs, id_col, text_col, min_words), folder, "fingerprints")
-    place = F.struct("id", "dkey", "pos")
+    place = F.struct("id", "dkey", "dkey2", "pos")
     firsts = marks.groupBy("fingerprint", "window").agg(F.min(place).alias("first"), F.count("*").alias("c"), F.min_by(F.struct("head", "tail"), place).alias("ctx"))
     firsts = stored(firsts.where("c > 1").drop("c"), folder, "firsts")
     later = marks.join(firsts.withColumnsRenamed({"fingerprint": "f", "window": "w"}), (F.col("fingerprint") == F.col("f")) & (F.col("window") == F.col("w")))
-    later = later.where((F.col("dkey") != F.col("first.dkey")) | (F.col("pos") != F.col("first.pos")))
+    later = later.where((F.col("dkey") != F.col("first.dkey")) | (F.col("dkey2") != F.col("first.dkey2")) | (F.col("pos") != F.col("first.pos")))
     run = later.select(
         "dkey",
+        "dkey2",
         F.expr(f"cast(pos - ({_common('head', 'ctx.head')}) as int)").alias("start"),
         F.expr(f"cast(pos + n + ({_common('tail', 'ctx.tail')}) as int)").alias("end"),
     )
-    return run.groupBy("dkey").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    return run.groupBy("dkey", "dkey2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("runs"))
 
 
 def _without(text: str, spans: list[dict]) -> tuple[str, int]:
@@ -142,16 +149,21 @@ def _without(text: str, spans: list[dict]) -> tuple[str, int]:
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` with the repeated runs gone from the text, then ``__lines`` and ``__removed``."""
+    """All columns of ``docs`` with the repeated runs gone from the text, then its lines and how many of them went.
+
+    Those two columns are named n_lines and n_lines_removed, with underscores behind where ``docs`` has such columns.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark)
     runs = stored(repeated_runs(docs, id_col, text_col, min_words, folder), folder, "runs")
     discard(spark, f"{folder}/fingerprints")
     discard(spark, f"{folder}/firsts")
-    keyed = docs.withColumn("__dkey", F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(runs.withColumnsRenamed({"dkey": "__k", "runs": "__runs"}), F.col("__dkey") == F.col("__k"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__runs")
+    k1, k2, spans = (unused(n, docs.columns) for n in ("k1", "k2", "runs"))
+    named = document_keys(F.col(id_col), F.col(text_col))
+    joined = docs.join(runs.toDF(k1, k2, spans), (named[0] == F.col(k1)) & (named[1] == F.col(k2)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], spans)
     where = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __lines int, __removed int"
+    names = [*docs.columns, unused("n_lines", docs.columns), unused("n_lines_removed", docs.columns)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {names[-2]} int, {names[-1]} int"
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +178,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
                     for i in cut.tolist():
                         texts[i], removed[i] = _without(texts[i], spans[i].as_py())
                     columns[where] = pa.array(texts, type=columns[where].type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int32)), pa.array(removed.astype(np.int32))], [*batch.schema.names[:-1], "__lines", "__removed"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.astype(np.int32)), pa.array(removed.astype(np.int32))], names)
 
     return joined.mapInArrow(rebuild, schema)

@@ -13,8 +13,8 @@ Training uses bounded samples, MAX_POSITIVE and MAX_UNLABELLED rows, the first b
 rows of other labels are not used. Scoring covers every row.
 
 Results for odd inputs: null and empty texts have all features 0 and get the score of that point;
-without any positive, every score is 0.5; ties and repeated rows score alike; an empty table gives
-no rows; further columns are passed through.
+without any positive, every score is 0.5; ties and repeated rows score alike; of rows that share an
+id, the sample takes one; an empty table gives no rows; further columns are passed through.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import IS_SPACE, U64, Words, chunks, gram_hashes, mix, repeats, sums_by_row
 from .lines import line_spans
+from .tables import unused
 
 MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
@@ -239,15 +240,17 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, id_col:
     chosen = first_ids(positives, id_col, max_positive).withColumn("__p", F.lit(True))
     others = first_ids(unlabelled, id_col, max_unlabelled).withColumn("__u", F.lit(True))
     wanted = chosen.join(others, "__id", "full")
-    rows = _featured(docs.join(F.broadcast(wanted), F.col(id_col) == F.col("__id")), text_col, ["__p", "__u"]).collect()
+    rows = _featured(docs.join(F.broadcast(wanted), F.col(id_col) == F.col("__id")), text_col, ["__id", "__p", "__u"])
+    rows = rows.groupBy("__id").agg(F.min("__x").alias("__x"), F.first("__p").alias("__p"), F.first("__u").alias("__u")).orderBy("__id").collect()  # a row an id: bounded
     p = np.array([r["__x"] for r in rows if r["__p"]])
     u = np.array([r["__x"] for r in rows if r["__u"]])
     return fit(p, u) if len(p) and len(u) else None
 
 
 def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then ``__score``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __score double"
+    """All columns of ``docs``, then score (with underscores behind where that name is taken)."""
+    name = unused("score", docs.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {name} double"
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +258,7 @@ def score(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataF
             for first, end, data, at in chunks(batch.column(where)):
                 found = net.score(features(data, at)) if net else np.full(end - first, 0.5)
                 part = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, "__score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*part.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

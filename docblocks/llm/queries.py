@@ -18,7 +18,7 @@ HELD_OUT = 2
 
 def _verdict(scored: DataFrame, least: float) -> DataFrame:
     held = F.coalesce(remainder("doc_id", 4) == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +75,8 @@ def op9_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines kept and removed of every document, and a digest of what is left."""
     return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
-        F.col("__lines").alias("n_lines"),
-        F.col("__removed").alias("n_removed"),
+        "n_lines",
+        F.col("n_lines_removed").alias("n_removed"),
         F.octet_length("text").alias("n_bytes_left"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
@@ -95,13 +95,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict for every text."""
-    judged = fertility.judge(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    judged = fertility.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabulary("piece_bpe_32k.model"))
     return judged.select(
         "doc_id",
-        *[F.col(f"__m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.col("__base_failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-        *[F.col(f"__m.{c}").alias(c) for c in ("n_tokens", "chars_per_token", "byte_share", "entropy")],
+        *[F.col(f"measures.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        "base_failed",
+        "kept",
+        *[F.col(f"measures.{c}").alias(c) for c in ("n_tokens", "chars_per_token", "byte_share", "entropy")],
     )
 
 

@@ -25,19 +25,42 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Folders of stored tables that this process has begun and not cleared.
+_open: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names; set here only where it is unset, as in tests."""
+    """A new folder in the shared place that spark.checkpoint.dir names.
+
+    Where it is unset, a local master gets a folder of its own, as in tests; on a cluster that is an
+    error, since executors would each write to their own disk.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/docblocks-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/docblocks-{uuid.uuid4().hex}"
+    _open.append(f"{where.rstrip('/')}/docblocks-{uuid.uuid4().hex}")
+    return _open[-1]
+
+
+def opened() -> list[str]:
+    """The folders that operators have begun and nobody has cleared."""
+    return list(_open)
+
 
+def clear(spark: SparkSession, folders: list[str]) -> None:
+    """Remove these folders of stored tables: to be called once the results that read them are written."""
+    for folder in folders:
+        discard(spark, folder)
+        if folder in _open:
+            _open.remove(folder)
 
-def stored(frame: DataFrame, folder: str, name: str, codec: str = "snappy") -> DataFrame:
+
+def stored(frame: DataFrame, folder: str, name: str, codec: str = "snappy", rows_per_file: int = 0) -> DataFrame:
     """``frame`` written as Parquet under ``folder`` and read again: the lineage ends there."""
     spark, path = frame.sparkSession, f"{folder}/{name}"
-    frame.write.mode("overwrite").option("compression", codec).parquet(path)
+    frame.write.mode("overwrite").option("compression", codec).option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -53,6 +76,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes that name a text together."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def remainder(id_col: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col
