@@ -39,31 +39,15 @@ FROM h LEFT JOIN m ON m.doc_id = h.doc_id
 """
 
 
-_WIDTH = max(map(len, spaced.MASKS))
-
-
-def _seeds(table: str) -> str:
-    ahead = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(_WIDTH))
-    seeds = " UNION ALL ".join(f"SELECT k, p, {n} AS m, " + " || ' ' || ".join(f"w{i}" for i, bit in enumerate(mask) if bit == "1") + f" AS s FROM {table}w" for n, mask in enumerate(spaced.MASKS))
-    return f"{table}w AS MATERIALIZED (SELECT k, p, {ahead} FROM {table} WINDOW o AS (PARTITION BY k ORDER BY p)),\n{table}s AS MATERIALIZED ({seeds})"
-
-
-#: Leaks: hits of every mask give diagonals; along each, words are compared and summed over windows.
-SPACED = (
-    r"""WITH d AS MATERIALIZED (SELECT doc_id AS k, unnest(t) AS w, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS p FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS t FROM documents) x),
-b AS MATERIALIZED (SELECT item_id AS k, unnest(t) AS w, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS p FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS t FROM benchmark) x),
-"""
-    + _seeds("d")
-    + ",\n"
-    + _seeds("b")
-    + f""",
-h AS MATERIALIZED (SELECT DISTINCT ds.k AS doc_id, bs.k AS item_id, ds.p - bs.p AS start FROM ds JOIN bs ON bs.m = ds.m AND bs.s = ds.s WHERE ds.s IS NOT NULL),
-a AS (SELECT h.doc_id, h.item_id, h.start, b.p, CASE WHEN d.w = b.w THEN 1 ELSE 0 END AS same, least(count(*) OVER (PARTITION BY h.doc_id, h.item_id, h.start), {spaced.WINDOW}) AS span
+#: Leaks without any mask: every word that an item and a text share gives a diagonal; along each, words are compared and summed over windows.
+SPACED = rf"""WITH d AS MATERIALIZED (SELECT doc_id AS k, unnest(t) AS w, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS p FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS t FROM documents) x),
+b AS MATERIALIZED (SELECT item_id AS k, unnest(t) AS w, CAST(generate_subscripts(t, 1) - 1 AS BIGINT) AS p, least(len(t), {spaced.WINDOW}) AS span FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS t FROM benchmark) x),
+h AS MATERIALIZED (SELECT d.k AS doc_id, b.k AS item_id, d.p - b.p AS start FROM d JOIN b ON b.w = d.w WHERE d.w <> '' GROUP BY 1, 2, 3 HAVING count(*) >= ceil(any_value(b.span) * {spaced.SHARE})),
+a AS (SELECT h.doc_id, h.item_id, h.start, b.p, b.span, CASE WHEN d.w = b.w THEN 1 ELSE 0 END AS same
  FROM h JOIN b ON b.k = h.item_id LEFT JOIN d ON d.k = h.doc_id AND d.p = h.start + b.p),
 o AS (SELECT *, CAST(sum(same) OVER (PARTITION BY doc_id, item_id, start ORDER BY p ROWS BETWEEN {spaced.WINDOW - 1} PRECEDING AND CURRENT ROW) AS INTEGER) AS matched FROM a),
 z AS (SELECT doc_id, item_id, start, max(matched) AS matched, any_value(span) AS span FROM o WHERE p >= span - 1 GROUP BY 1, 2, 3)
 SELECT doc_id, item_id, CAST(start AS INTEGER) AS start, matched, CAST(span AS INTEGER) AS compared FROM z WHERE matched >= ceil(span * {spaced.SHARE})
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) = 1
 """
-)
 ORACLES = {"op2_setsketch": SETSKETCH, "op3_suffix_levels": SUFFIXES, "op7_spaced_seeds": SPACED}
