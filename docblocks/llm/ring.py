@@ -1,12 +1,14 @@
 """Op 4: sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has CELLS cells. Every shard owns ``vnodes`` virtual nodes, each at the end of a cell; a
+The ring has four cells or more for each virtual node. Every shard owns ``vnodes`` virtual nodes, each at the end of a cell; a
 key belongs to the first virtual node at or after its cell. Keys are taken in ring order; one whose
 shard is full continues clockwise to the next virtual node of a shard with room. Loads are bounded
-by counts: shard capacities are N // shards, one more for the first N % shards, so counts differ by
-one at most and only the overflow leaves its home.
+by counts: without ``slack``, shard capacities are N // shards, one more for the first N % shards, so
+counts differ by one at most and only the overflow leaves its home; with it, a shard takes up to
+(1 + slack) times the mean, and one more shard moves little else than its own share (the README has
+measured shares).
 
-Only counts of cells (at most CELLS numbers) and of sorted partitions reach the driver, which plans
+Only counts of cells (as many as the ring has, by the number of shards) and of sorted partitions reach the driver, which plans
 runs of ranks: each run ends an arc or fills a shard, so there are at most vnodes + shards of them.
 Rows then find their run by rank. Ranks come from a range sort of narrow rows (no texts) with a tie
 breaker, so a key that a third of the rows share is split over partitions like any other.
@@ -19,38 +21,48 @@ further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import shared_folder, stored
 
-CELLS = 1 << 16
+#: Least bits of a cell's number; a ring of many shards has more.
+BITS = 16
 VNODES = 128
 
 
+def ring_bits(shards: int, vnodes: int = VNODES) -> int:
+    """Bits of a cell's number: four cells or more for each virtual node."""
+    return max(BITS, (4 * shards * vnodes - 1).bit_length())
+
+
 def virtual_nodes(shards: int, vnodes: int = VNODES) -> list[tuple[int, int]]:
     """(cell, shard) of every virtual node in ring order; one that hashes to a taken cell goes to the next free one."""
-    if shards * vnodes > CELLS // 4:
-        raise ValueError("too many virtual nodes for the ring")
+    cells = 1 << ring_bits(shards, vnodes)
     taken: dict[int, int] = {}
     for shard in range(shards):
         for v in range(vnodes):
-            cell = int.from_bytes(hashlib.blake2b(f"{shard}:{v}".encode(), digest_size=8).digest(), "big") % CELLS
+            cell = int.from_bytes(hashlib.blake2b(f"{shard}:{v}".encode(), digest_size=8).digest(), "big") % cells
             while cell in taken:
-                cell = (cell + 1) % CELLS
+                cell = (cell + 1) % cells
             taken[cell] = shard
     return sorted(taken.items())
 
 
-def capacities(total: int, shards: int) -> list[int]:
+def capacities(total: int, shards: int, slack: float = 0.0) -> list[int]:
+    """Rows that each shard may take: the mean and its share of ``slack``; without slack, counts are at most one apart."""
+    if slack:
+        return [math.ceil((1 + slack) * total / shards)] * shards
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def plan_runs(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list[tuple[int, int, int, int, int]]:
+def plan_runs(counts: dict[int, int], shards: int, vnodes: int = VNODES, slack: float = 0.0) -> list[tuple[int, int, int, int, int]]:
     """Runs (first cell, last cell, first rank, shard, first slot) in rank order, from the counts of cells."""
+    cells = 1 << ring_bits(shards, vnodes)
     nodes = virtual_nodes(shards, vnodes)
-    room = capacities(sum(counts.values()), shards)
+    room = capacities(sum(counts.values()), shards, slack)
     slots = [0] * shards
     runs: list[tuple[int, int, int, int, int]] = []
     # arcs in the order of their keys: the keys beyond the last node belong to the first one
@@ -58,8 +70,8 @@ def plan_runs(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list
     for at, (cell, _) in enumerate(nodes):
         arcs.append((begin, cell, at))
         begin = cell + 1
-    if begin < CELLS:
-        arcs.append((begin, CELLS - 1, 0))
+    if begin < cells:
+        arcs.append((begin, cells - 1, 0))
     filled = sorted(counts)
     where, rank = 0, 0
     for first, last, home in arcs:
@@ -81,7 +93,7 @@ def plan_runs(counts: dict[int, int], shards: int, vnodes: int = VNODES) -> list
     return runs
 
 
-def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES) -> DataFrame:
+def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES, slack: float = 0.0) -> DataFrame:
     """(id, size, text_crc32, shard, slot, home_shard) of every row."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -95,7 +107,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     )
     narrow = stored(narrow, folder, "keys")
     ranked = narrow.repartitionByRange("__place", "__id", "text_crc32", "__tie").sortWithinPartitions("__place", "__id", "text_crc32", "__tie")
-    ranked = ranked.withColumns({"__cell": F.shiftright("__place", 62 - 16).cast("int"), "__at": F.monotonically_increasing_id()}).drop("__tie", "__place")
+    ranked = ranked.withColumns({"__cell": F.shiftright("__place", 62 - ring_bits(shards, vnodes)).cast("int"), "__at": F.monotonically_increasing_id()}).drop("__tie", "__place")
     ranked = stored(ranked, folder, "ranked")
     part = F.shiftright("__at", 33)
     inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -105,7 +117,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         offsets.append((pid, before))
         before += n
     counts = {r[0]: r[1] for r in ranked.groupBy("__cell").count().collect()}
-    runs = plan_runs(counts, shards, vnodes)
+    runs = plan_runs(counts, shards, vnodes, slack)
     nodes = virtual_nodes(shards, vnodes)
 
     spread, home = [], 0
@@ -120,7 +132,7 @@ def shard(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
         for cell in range(first, last + 1):
             if cell in counts:
                 spread += [(cell, rank, end, to, slot, owner) for (rank, to, slot), end in zip(parts, ends, strict=True)]
-    #: at most CELLS + runs rows, and a row for each sorted partition: bounded whatever the input
+    #: at most a row for each cell and run, and a row for each sorted partition: bounded whatever the input
     table = F.broadcast(spark.createDataFrame(spread, "__c int, __first long, __end long, shard int, __slot long, home_shard int"))
     starts = F.broadcast(spark.createDataFrame(offsets, "__p long, __before long"))
     rank = F.col("__before") + inside

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, chunks, gram_hashes, mix
 from .components import components
-from .tables import discard, shared_folder, stored
+from .tables import discard, shared_folder, stored, text_keys, unused
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
@@ -47,7 +47,9 @@ LEVELS = 2**16 - 2
 #: A candidate goes on while the likelihood at the threshold is at least exp(-SLACK) of the greatest.
 SLACK = 12.0
 #: Classes of a block.
-BLOCK = 256
+BLOCK = 96
+#: Blocks of a main component that meet a block of strays in one task.
+GROUP = 16
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0xD1B54A32D192ED03))
 
@@ -120,8 +122,8 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> DataFrame:
-    """(id, n, sig, regs): size, signature and registers of every text's set."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """(id, h1, h2, n, sig, regs): the text's two keys, then size, signature and registers of its set."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[k.alias(f"h{i}") for i, k in enumerate(text_keys(F.col(text_col)), 1)])
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,9 +141,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int = SHINGLE) -> D
                     sig[full, 1] = mix(np.add.reduceat(mix(value + U64(0x14057B7EF767814F)), begins) ^ counts[full].astype(U64))
                     regs[full] = registers(value, begins)
                 binary = lambda x, w: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * w).astype(np.int32)), pa.py_buffer(x)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(counts.astype(np.int64)), binary(sig.astype(">u8"), 16), binary(regs, 2 * REGISTERS)], ["id", "n", "sig", "regs"])
+                of = [batch.column(i).slice(first, n) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(counts.astype(np.int64)), binary(sig.astype(">u8"), 16), binary(regs, 2 * REGISTERS)], ["id", "h1", "h2", "n", "sig", "regs"])
 
-    return source.mapInArrow(run, f"id {kind}, n long, sig binary, regs binary")
+    return source.mapInArrow(run, f"id {kind}, h1 long, h2 long, n long, sig binary, regs binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -208,11 +211,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k
 
 
 def _blocked(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """(main, name): the classes of every main component's buckets with their sets, in lists of about BLOCK, dealt by a hash."""
+    """(main, part, parts, name): the classes of every main component's buckets with their sets, in lists of about BLOCK, dealt by a hash."""
     counts = members.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).withColumnRenamed("main", "k")
-    dealt = members.join(counts, F.col("main") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts"))).drop("k", "parts")
+    dealt = members.join(counts, F.col("main") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts"))).drop("k")
     full = dealt.join(sets.withColumnRenamed("sig", "g"), F.col("sig") == F.col("g"))
-    return full.groupBy("main", "part").agg(F.collect_list(F.struct("sig", "root", "set")).alias(name)).drop("part")
+    return full.groupBy("main", "part", "parts").agg(F.collect_list(F.struct("sig", "root", "set")).alias(name))
 
 
 def _block_links(mine: pa.StructArray, theirs: pa.StructArray, similarity: tuple[int, int]) -> list[tuple[bytes, bytes]]:
@@ -266,7 +269,12 @@ def _cross_links(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int])
     all that share a bucket of that component: block against block, by a matrix product.
     """
     everyone = open_.select("main", "sig", "root").distinct()
-    blocks = _blocked(everyone, sets, "mine").join(_blocked(everyone.where("root != main"), sets, "strays"), "main").select("mine", "strays")
+    strays = everyone.where("root != main")
+    dealt = [strays.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).alias("n")), everyone.groupBy("main").agg(F.ceil(F.count("*") / (BLOCK * GROUP)).alias("n"))]
+    # each block of strays meets GROUP blocks of its component in one task: the key has both sides' parts
+    mine = _blocked(everyone, sets, "mine").join(dealt[0], "main").select("main", F.floor(F.col("part") / GROUP).alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), "mine")
+    theirs = _blocked(strays, sets, "strays").join(dealt[1], "main").select("main", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("group"), "part", "strays")
+    blocks = mine.join(theirs, ["main", "group", "part"]).select("mine", "strays")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,8 +285,8 @@ def _cross_links(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int])
     return blocks.mapInArrow(run, "a binary, b binary")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, k: int = SHINGLE) -> DataFrame:
-    """(id, n_shingles, component_id) of every row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: tuple[int, int], k: int) -> tuple[DataFrame, DataFrame, str]:
+    """The sketches of all rows, (s, root) of all classes, and the folder of the tables: linked classes have one root."""
     spark = docs.sparkSession
     folder = shared_folder(spark)
     threshold = similarity[0] / similarity[1]
@@ -286,7 +294,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     classes = stored(rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs")), folder, "classes")
 
     bands = stored(band_keys(classes), folder, "bands")
-    shared = stored(bands.groupBy("band").agg(F.min("sig").alias("pivot"), F.count("*").alias("c")).where("c > 1"), folder, "shared")
+    shared = bands.groupBy("band").agg(F.min("sig").alias("pivot"), F.count("*").alias("c")).where("c > 1")
     members = stored(bands.join(shared.select(F.col("band").alias("k"), "pivot"), F.col("band") == F.col("k")).select("band", "sig", "pivot"), folder, "members")
     discard(spark, f"{folder}/bands")
 
@@ -310,13 +318,44 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     open_ = placed.join(main, F.col("band") == F.col("k")).select("sig", "root", "main")
     links = stored(links.union(_cross_links(open_, sets, similarity)), folder, "links-2")
     roots = stored(components(links, folder), folder, "roots-2")
-
-    named = classes.select("sig", "doc").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc", F.coalesce("root", "sig").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc").alias("least"))
-    least = stored(least, folder, "least")
-    named = stored(named.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "least"), folder, "named")
-    for name in ("members", "sets", "classes", "placed"):
+    named = classes.select("sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(F.col("sig").alias("s"), F.coalesce("root", "sig").alias("root"))
+    named = stored(named, folder, "named")
+    for name in ("likely", "links-1", "links-2", "roots-1", "roots-2", "main", "members", "sets", "placed", "classes"):
         discard(spark, f"{folder}/{name}")
+    return rows, named, folder
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """(id, n_shingles, component_id) of every row."""
+    rows, named, folder = _classes(docs, id_col, text_col, similarity, k)
+    of = rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("doc")).join(named, F.col("sig") == F.col("s")).select("s", "root", "doc")
+    least = of.groupBy("root").agg(F.min("doc").alias("least")).withColumnRenamed("root", "r")
+    of = stored(of.join(least, F.col("root") == F.col("r")).select("s", "least"), folder, "least")
     full = rows.select("id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    out = full.join(named, F.col("sig") == F.col("s"), "left")
+    out = full.join(of, F.col("sig") == F.col("s"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, k: int = SHINGLE) -> DataFrame:
+    """One row of each component, with its columns: the one of least id (a null id comes last), on ties of least text key.
+
+    Rows are told apart by id and text, not by id alone: two texts under one id are two rows, and of
+    rows that repeat id and text one stays. Texts without words are in no component and all stay.
+    """
+    rows, named, folder = _classes(docs, id_col, text_col, similarity, k)
+    member = rows.where("n > 0").join(named, F.col("sig") == F.col("s")).select("root", "id", "h1", "h2")
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h1", "h2")).alias("b")).withColumnRenamed("root", "r")
+    first = F.col("id").eqNullSafe(F.col("b.id")) & (F.col("h1") == F.col("b.h1")) & (F.col("h2") == F.col("b.h2"))
+    marks = member.join(best, F.col("root") == F.col("r")).groupBy("id", "h1", "h2").agg(F.first(first).alias("best"), F.count("*").alias("c"))
+    marks = stored(marks.where("not best or c > 1"), folder, "marks")
+    name = {n: unused(n, docs.columns) for n in ("id_", "h1_", "h2_", "best_")}
+    marks = marks.select(*[F.col(n[:-1]).alias(name[n]) for n in name])
+    keys = text_keys(F.col(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(name["id_"])) & (keys[0] == F.col(name["h1_"])) & (keys[1] == F.col(name["h2_"]))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    lone = docs.join(marks, same, "left_anti")
+    if not marks.where(name["best_"]).limit(1).count():
+        return lone
+    # what repeats id and text of the row that stays: one of them
+    again = docs.join(marks.where(name["best_"]), same).groupBy(*[name[n] for n in ("id_", "h1_", "h2_")]).agg(F.first(F.struct(*own)).alias(name["best_"]))
+    return lone.unionByName(again.select(f"{name['best_']}.*"))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -108,10 +109,10 @@ def test_counts_of_the_rules(docs, empty):
     rows = judged.collect()
     assert len(rows) == len(DOCS)
     for row in rows:
-        m = row["__m"]
+        m = row["measures"]
         assert (m["n_words"], m["word_chars"], m["n_symbols"], m["n_dup_lines"], m["n_repeat_words"]) == brute(row["text"])
-        assert row["__base_failed"] == (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"])
-        assert not (row["__base_failed"] and row["__kept"])
+        assert row["base_failed"] == (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"])
+        assert not (row["base_failed"] and row["kept_"])
     assert fertility.filter_documents(empty, path).columns == empty.columns
 
 
@@ -119,9 +120,9 @@ def test_bands_reject_noise(spark):
     english = "It was a bright cold day in April and the clocks were striking thirteen while the people of the town walked home from work in the rain. " * 1
     rows = [(0, english + "They spoke about the weather, the price of bread and the long summer that nobody expected to end.", "en"), (1, " ".join(f"{w}$$$ ### |" for w in english.split()), "en"), (2, "這是一個關於城市與河流的故事 人們在河邊散步 " * 3, None)]
     path = vocabulary("piece_bpe_32k.model")
-    kept = {r["doc_id"]: r["__m"] for r in fertility.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string"), path).collect()}
+    kept = {r["doc_id"]: r["measures"] for r in fertility.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string"), path).collect()}
     assert kept[1]["chars_per_token"] < kept[0]["chars_per_token"]
-    assert fertility.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string"), path).where("__kept and doc_id = 0").count() == 1
+    assert fertility.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string"), path).where("kept and doc_id = 0").count() == 1
 
 
 # 9
@@ -172,9 +173,9 @@ def test_line_runs(spark, docs, empty):
     expected = brute_lines(rows, lines.MIN_WORDS)
     removed = collections.defaultdict(set)
     for r in out:
-        removed[r["doc_id"]].add(r["__removed"])
+        removed[r["doc_id"]].add(r["n_lines_removed"])
     assert {k: v for k, v in removed.items() if v != {0}} == {i: {n} for (i, _), n in expected.items()}
-    assert lines.dedup(docs).columns == [*docs.columns, "__lines", "__removed"]
+    assert lines.dedup(docs).columns == [*docs.columns, "n_lines", "n_lines_removed"]
     assert lines.dedup(empty).count() == 0
 
 
@@ -230,6 +231,29 @@ def test_near_duplicates(spark, docs, empty):
     assert setsketch.groups(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark, docs, empty):
+    """Repeats under one id, null ids, one id over two texts: rows are told apart by id and text."""
+    other = prose(80)
+    rows = [*DOCS, (30, BASE), (30, other), (None, BASE), (31, BASE.upper()), (31, BASE.upper()), (None, None), (None, ""), (None, prose(90))]
+    component = {int(i): c for i, _, c in brute_components([(i, t) for i, (_, t) in enumerate(rows)])}
+    expected = collections.Counter()
+    for members in [[i for i in range(len(rows)) if component[i] == c] for c in sorted(set(component.values()))]:
+        if not tokens(rows[members[0]][1]):
+            expected.update(rows[i] for i in members)
+            continue
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in members)
+        same = [rows[i] for i in members if (rows[i][0] is None, rows[i][0] or 0) == least]
+        expected[same[0][0]] += 1
+    frame = spark.createDataFrame([(i, t, "h", 1, True) for i, t in rows], "doc_id long, text string, h1 string, best_ int, id_ boolean").repartition(3)
+    out = setsketch.deduplicate(frame)
+    assert out.columns == frame.columns
+    got = collections.Counter()
+    for r in out.collect():
+        got[(r["doc_id"], r["text"]) if not tokens(r["text"]) else r["doc_id"]] += 1
+    assert got == expected
+    assert setsketch.deduplicate(empty).count() == 0
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (800, 100, 100))
@@ -307,7 +331,7 @@ def test_ring(docs, empty):
 
 
 def test_runs_follow_the_ring():
-    counts = {c: 3 for c in range(0, ring.CELLS, 257)}
+    counts = {c: 3 for c in range(0, 1 << ring.ring_bits(24), 257)}
     runs = ring.plan_runs(counts, 7, 16)
     total = sum(counts.values())
     assert [r[2] for r in runs] == sorted(r[2] for r in runs)
@@ -319,6 +343,44 @@ def test_runs_follow_the_ring():
     assert sorted(loads.values()) == sorted(ring.capacities(total, 7))
 
 
+def brute_ring(ids, shards, slack=0.0):
+    """Keys one by one in ring order, each to the first shard with room clockwise from its place: (home, shard) of every id."""
+    bits = ring.ring_bits(shards)
+    nodes = ring.virtual_nodes(shards)
+    room = ring.capacities(len(ids), shards, slack)
+    out = {}
+    for place, i in sorted(ids):
+        cell = place >> (62 - bits)
+        at = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        home = nodes[at][1]
+        while not room[nodes[at % len(nodes)][1]]:
+            at += 1
+        room[nodes[at % len(nodes)][1]] -= 1
+        out[i] = (home, nodes[at % len(nodes)][1])
+    return out
+
+
+@pytest.mark.parametrize("shards, slack", [(5, 0.0), (24, 0.0), (24, 0.25), (200, 0.5)])
+def test_the_ring_is_walked_key_by_key(spark, shards, slack):
+    frame = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text", "1 as shard", "2 as slot", "3 as __cell").repartition(3)
+    places = [(r[0], r[1]) for r in frame.select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 2), "doc_id").collect()]
+    expected = brute_ring(places, shards, slack)
+    out = {r["doc_id"]: (r["home_shard"], r["shard"]) for r in ring.shard(frame, shards, slack=slack).collect()}
+    assert out == expected
+    loads = collections.Counter(s for _, s in out.values())
+    assert max(loads.values()) <= math.ceil((1 + slack) * 3000 / shards)
+
+
+def test_one_more_shard_moves_little(spark):
+    """With slack, what moves when a shard joins is near its own share; without, the bound itself moves rows."""
+    frame = spark.range(20000).selectExpr("id as doc_id", "'' as text").repartition(3)
+    moved = {}
+    for slack in (0.25, 1.0):
+        before, after = ({r["doc_id"]: r["shard"] for r in ring.shard(frame, n, slack=slack).collect()} for n in (24, 25))
+        moved[slack] = sum(before[i] != after[i] for i in before) / len(before)
+    assert 1 / 25 * 0.6 < moved[1.0] < 0.08 and moved[1.0] <= moved[0.25] < 0.25
+
+
 def test_one_hot_key_is_spread(spark):
     rows = spark.range(300).selectExpr("cast(1 as long) as doc_id", "cast(id as string) as text")
     assert sorted(r["count"] for r in ring.shard(rows, 7).groupBy("shard").count().collect()) == [42, 43, 43, 43, 43, 43, 43]
@@ -455,6 +517,53 @@ def test_leaks(spark, docs, empty):
     assert spaced.overlaps(empty, bench).count() == 0 and spaced.overlaps(docs, empty.selectExpr("doc_id as item_id", "text")).count() == 0
 
 
+def brute_leaks(rows, items):
+    """Every placing of every item along every text, no masks: (row, item) where enough words of a window agree."""
+    split = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).split()
+    found = set()
+    for r, (_, text) in enumerate(rows):
+        words = split(text)
+        for item, it in items:
+            theirs = split(it)
+            n = min(len(theirs), spaced.WINDOW)
+            for start in range(-len(theirs) + 1, len(words)) if theirs else ():
+                same = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(theirs)]
+                if any(sum(same[i : i + n]) >= math.ceil(n * spaced.SHARE) for i in range(len(theirs) - n + 1)):
+                    found.add((r, item))
+                    break
+    return found
+
+
+def test_short_items_are_found_with_every_tolerated_substitution(spark):
+    """Items of 1 to 16 words, each with random substitutions up to the tolerated number and one more."""
+    rng = random.Random(21)
+    letters = [f"w{i}" for i in range(4000)]
+    items, rows = [], []
+    for n in [*range(1, 17), 20]:
+        for _ in range(6):
+            words = rng.sample(letters, n)
+            items.append((len(items), " ".join(words)))
+            spare = min(n, 16) - math.ceil(min(n, 16) * spaced.SHARE)
+            for wrong in (0, spare, spare, spare + 1):
+                changed = [f"x{rng.random()}".replace(".", "") if i in rng.sample(range(n), min(wrong, n)) else w for i, w in enumerate(words)]
+                rows.append((len(rows), " ".join([*(f"p{rng.randint(0, 99)}" for _ in range(rng.randint(0, 9))), *changed, "q"])))
+    assert all(spaced.masks_for(n) for n in range(1, 17))
+    found = {(r["doc_id"], r["item_id"]) for r in spaced.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute_leaks(rows, items)
+
+
+def test_leaking_rows_go_by_id_and_text(spark):
+    """A null id doesn't keep a leak, and rows that share an id with a leak stay; repeats are judged alike; long texts and clashing names work."""
+    item = prose(30)
+    long = prose(400_000)
+    rows = [(None, item), (None, "clean text of no interest"), (1, item), (1, "another clean text"), (1, item), (2, long + " " + item), (3, long), (4, None), (5, "")]
+    frame = spark.createDataFrame([(i, t, 1, "a", "b", 2) for i, t in rows], "doc_id long, text string, __pos int, key string, held string, __item int")
+    bench = spark.createDataFrame([(0, item), (1, item)], "item_id long, text string")
+    kept = spaced.decontaminate(frame, bench)
+    assert kept.columns == frame.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "")[:20]) for r in kept.collect()) == sorted([("None", "clean text of no inte"[:20]), ("1", "another clean text"), ("3", long[:20]), ("4", ""), ("5", "")])
+
+
 # 1 and 6
 
 
@@ -465,7 +574,7 @@ def test_quality_learns_from_positives(spark, empty):
     positives = frame.where("doc_id % 4 != 0 and doc_id < 400")
     net = pulearn.train(frame, positives, frame)
     assert 0.6 < net.prior < 0.9
-    out = {r["doc_id"]: r["__score"] for r in pulearn.score(frame, net).collect()}
+    out = {r["doc_id"]: r["score"] for r in pulearn.score(frame, net).collect()}
     held = [i for i in range(400, 800)]
     assert pulearn.auc(np.array([i % 4 != 0 for i in held]), np.array([out[i] for i in held])) > 0.97
     assert out[900] == out[901] and 0 <= out[900] <= 1
@@ -477,12 +586,23 @@ def test_grammar_weighs_clauses(spark, empty):
     def raw(text):
         return [grammar.raw_scores(d, o, grammar.Lexicon())[0] for _, _, d, o in chunks(pa.array([text]))][0]
 
-    assert raw("you are an idiot") > raw("an idiot") > raw("he is not an idiot") > raw("a calm day") == 0
-    assert raw("they said: idiot") < raw("idiot")
-    assert raw("I will kill you") < raw("you I will kill")
-    assert raw("kill. you") == pytest.approx(0.2)
-    assert raw("IDIOT!!! Another clause. stupid") == pytest.approx(2.0)
-    assert raw("idiotic") == 0
+    # targets on both sides, copulas and determiners make frames; a word by itself is none
+    assert raw("you are an idiot") > raw("this one is stupid") > raw("an idiot") > raw("idiot") == raw("idiotic") == raw("a calm day") == 0
+    assert raw("idiot that you are") == raw("you idiot") == pytest.approx(1.3)
+    # a threat needs an object, on either side; a subject is none
+    assert raw("I will kill you") > raw("they kill time") == raw("you people beat the odds") == raw("kill. you") == 0
+    assert raw("ich werde dich töten") == raw("kill them all") == pytest.approx(1.3)
+    # negation in reach, reported speech and quotation over the whole clause
+    assert raw("you are an idiot") > raw("you are not an idiot") > 0 and raw("you are not here and, as all of us know, an idiot") == raw("an idiot")
+    for quoted in ("they said you are an idiot", "you are an idiot, she told us", '"you are an idiot"', "\u201cyou are an idiot\u201d", "\u00abyou are an idiot\u00bb"):
+        assert 0 < raw(quoted) < raw("you are an idiot"), quoted
+    assert raw('"as is" you are an idiot') == raw("you are an idiot")
+    # without a frame, only further insults of the text count
+    assert raw("idiot! another clause. stupid") == pytest.approx(2 * grammar.UNFRAMED)
+    texts = ["you are an idiot", "", "idiot", "kill. you", '"', "you"]
+    at = np.cumsum([0, *map(len, texts)])
+    together = grammar.raw_scores(np.frombuffer("".join(texts).encode(), np.uint8), at, grammar.Lexicon())
+    assert together.tolist() == [raw(t) for t in texts]
 
 
 def test_toxicity_learns_stems(spark, empty):
@@ -498,7 +618,7 @@ def test_toxicity_learns_stems(spark, empty):
     frame = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
     lexicon = grammar.train(frame, table.where("doc_id < 600"))
-    out = {r["doc_id"]: r["__score"] for r in grammar.score(frame, lexicon).collect()}
+    out = {r["doc_id"]: r["score"] for r in grammar.score(frame, lexicon).collect()}
     wrong = [i for i in range(600, 900) if (out[i] >= 0.3) != (i % 8 == 0)]
     assert not wrong and out[1000] < 0.3
     assert grammar.score(empty, lexicon).count() == 0
