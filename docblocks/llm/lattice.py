@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesets import Words, chunks, held, prefix_sums, ragged, span_hashes
+from .bytesets import Words, chunks, held, prefix_sums, ragged, span_hashes, string_bytes
 from .tables import discard, release, shared_folder, stored
 
 #: A vocabulary with a piece of more bytes is refused, as stretches carry values over a piece's length only.
@@ -47,6 +47,9 @@ LATTICE_BYTES = 1 << 18
 #: Text bytes of a block.
 BLOCK_BYTES = 12 << 20
 SMOOTH = 0.1
+WORDS_PER_FILE = 60_000
+#: Text bytes whose words are counted at once.
+COUNT_BYTES = 1 << 20
 
 
 class Pieces:
@@ -252,7 +255,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for first, end, data, at in chunks(batch.column(2), 4 << 20):
+            for first, end, data, at in chunks(batch.column(2), COUNT_BYTES):
                 cuts = np.flatnonzero(np.append(True, block[first + 1 : end] != block[first : end - 1]))
                 for low, high in zip(cuts, np.append(cuts[1:], end - first), strict=True):
                     words, where, which = _distinct(data[at[low] : at[high]], at[low : high + 1] - at[low])
@@ -275,7 +278,7 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, filled = 0, 0
         for batch in batches:
-            sizes = np.diff(np.concatenate([[0], np.cumsum([len(x) for x in batch.column(3).cast(pa.binary()).to_pylist()])]))
+            sizes = np.diff(string_bytes(batch.column(3))[1])
             out = np.empty(batch.num_rows, dtype=np.int64)
             part = batch.column(0).to_numpy()
             for i, s in enumerate(sizes.tolist()):
@@ -289,7 +292,8 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     blocks = stored(blocks, folder, "blocks", "zstd")
     found = block_words(blocks).groupBy("block", "word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
     found = stored(found, folder, "words", "zstd")
-    every = stored(found.groupBy("word").agg(F.sum("t").alias("n")), folder, "counts", "zstd")
+    every = found.groupBy("word").agg(F.sum("t").alias("n"))
+    every = stored(every, folder, "counts", "zstd", WORDS_PER_FILE)  # small files: what takes time a row is dealt by rows
     release(spark)
     counts = every.where("n > 0")
     total = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
@@ -337,6 +341,9 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     discard(spark, f"{folder}/counts")
     release(spark)
     looked = found.join(weighed, F.col("word") == F.col("w")).select("block", "word", "n", "lm")
+    # a task for each block or two, whatever the session's number of partitions
+    n_blocks = blocks.select("block").distinct().count()
+    tasks = max(2 * n_blocks, 1)
     end_base = float(np.log10((texts + SMOOTH) / (n_train + SMOOTH * (vocabulary + 1))))
 
     def join(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +388,7 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
                     ["id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out = blocks.groupBy("block").cogroup(looked.groupBy("block")).applyInArrow(_whole(join), f"id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = blocks.repartition(tasks, "block").groupBy("block").cogroup(looked.repartition(tasks, "block").groupBy("block")).applyInArrow(_whole(join), f"id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
