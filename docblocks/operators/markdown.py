@@ -98,14 +98,15 @@ def signature_lines(text: Column) -> Column:
     return F.when(at == 0, F.array(text)).otherwise(F.concat(F.when(T.strip(head) != "", F.array(head)).otherwise(F.array().cast("array<string>")), F.filter(tail, lambda p: T.strip(p) != "")))
 
 
-def signature_indices(flags: Column, short: Column) -> Column:
+def signature_indices(flags: Column, short: Column, tail: Column | None = None) -> Column:
     """Positions (from 0) of all signature lines: the block at the end, and blocks inside that start at a mark.
 
     Inside, a centred mark goes on over flagged lines, another over at most four short lines that
     don't end like sentences; two lines are the least, and a block that touches the end is the end's.
+    ``tail`` is ``signature_tail`` of the same arrays; a column of its own keeps it from being computed for every line.
     """
     total = F.size(flags)
-    tail = O.signature_tail(flags, short)
+    tail = O.signature_tail(flags, short) if tail is None else tail
     empty = F.array().cast("array<int>")
     start = F.struct(F.lit(0).alias("i"), empty.alias("open"), F.lit(False).alias("centred"), empty.alias("out"))
     both = F.arrays_zip(flags.alias("f"), short.alias("s"))

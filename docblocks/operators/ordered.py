@@ -99,7 +99,7 @@ def quoted_spans(texts: Column) -> Column:
         t = T.strip(raw)
         first = F.substring(t, 1, 1)
         mark = F.element_at(opening, first)
-        rest = F.substring(t, 2, 1_000_000)
+        rest = F.substr(t, F.lit(2))
         # spans that are open: this paragraph closes, breaks or leaves each as it is; the earliest that closes wins
         seen = F.transform(
             acc["open"],
@@ -165,6 +165,22 @@ def list_levels(levels: Column) -> Column:
     return F.aggregate(levels, start, step, lambda acc: acc["out"])
 
 
+def list_html(items: Column) -> Column:
+    """Nested lists from an array of (level, html of an item with its closing tag): the first item sets the margin."""
+    first = F.get(items, F.lit(0))["level"]
+    opens = F.when(first > 0, F.concat(F.lit('<ul style="margin-left:'), (2 * first).cast("string"), F.lit('em">'))).otherwise(F.lit("<ul>"))
+    start = F.struct(F.lit("").alias("out"), F.lit(-1).alias("prev"))
+    cut = F.length(F.lit("</li>"))
+
+    def step(acc: Column, item: Column) -> Column:
+        level = F.greatest(F.lit(0), F.least(item["level"] - first, acc["prev"] + 1)).cast("int")
+        back = F.concat(F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.greatest(acc["prev"] - level, F.lit(0))))
+        joint = F.when(acc["prev"] < 0, "").when(level > acc["prev"], "<ul>").otherwise(back)
+        return F.struct(F.concat(acc["out"], joint, F.substr(item["html"], F.lit(1), F.length(item["html"]) - cut)).alias("out"), level.alias("prev"))
+
+    return F.aggregate(items, start, step, lambda acc: F.concat(opens, acc["out"], F.lit("</li>"), F.repeat(F.lit("</ul></li>"), F.greatest(acc["prev"], F.lit(0))), F.lit("</ul>")))
+
+
 def glue_numbers(lines: Column) -> Column:
     """Lines that are fragments of a number joined to the next line with text; blank lines between them go."""
     start = F.struct(F.lit("").alias("number"), F.array().cast("array<string>").alias("out"))

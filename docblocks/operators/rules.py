@@ -28,10 +28,16 @@ def class_from_format(strike: Column, grey: Column, spaced: Column, bold: Column
 
 
 def class_from_cell(size: Column, align: Column, first_row: Column) -> Column:
-    """Class of a table cell: small fonts first, then the header row, then the alignment."""
-    by_align = F.when(align == "center", "Tabela_Texto_Centralizado").when(align == "right", "Tabela_Texto_Alinhado_Direita").otherwise("Tabela_Texto_Alinhado_Esquerda")
-    plain = F.coalesce(align, F.lit("left")).isin("left", "justify")
-    return F.when((size <= 8.5) & plain & ~first_row, "Tabela_Texto_8").when((size <= 10.5) & plain & ~first_row, "Tabela_Texto_10").when(first_row, "Tabela_Texto_Centralizado").otherwise(by_align)
+    """Class of a table cell: small fonts whose class has the cell's alignment, then the header row, then the alignment."""
+    plain = align.isNull() | align.isin("left", "justify")
+    centred = first_row | F.coalesce(align == "center", F.lit(False))
+    return (
+        F.when((size <= S.CELL_10_PT) & centred, "Tabela_Texto_10")
+        .when((size <= S.CELL_8_PT) & plain, "Tabela_Texto_8")
+        .when(centred, "Tabela_Texto_Centralizado")
+        .when(align == "right", "Tabela_Texto_Alinhado_Direita")
+        .otherwise("Tabela_Texto_Alinhado_Esquerda")
+    )
 
 
 def is_indented_quote(indent: Column, size: Column, body_size: Column, align: Column) -> Column:
@@ -44,8 +50,9 @@ def heading_level(style: Column) -> Column:
     return F.when(level != "", F.least(level.cast("int"), F.lit(4)))
 
 
-def paragraph_class(style: Column, depth: Column, convention: Column, num_format: Column, level: Column, base: Column, by_format: Column, quoted: Column, signed: Column, indent_quote: Column, align: Column, first_line_pt: Column, max_level: int = 4) -> Column:
-    """The full ladder for a body paragraph; the first rule that holds wins."""
+def paragraph_class(style: Column, depth: Column, convention: Column, num_format: Column, level: Column, base: Column, by_format: Column, quoted: Column, signed: Column, indent_quote: Column, align: Column, first_line_pt: Column, max_level: int = 4, named: Column | None = None) -> Column:
+    """The full ladder for a body paragraph; the first rule that holds wins. ``named`` is the class that the style names, if it is known."""
+    named = class_from_style(style) if named is None else named
     text = lambda x: x.cast("string")
     name = F.lower(F.coalesce(style, F.lit("")))
     deepest = max(1, min(4, max_level))
@@ -53,7 +60,7 @@ def paragraph_class(style: Column, depth: Column, convention: Column, num_format
     family = lambda n: F.when(convention == "paragrafos", F.concat(F.lit("Paragrafo_Numerado_Nivel"), text(F.least(n, F.lit(3))))).otherwise(F.concat(F.lit("Item_Nivel"), text(n)))
     no = F.lit(False)
     return (
-        F.when(class_from_style(style).isNotNull(), class_from_style(style))
+        F.when(named.isNotNull(), named)
         .when(F.coalesce(signed, no), "Tabela_Texto_Centralizado")
         .when(F.coalesce(quoted, no) & ~F.coalesce(align, F.lit("")).isin("center", "right"), "Citação")
         .when((depth > 0) & (convention == "paragrafos"), F.when(depth <= 3, F.concat(F.lit("Paragrafo_Numerado_Nivel"), text(depth))).otherwise("Item_Alinea_Letra"))
@@ -95,18 +102,20 @@ def max_unless_unknown(value: Column) -> Column:
 
 
 def inherited(styles: DataFrame, key: str, parent: str, value: str, depth: int = S.INHERITANCE_DEPTH) -> DataFrame:
-    """(key, value, steps): the first known value up the chain of parents, within ``depth`` steps; cycles end there."""
-    spark = styles.sparkSession
-    # a recursive query keeps each chain's frontier only
-    name = "docblocks_styles"
-    styles.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(value).alias("v")).createOrReplaceTempView(name)
-    walked = spark.sql(f"""
-        WITH RECURSIVE chain(k, steps, p, v) AS (
-          SELECT k, 0, p, v FROM {name}
-          UNION ALL
-          SELECT c.k, c.steps + 1, s.p, s.v FROM chain c JOIN {name} s ON c.p = s.k WHERE c.steps < {depth} AND c.v IS NULL)
-        SELECT k, min_by(v, steps) FILTER (WHERE v IS NOT NULL) AS v, min(steps) FILTER (WHERE v IS NOT NULL) AS steps FROM chain GROUP BY k""")
-    return walked.select(F.col("k").alias(key), F.col("v").alias(value), "steps")
+    """(key, value, steps): the first known value up the chain of parents, within ``depth`` steps; cycles end there.
+
+    Pointers double: after k rounds every row knows the first value within 2**k - 1 steps and who comes
+    next, so depth 10 takes four joins of the table with itself, however many styles there are.
+    """
+    walk = styles.select(F.col(key).alias("k"), F.col(parent).alias("p"), F.col(value).alias("v"), F.when(F.col(value).isNotNull(), 0).alias("steps"))
+    reach = 1  # rows are settled for this many links of the chain, the first included
+    while reach <= depth:
+        up = walk.select(F.col("k").alias("k_"), F.col("p").alias("p_"), F.col("v").alias("v_"), F.col("steps").alias("s_"))
+        joined = walk.join(up, F.col("v").isNull() & (F.col("p") == F.col("k_")), "left")
+        walk = joined.select("k", F.when(F.col("v").isNull(), F.col("p_")).otherwise(F.col("p")).alias("p"), F.coalesce("v", "v_").alias("v"), F.coalesce("steps", F.col("s_") + reach).alias("steps"))
+        reach *= 2
+    near = F.col("steps") <= depth
+    return walk.select(F.col("k").alias(key), F.when(near, F.col("v")).alias(value), F.when(near, F.col("steps")).alias("steps"))
 
 
 def numbering(paragraphs: DataFrame, nums: DataFrame, levels: DataFrame) -> DataFrame:

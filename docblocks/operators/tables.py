@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docblocks import schemas as S
+from docblocks.functions import text as T
 
 
 def grid_columns(cells: DataFrame, keys: list[str], order: str, span: str) -> DataFrame:
@@ -44,27 +45,51 @@ def equal_columns(widths: Column) -> Column:
     return (F.size(widths) > 1) & (F.array_max(widths) - F.array_min(widths) <= 1)
 
 
-def content_widths(cells: DataFrame, table: str, col: str, text: str) -> DataFrame:
-    """(table, col, width): percentages from what the cells hold.
+def content_shares(needs: Column, wants: Column) -> Column:
+    """Percentages of a table's columns from what they need (longest words) and want (longest lines).
 
-    Each column needs its longest word and wants its longest line, both with some slack. If all get
-    what they want, that decides; if even the needs are too much, the needs do; else what is left
-    over is shared by what is still wanted. Then percentages, a floor that the wide columns pay for,
-    tenths, and the last column takes the rest.
+    If all get what they want, that decides; if even the needs are too much, the needs do; else what
+    is left over is shared by what is still wanted. Then percentages, a floor that the wide columns
+    pay for in proportion, tenths, and the last column takes the rest.
     """
-    line = F.array_max(F.transform(F.split(text, "\n"), F.length)) + S.CELL_SLACK
-    word = F.array_max(F.transform(F.split(text, r"\s+"), F.length)) + S.CELL_SLACK
-    need = cells.groupBy(table, col).agg(F.max(word).cast("double").alias("n"), F.max(line).cast("double").alias("w"))
-    whole = Window.partitionBy(table)
-    need = need.withColumns({"sn": F.sum("n").over(whole), "sw": F.sum("w").over(whole), "k": F.count("*").over(whole)})
-    share = F.when(F.col("sw") <= S.TABLE_CHARS, F.col("w")).when(F.col("sn") >= S.TABLE_CHARS, F.col("n")).otherwise(F.col("n") + (S.TABLE_CHARS - F.col("sn")) * (F.col("w") - F.col("n")) / (F.col("sw") - F.col("sn")))
-    pct = need.withColumn("a", share).withColumn("p", 100 * F.col("a") / F.sum("a").over(whole))
-    floor = F.least(F.lit(S.LEAST_COLUMN_PCT), 100 / F.col("k"))
-    pct = pct.withColumn("f", floor).withColumn("short", F.greatest(F.col("f") - F.col("p"), F.lit(0.0))).withColumn("spare", F.greatest(F.col("p") - F.col("f"), F.lit(0.0)))
-    pct = pct.withColumn("p", F.when(F.col("p") < F.col("f"), F.col("f")).otherwise(F.col("p") - F.when(F.sum("spare").over(whole) > 0, F.sum("short").over(whole) * F.col("spare") / F.sum("spare").over(whole)).otherwise(0.0)))
-    pct = pct.withColumn("r", F.bround("p", 1)).withColumn("last", F.col(col) == F.max(col).over(whole))
-    rest = 100 - (F.sum("r").over(whole) - F.col("r"))
-    return pct.select(table, col, F.bround(F.when(F.col("last"), rest).otherwise(F.col("r")), 1).alias("width"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    room = F.lit(float(S.TABLE_CHARS))
+    spare, still = room - total(needs), total(wants) - total(needs)
+    mixed = F.zip_with(needs, wants, lambda n, w: n + spare * (w - n) / F.when(still > 0, still))
+    base = F.when(total(wants) <= room, wants).when(total(needs) >= room, needs).otherwise(mixed)
+    floor = F.lit(S.LEAST_COLUMN_PCT)
+
+    def floored(pct: Column) -> Column:
+        wide = F.filter(pct, lambda p: p >= floor)
+        rest = 100 - floor * (F.size(pct) - F.size(wide))
+        return F.when((F.size(wide) == F.size(pct)) | (F.size(wide) == 0), pct).otherwise(F.transform(pct, lambda p: F.when(p < floor, floor).otherwise(p * rest / total(wide))))
+
+    # each step is a column of a one-element array, so that it is computed once
+    def then(value: Column, step) -> Column:
+        return F.get(F.transform(F.array(value), step), F.lit(0))
+
+    pct = then(base, lambda b: F.transform(b, lambda x: 100 * x / total(b)))
+    tenths = then(then(pct, floored), lambda p: F.transform(p, lambda x: F.bround(x, 1)))
+    return then(tenths, lambda t: F.when(F.size(t) > 0, F.concat(F.slice(t, 1, F.size(t) - 1), F.array(F.bround(100 - total(F.slice(t, 1, F.size(t) - 1)), 1)))).otherwise(t))
+
+
+def cell_measures(text: Column) -> tuple[Column, Column]:
+    """(need, want) of a cell: its longest word and its longest line, one at least, with some slack."""
+    lines = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda t: t != "")
+    word = F.array_max(F.transform(F.flatten(F.transform(lines, T.words)), F.length))
+    line = F.array_max(F.transform(lines, F.length))
+    slack = lambda x: (F.greatest(F.coalesce(x, F.lit(1)), F.lit(1)) + S.CELL_SLACK).cast("double")
+    return slack(word), slack(line)
+
+
+def content_widths(cells: DataFrame, table: str | list[str], col: str, text: str) -> DataFrame:
+    """(table, col, width): percentages of the columns from what their cells hold, by ``content_shares``."""
+    keys = [table] if isinstance(table, str) else list(table)
+    need, want = cell_measures(F.col(text))
+    found = cells.select(*keys, col, need.alias("n"), want.alias("w")).groupBy(*keys, col).agg(F.max("n").alias("n"), F.max("w").alias("w"))
+    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), "n", "w"))).alias("x"))
+    shares = content_shares(F.col("x.n"), F.col("x.w"))
+    return whole.select(*keys, F.explode(F.arrays_zip(F.col("x.c").alias("c"), shares.alias("p"))).alias("z")).select(*keys, F.col("z.c").alias(col), F.col("z.p").alias("width"))
 
 
 def grid_percentages(columns: DataFrame, table: str, col: str, twips: str) -> DataFrame:

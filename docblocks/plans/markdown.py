@@ -84,7 +84,3 @@ def q_pdf(spark, sf):
     return M.structured(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line")
 
 
-@query("display_numbers", "SELECT c_custkey, replace(CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR), '.', '') AS digits FROM customer")
-def q_display(spark, sf):
-    shown = F.translate(F.format_number(F.floor(F.abs("c_acctbal")), 0), ",", ".")
-    return table(spark, sf, "customer").select("c_custkey", F.replace(shown, F.lit("."), F.lit("")).alias("digits"))

@@ -131,31 +131,13 @@ def q_squeeze(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n\n\n")), r"\n{3,}", "\n\n").alias("text"))
 
 
-@query("changelog_sections", LINES + """, k AS (SELECT doc_id, pos, line, pos % 6 = 1 AS head FROM lines), g AS (SELECT *, sum(head::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS s FROM k)
-SELECT doc_id, min(pos) AS first, count(*) - 1 AS entries FROM g WHERE s > 0 GROUP BY doc_id, s""")
-def q_changelog(spark, sf):
-    w = O.by_doc("pos")
-    t = lines(spark, sf).withColumn("s", F.sum((F.col("pos") % 6 == 1).cast("int")).over(w)).where("s > 0")
-    return t.groupBy("doc_id", "s").agg(F.min("pos").alias("first"), (F.count("*") - 1).alias("entries")).drop("s")
-
-
-@query("latest_selection", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def q_latest(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-
-
-@query("conversion_events", "SELECT event_type, value > 50 AS ok, count(*) AS n FROM events GROUP BY 1, 2")
-def q_events(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type", (F.col("value") > 50).alias("ok")).agg(F.count("*").alias("n"))
-
-
 def convert_lines(rows):
     """Text paragraphs to classed blocks: (doc_id, pos, class, html). The document's convention decides the numbered families."""
     depth = T.item_depth(F.col("line"))
     votes = R.convention(rows, "doc_id", depth, T.is_prose(F.col("line")))
     none = lambda kind: F.lit(None).cast(kind)
     joined = rows.join(votes, "doc_id")
-    name = R.paragraph_class(none("string"), depth, F.col("convention"), none("string"), F.lit(0), F.lit(1), F.when(T.is_caps(F.replace("line", F.lit("ß"), F.lit(""))), "Texto_Centralizado_Maiusculas"), F.lit(False), F.lit(False), F.lit(False), none("string"), none("double"))
+    name = R.paragraph_class(none("string"), depth, F.col("convention"), none("string"), F.lit(0), F.lit(1), F.when(T.is_caps(F.col("line")), "Texto_Centralizado_Maiusculas"), F.lit(False), F.lit(False), F.lit(False), none("string"), none("double"))
     named = joined.withColumn("class", name)
     body = T.strip_number(F.col("line"), F.col("class"))
     return named.select("doc_id", "pos", "class", render.block(F.col("class"), T.escape_html(T.strip(body))).alias("html"))
@@ -163,8 +145,8 @@ def convert_lines(rows):
 
 _BLOCKS = NUMBERED + ", " + PROSE + r""", votes AS (SELECT doc_id, count(*) FILTER (level = 1 AND prose) > count(*) FILTER (level = 1 AND NOT prose) AS paragraphs FROM prose GROUP BY doc_id),
 named AS (SELECT n.doc_id, pos, line, CASE WHEN level > 0 AND paragraphs THEN CASE WHEN level <= 3 THEN 'Paragrafo_Numerado_Nivel' || level ELSE 'Item_Alinea_Letra' END WHEN level > 0 THEN 'Item_Nivel' || level
- WHEN len(c) >= 3 AND len(list_filter(c, lambda x: x <> upper(x))) = 0 THEN 'Texto_Centralizado_Maiusculas' ELSE 'Texto_Justificado' END AS class
- FROM (SELECT *, list_filter(string_split(line, ''), lambda x: lower(x) <> upper(x) AND x <> 'ß') AS c FROM numbered) n JOIN votes USING (doc_id)),
+ WHEN NOT contains(line, 'ß') AND len(c) >= 3 AND len(list_filter(c, lambda x: x <> upper(x))) = 0 THEN 'Texto_Centralizado_Maiusculas' ELSE 'Texto_Justificado' END AS class
+ FROM (SELECT *, list_filter(string_split(line, ''), lambda x: lower(x) <> upper(x)) AS c FROM numbered) n JOIN votes USING (doc_id)),
 blocks AS (SELECT doc_id, pos, class, '<p class="' || class || '">' || replace(replace(replace(trim(CASE WHEN class = 'Item_Alinea_Letra' OR class LIKE 'Item_Nivel%' OR class LIKE 'Paragrafo_Numerado%' THEN regexp_replace(line, '^\s*\d+(\.\d+)*\.?\s*[-–—]?\s+', '') ELSE line END), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>' AS html FROM named)
 """
 
@@ -179,13 +161,20 @@ def q_block_classes(spark, sf):
     return convert_lines(numbered(spark, sf)).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("html_documents", None)
+_HEAD = """'<!DOCTYPE html>' || chr(10) || '<html lang="pt-BR">' || chr(10) || '<head>' || chr(10) || '<meta charset="utf-8">' || chr(10) || '<title>Conteúdo formatado para o SEI</title>' || chr(10) || '<style>' || chr(10) || chr(10)
+ || 'body::before { content: ""; counter-reset: item-n1 0 item-n2 0 item-n3 0 item-n4 0 paragrafo-n1 0 paragrafo-n2 0 paragrafo-n3 0 romano_maiusculo 0 letra_minuscula 0; }' || chr(10) || '</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10)"""
+
+
+@query("html_documents", _BLOCKS + f"SELECT doc_id, {_HEAD} || string_agg(html, chr(10) ORDER BY pos) || chr(10) || '</body>' || chr(10) || '</html>' || chr(10) AS html FROM blocks GROUP BY doc_id")
 def q_documents(spark, sf):
     return q_block_html(spark, sf).select("doc_id", render.html_document(F.col("html")).alias("html"))
 
 
-@query("result_json", None)
+@query("result_json", _BLOCKS + """SELECT doc_id, 'doc' || doc_id || '.md' AS nome, true AS sucesso, 'doc' || doc_id || '_SEI.html' AS arquivo, string_agg(html, chr(10) ORDER BY pos) AS conteudo FROM blocks GROUP BY doc_id""")
 def q_json(spark, sf):
+    """Results as JSON, read again by their fields."""
     empty = F.array().cast("array<string>")
     files = F.array(F.struct(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("_SEI.html")).alias("nome"), F.col("html").alias("conteudo")))
-    return q_block_html(spark, sf).select("doc_id", render.result_json(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")), F.lit(True), empty, empty, files).alias("json"))
+    made = q_block_html(spark, sf).select("doc_id", render.result_json(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".md")), F.lit(True), empty, empty, files).alias("json"))
+    read = F.from_json("json", "nome_origem string, sucesso boolean, erros array<string>, avisos array<string>, arquivos array<struct<nome:string,conteudo:string>>")
+    return made.select("doc_id", read.alias("j")).select("doc_id", F.col("j.nome_origem").alias("nome"), "j.sucesso", F.get("j.arquivos", F.lit(0))["nome"].alias("arquivo"), F.get("j.arquivos", F.lit(0))["conteudo"].alias("conteudo"))

@@ -54,9 +54,9 @@ def _split(expressions: str) -> list[str]:
     return expressions.split(", ")
 
 
-@query("cell_classes", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN size <= 8.5 AND plain AND NOT first THEN 'Tabela_Texto_8' WHEN size <= 10.5 AND plain AND NOT first THEN 'Tabela_Texto_10' WHEN first THEN 'Tabela_Texto_Centralizado'
- WHEN align = 'center' THEN 'Tabela_Texto_Centralizado' WHEN align = 'right' THEN 'Tabela_Texto_Alinhado_Direita' ELSE 'Tabela_Texto_Alinhado_Esquerda' END AS class FROM
- (SELECT *, coalesce(align, 'left') IN ('left', 'justify') AS plain FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 45 THEN l_quantity / 4 + 6 END AS size, CASE l_suppkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'left' END AS align, l_linenumber = 1 AS first FROM lineitem) a) b""")
+@query("cell_classes", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN size <= 10 AND (first OR align = 'center') THEN 'Tabela_Texto_10' WHEN size <= 8 AND (align IS NULL OR align IN ('left', 'justify')) THEN 'Tabela_Texto_8' WHEN first OR align = 'center' THEN 'Tabela_Texto_Centralizado'
+ WHEN align = 'right' THEN 'Tabela_Texto_Alinhado_Direita' ELSE 'Tabela_Texto_Alinhado_Esquerda' END AS class FROM
+ (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 45 THEN l_quantity / 4 + 6 END AS size, CASE l_suppkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'left' END AS align, l_linenumber = 1 AS first FROM lineitem) a""")
 def q_cells(spark, sf):
     align = F.when(F.col("l_suppkey") % 4 == 0, "center").when(F.col("l_suppkey") % 4 == 1, "right").when(F.col("l_suppkey") % 4 == 2, "left")
     size = F.when(F.col("l_quantity") < 45, F.col("l_quantity") / 4 + 6)
@@ -98,12 +98,6 @@ def q_quotes(spark, sf):
     return out.select("doc_id", "by_indent", "by_marks", F.when(F.size("l") > 0, F.array_join("l.e", "\n")).alias("excerpts"))
 
 
-@query("document_warnings", LINES + "SELECT doc_id, bool_or(contains(line, '**')) AS emphasis, bool_or(contains(line, '|')) AS tables, bool_or(contains(line, '\"')) AS quotes FROM lines GROUP BY doc_id")
-def q_warnings(spark, sf):
-    has = lambda mark: F.bool_or(F.col("line").contains(mark))
-    return lines(spark, sf).groupBy("doc_id").agg(has("**").alias("emphasis"), has("|").alias("tables"), has('"').alias("quotes"))
-
-
 @query("style_chain", """WITH RECURSIVE s AS (SELECT c_custkey AS k, c_custkey * 3 % 1500 + 1 AS p, CASE WHEN c_nationkey % 8 = 0 THEN c_mktsegment END AS v FROM customer),
  chain(k, steps, p, v) AS (SELECT k, 0, p, v FROM s UNION ALL SELECT c.k, c.steps + 1, s.p, s.v FROM chain c JOIN s ON c.p = s.k WHERE c.steps < 10 AND c.v IS NULL)
  SELECT k, arg_min(v, steps) FILTER (v IS NOT NULL) AS v, min(steps) FILTER (v IS NOT NULL) AS steps FROM chain GROUP BY k""")
@@ -165,12 +159,6 @@ def q_rels(spark, sf):
     return table(spark, sf, "orders").join(rels, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "target")
 
 
-@query("error_messages", "SELECT page_id, url || ': ' || CASE page_id % 3 WHEN 0 THEN 'o formato .doc não é mais aceito' WHEN 1 THEN 'não foi possível ler o arquivo' ELSE 'não há texto para converter' END AS message FROM pages")
-def q_errors(spark, sf):
-    why = F.when(F.col("page_id") % 3 == 0, "o formato .doc não é mais aceito").when(F.col("page_id") % 3 == 1, "não foi possível ler o arquivo").otherwise("não há texto para converter")
-    return table(spark, sf, "pages").select("page_id", F.concat("url", F.lit(": "), why).alias("message"))
-
-
 @query("report_sentences", "SELECT c_custkey, n, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN '1 parágrafo marcado como citação.' ELSE CAST(n AS VARCHAR) || ' parágrafos marcados como citação.' END AS sentence FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) x")
 def q_sentences(spark, sf):
     t = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))

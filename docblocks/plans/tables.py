@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docblocks.operators import tables as B
 from docblocks.operators import validate
-from docblocks.plans.registry import query, table
+from docblocks.plans.registry import query, strip_sql, table, words_sql
 
 #: A place of its own for every row.
 _POS = "(l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT)"
@@ -43,7 +43,15 @@ def q_repeats(spark, sf):
     return B.expand_repeats(t, "l_orderkey", "p", "n", "v")
 
 
-@query("column_widths", None)
+@query("column_widths", f"""WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) % 4 AS col FROM documents),
+cells AS (SELECT doc_id, col, len(t) AS l, list_max(list_transform({words_sql('line')}, lambda w: len(w))) AS w FROM (SELECT doc_id, col, line, {strip_sql('line')} AS t FROM raw) x),
+need AS (SELECT doc_id, col, CAST(greatest(max(coalesce(w, 1)), 1) + 2 AS DOUBLE) AS n, CAST(greatest(max(l), 1) + 2 AS DOUBLE) AS w FROM cells GROUP BY 1, 2),
+a AS (SELECT *, sum(n) OVER t AS sn, sum(w) OVER t AS sw FROM need WINDOW t AS (PARTITION BY doc_id)),
+b AS (SELECT *, CASE WHEN sw <= 110 THEN w WHEN sn >= 110 THEN n ELSE n + (110 - sn) * (w - n) / nullif(sw - sn, 0) END AS b FROM a),
+p AS (SELECT *, 100 * b / sum(b) OVER (PARTITION BY doc_id) AS p FROM b),
+f AS (SELECT *, count(*) OVER t AS k, count(*) FILTER (p >= 5) OVER t AS wide, sum(CASE WHEN p >= 5 THEN p END) OVER t AS sum_wide FROM p WINDOW t AS (PARTITION BY doc_id)),
+r AS (SELECT doc_id, col, round_even(CASE WHEN wide IN (0, k) THEN p WHEN p < 5 THEN 5 ELSE p * (100 - 5 * (k - wide)) / sum_wide END, 1) AS r FROM f)
+SELECT doc_id, col, round_even(CASE WHEN col = max(col) OVER t THEN 100 - (sum(r) OVER t - r) ELSE r END, 1) AS width FROM r WINDOW t AS (PARTITION BY doc_id)""")
 def q_widths(spark, sf):
     """Every document as a table of four columns: line n is a cell of column n mod 4."""
     docs = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("col", F.col("pos") % 4)

@@ -18,11 +18,10 @@ def q_excerpt(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", T.excerpt(F.col("line")).alias("excerpt"))
 
 
-@query("block_excerpts", LINES + f"""SELECT doc_id, pos, array_to_string(list_slice({words_sql('t')}, 1, 12), ' ') || CASE WHEN len({words_sql('t')}) > 12 THEN '…' ELSE '' END AS excerpt
-FROM (SELECT doc_id, pos, regexp_replace('<p class="Citação"><strong>' || replace(line, '<', '') || '</strong></p>', '<[^>]+>', ' ', 'g') AS t FROM lines WHERE NOT contains(line, '&')) x""")
+@query("block_excerpts", LINES + f"""SELECT doc_id, pos, array_to_string(list_slice({words_sql('line')}, 1, 12), ' ') || CASE WHEN len({words_sql('line')}) > 12 THEN '…' ELSE '' END AS excerpt FROM lines""")
 def q_block_excerpts(spark, sf):
-    html = F.concat(F.lit('<p class="Citação"><strong>'), F.replace("line", F.lit("<"), F.lit("")), F.lit("</strong></p>"))
-    return lines(spark, sf).where(~F.col("line").contains("&")).select("doc_id", "pos", T.block_excerpt(html).alias("excerpt"))
+    html = F.concat(F.lit('<p class="Citação"><strong>'), T.escape_html(F.col("line")), F.lit("</strong></p>"))
+    return lines(spark, sf).select("doc_id", "pos", T.block_excerpt(html).alias("excerpt"))
 
 
 @query("escape_html", LINES + "SELECT doc_id, pos, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM lines")
@@ -30,16 +29,16 @@ def q_escape(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", T.escape_html(F.col("line")).alias("html"))
 
 
-@query("unescape_html", LINES + "SELECT doc_id, pos, line AS line FROM lines")
+@query("unescape_html", r"""SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS html FROM pages""")
 def q_unescape(spark, sf):
-    return lines(spark, sf).select("doc_id", "pos", T.unescape_html(T.escape_html(F.col("line"))).alias("line"))
+    return table(spark, sf, "pages").select("page_id", T.unescape_html(F.col("html")).alias("html"))
 
 
-@query("caps_lines", LINES + r"""SELECT doc_id, pos, len(c) >= 3 AND len(list_filter(c, lambda x: x <> upper(x))) = 0 AS caps,
- regexp_matches(line, '^[A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ][A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ\s.\-]{2,}$') AND length(line) <= 60 AS heading
-FROM (SELECT doc_id, pos, line, list_filter(string_split(line, ''), lambda x: lower(x) <> upper(x) AND x <> 'ß') AS c FROM lines) y""")
+@query("caps_lines", LINES + r"""SELECT doc_id, pos, NOT contains(line, 'ß') AND len(c) >= 3 AND len(list_filter(c, lambda x: x <> upper(x))) = 0 AS caps,
+ regexp_matches(line, '^\p{Lu}[\p{Lu}\s.-]*$') AND length(line) BETWEEN 3 AND 60 AS heading
+FROM (SELECT doc_id, pos, line, list_filter(string_split(line, ''), lambda x: lower(x) <> upper(x)) AS c FROM lines) y""")
 def q_caps(spark, sf):
-    return lines(spark, sf).select("doc_id", "pos", T.is_caps(F.replace("line", F.lit("ß"), F.lit(""))).alias("caps"), T.is_caps_heading(F.col("line")).alias("heading"))
+    return lines(spark, sf).select("doc_id", "pos", T.is_caps(F.col("line")).alias("caps"), T.is_caps_heading(F.col("line")).alias("heading"))
 
 
 @query("list_numbers", r"""SELECT l_orderkey, l_linenumber, n, kind, CASE kind WHEN '1' THEN CAST(n AS VARCHAR) || '.'
@@ -65,10 +64,11 @@ def q_urls(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url", href.alias("href")).withColumn("safe", T.safe_url(F.col("href")))
 
 
-@query("empty_tags", LINES + "SELECT doc_id, pos, '<strong>' || substr(line, 1, 20) || '</strong>' AS html FROM lines WHERE NOT contains(line, '<')")
+@query("empty_tags", LINES + "SELECT doc_id, pos, '<strong>' || line || '</strong>' AS html FROM lines")
 def q_empty(spark, sf):
-    html = F.concat(F.lit("<strong>"), F.substring("line", 1, 20), F.lit('<em><u></u></em><span style="x"></span></strong>'))
-    return lines(spark, sf).where(~F.col("line").contains("<")).select("doc_id", "pos", T.drop_empty_tags(html).alias("html"))
+    """Every line with empty pairs behind it, up to seven deep."""
+    html = F.concat(F.lit("<strong>"), "line", F.lit('<em><u></u></em><span style="x"></span></strong><em><s><u><em><s><u><em></em></u></s></em></u></s></em>'))
+    return lines(spark, sf).select("doc_id", "pos", T.drop_empty_tags(html).alias("html"))
 
 
 @query("strip_numbers", NUMBERED + r"""SELECT doc_id, pos, level, regexp_replace(line, '^\s*\d+(\.\d+)*\.?\s*[-–—]?\s+', '') AS body FROM numbered""")
@@ -77,39 +77,41 @@ def q_strip(spark, sf):
     return numbered(spark, sf).select("doc_id", "pos", "level", T.strip_number(F.col("line"), class_name).alias("body"))
 
 
-@query("upper_inline", LINES + "SELECT doc_id, pos, '<b class=\"x\">' || upper(replace(line, 'ß', '')) || '</b>&amp;' AS html FROM lines WHERE NOT regexp_matches(line, '[<>&]')")
+@query("upper_inline", LINES + r"""SELECT doc_id, pos, '<b class="x">' || replace(replace(replace(upper(replace(replace(replace(replace(line, 'ß', 'SS'), '&', chr(1)), '<', chr(2)), '>', chr(3))), chr(1), '&amp;'), chr(2), '&lt;'), chr(3), '&gt;') || '</b>&amp;' AS html FROM lines""")
 def q_upper(spark, sf):
-    html = F.concat(F.lit('<b class="x">'), F.replace("line", F.lit("ß"), F.lit("")), F.lit("</b>&amp;"))
-    return lines(spark, sf).where(~F.col("line").rlike("[<>&]")).select("doc_id", "pos", T.upper_outside_tags(html).alias("html"))
+    html = F.concat(F.lit('<b class="x">'), T.escape_html(F.col("line")), F.lit("</b>&amp;"))
+    return lines(spark, sf).select("doc_id", "pos", T.upper_outside_tags(html).alias("html"))
 
 
 @query("markdown_escape", LINES + r"""SELECT doc_id, pos, regexp_replace(regexp_replace(line, '([\\*\[\]`~])', '\\\1', 'g'), '^([#>|+-])', '\\\1') AS escaped, line FROM lines""")
 def q_md_escape(spark, sf):
+    """Every line escaped, and back again."""
     escaped = T.escape_markdown(F.col("line"))
-    return lines(spark, sf).select("doc_id", "pos", escaped.alias("escaped"), T.unescape_markdown(F.regexp_replace(escaped, r"\\([^\\*\[\]`~#>|+-])", r"\\\\$1")).alias("line"))
+    return lines(spark, sf).select("doc_id", "pos", escaped.alias("escaped"), T.unescape_markdown(escaped).alias("line"))
 
 
-@query("visible_text", LINES + r"""SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(line, '\*\*\*(.+?)\*\*\*', '\1', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g') AS visible FROM lines WHERE NOT regexp_matches(line, '[\[~<]')""")
+@query("visible_text", LINES + r"""SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(line, '\[([^\]]*)\]\((?:[^()]+|\([^()]+\)|\(\))+\)', '\1', 'g'), '<red>', ''), '</red>', ''), '\*\*\*(.+?)\*\*\*', '\1', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '~~(.+?)~~', '\1', 'g') AS visible FROM lines""")
 def q_visible(spark, sf):
-    return lines(spark, sf).where(~F.col("line").rlike(r"[\[~<]")).select("doc_id", "pos", T.visible_text(F.col("line")).alias("visible"))
+    return lines(spark, sf).select("doc_id", "pos", T.visible_text(F.col("line")).alias("visible"))
 
 
-@query("class_lines", LINES + "SELECT doc_id, pos, 'Citação' AS class, line AS body FROM lines")
+@query("class_lines", LINES + "SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN 'Citação' WHEN 1 THEN 'x y' ELSE '' END AS class, CASE WHEN pos % 3 < 2 THEN line ELSE '' END AS body FROM lines")
 def q_class_lines(spark, sf):
-    found = T.class_line(F.concat(F.lit('<p class="Citação">'), "line", F.lit("</p>")))
+    k = F.col("pos") % 3
+    found = T.class_line(F.when(k == 0, F.concat(F.lit('<p class="Citação">'), "line", F.lit("</p>"))).when(k == 1, F.concat(F.lit("<P  class='x y'>"), "line", F.lit("</P>"))).otherwise(F.concat(F.lit('<p class="Citação">'), "line", F.lit("</b>"))))
     return lines(spark, sf).select("doc_id", "pos", found[0].alias("class"), found[1].alias("body"))
 
 
-@query("whole_strike", LINES + "SELECT doc_id, pos, pos % 2 = 0 AND NOT contains(line, '~') AS struck FROM lines")
+@query("whole_strike", LINES + r"""SELECT doc_id, pos, regexp_matches(t, '^\s*~~[^~]+~~\s*$') AS struck FROM (SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN '~~' || line || '~~' WHEN 1 THEN 'a ~~' || line || '~~' ELSE line END AS t FROM lines) x""")
 def q_strike(spark, sf):
-    line = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("~~"), "line", F.lit("~~"))).otherwise(F.concat(F.lit("a ~~"), "line", F.lit("~~")))
+    k = F.col("pos") % 3
+    line = F.when(k == 0, F.concat(F.lit("~~"), "line", F.lit("~~"))).when(k == 1, F.concat(F.lit("a ~~"), "line", F.lit("~~"))).otherwise(F.col("line"))
     return lines(spark, sf).select("doc_id", "pos", T.is_struck(line).alias("struck"))
 
 
-@query("wrap_edges", LINES + f"SELECT doc_id, pos, '  **' || {strip_sql('line')} || '** ' AS html FROM lines WHERE line NOT LIKE ' %' AND line NOT LIKE '% '")
+@query("wrap_edges", LINES + r"""SELECT doc_id, pos, regexp_extract(t, '^\s*') || '**' || regexp_replace(regexp_replace(t, '^\s+', ''), '\s+$', '') || '**' || regexp_extract(t, '\s*$') AS html FROM (SELECT doc_id, pos, '  ' || line || ' ' AS t FROM lines) x""")
 def q_wrap(spark, sf):
-    rows = lines(spark, sf).where(~F.col("line").like(" %") & ~F.col("line").like("% "))
-    return rows.select("doc_id", "pos", T.wrap(F.concat(F.lit("  "), "line", F.lit(" ")), "**", "**").alias("html"))
+    return lines(spark, sf).select("doc_id", "pos", T.wrap(F.concat(F.lit("  "), "line", F.lit(" ")), "**", "**").alias("html"))
 
 
 @query("run_html", r"""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN '<span style="color:#C00000">' || t || '</span>' ELSE t END AS html FROM
@@ -117,12 +119,11 @@ def q_wrap(spark, sf):
 (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<em>' || t || '</em>' ELSE t END AS t FROM
 (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 1 THEN '<s>' || t || '</s>' ELSE t END AS t FROM
 (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN '<sup>' || e || '</sup>' ELSE e END AS t FROM
-(SELECT conv_id, turn, role, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM conversations) a) b) c) d) e""")
+(SELECT conv_id, turn, role, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br />') AS e FROM conversations) a) b) c) d) e""")
 def q_run(spark, sf):
     t = table(spark, sf, "conversations")
-    vertical = F.when(F.col("turn") % 3 == 0, "sup")
-    html = T.run_html(F.col("text"), F.col("turn") % 2 == 0, F.col("role") == "user", F.col("turn") % 5 == 1, F.lit(False), F.when(F.col("conv_id") % 3 == 0, "C00000"), vertical)
-    return t.select("conv_id", "turn", html.alias("html"))
+    run = F.struct(F.col("text").alias("text"), (F.col("turn") % 2 == 0).alias("bold"), (F.col("role") == "user").alias("italic"), (F.col("turn") % 5 == 1).alias("strike"), F.lit(False).alias("underline"), F.when(F.col("conv_id") % 3 == 0, "C00000").alias("color"), F.when(F.col("turn") % 3 == 0, "sup").alias("vertical"), F.lit(None).cast("string").alias("image"))
+    return t.select("conv_id", "turn", run.alias("run")).select("conv_id", "turn", T.run_html(F.col("run")).alias("html"))
 
 
 @query("lengths_cm", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS n, unit, round(CAST(l_quantity AS INTEGER) * CASE unit WHEN 'cm' THEN 1.0 WHEN 'mm' THEN 0.1 WHEN 'in' THEN 2.54::DOUBLE WHEN 'pt' THEN 2.54::DOUBLE / 72 WHEN 'pc' THEN 2.54::DOUBLE / 6 END, 6) AS cm FROM (SELECT *, ['cm','mm','in','pt','pc','%'][CAST(l_partkey % 6 + 1 AS INTEGER)] AS unit FROM lineitem) x")
@@ -138,9 +139,12 @@ def q_style(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.style_value(style, "text-align").alias("align"), T.style_value(style, "width").alias("width"))
 
 
-@query("style_names", "SELECT p_partkey, replace(p_name, '_', ' ') AS style FROM part")
+@query("style_names", "SELECT p_partkey, replace(replace(replace(p_name, '_', ' '), 'e', 'é'), 'a', 'Ã') AS style FROM part")
 def q_style_names(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.odf_style_name(F.replace(F.replace("p_name", F.lit("_"), F.lit(" ")), F.lit(" "), F.lit("_20_"))).alias("style"))
+    """Names with spaces and letters beyond ASCII as codes, as an office program writes them."""
+    chars = F.filter(F.split(F.replace("p_name", F.lit("_"), F.lit(" ")), ""), lambda c: c != "")
+    coded = F.array_join(F.transform(chars, lambda c: F.when(c == " ", "_20_").when(c == "e", "_e9_").when(c == "a", "_C3_").otherwise(c)), "")
+    return table(spark, sf, "part").select("p_partkey", T.odf_style_name(coded).alias("style"))
 
 
 _NAMES = "CASE doc_id % 9 WHEN 0 THEN 'nota ' || doc_id || '.docx' WHEN 1 THEN '~$' || doc_id || '.docx' WHEN 2 THEN '.hidden' || doc_id || '.md' WHEN 3 THEN doc_id || '_SEI.html' WHEN 4 THEN 'Nota_Tecnica_' || doc_id || '.MD' WHEN 5 THEN 'Nota_Tecnica_Revisada_' || doc_id || '.odt' WHEN 6 THEN doc_id || '.xlsx' WHEN 7 THEN 'velho' || doc_id || '.rtf' ELSE 'Nota_Tecnica_SEI_' || doc_id || '_corpo_parte01.htm' END"
@@ -186,11 +190,15 @@ def q_png(spark, sf):
     return table(spark, sf, "part").select("p_partkey", blob.alias("blob")).select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-@query("boilerplate", LINES + "SELECT doc_id, min(pos) AS pos, 'ok' AS state FROM lines GROUP BY doc_id")
+@query("boilerplate", LINES + f"SELECT doc_id, string_agg({strip_sql('line')}, chr(10) ORDER BY pos) || chr(10) AS text FROM lines GROUP BY doc_id")
 def q_boilerplate(spark, sf):
-    raw = F.concat(F.lit("  A.\n\n\nDocumento assinado eletronicamente por X, código CRC 0AF3.\nB"), F.lit("\nNota 1 SEI 80000.1/2024-1 / pg. 1\n\nc\n[assinado eletronicamente]\n"))
-    good = T.clean_boilerplate(raw) == "A.\n\nB\nc\n"
-    return lines(spark, sf).groupBy("doc_id").agg(F.min("pos").alias("pos")).select("doc_id", "pos", F.when(good, "ok").otherwise(T.clean_boilerplate(raw)).alias("state"))
+    """Documents with page footers, a signature note and leftover lines put between their lines, and cleaned again."""
+    footer = F.concat(F.lit("\n\nNota 110 (123) SEI 80000.1/2024-1 / pg. "), F.col("pos").cast("string"), F.lit("\n\n"))
+    note = F.lit("\nDocumento assinado eletronicamente por A. B.,\nem 2024, código CRC 0AF3.")
+    extra = F.when(F.col("pos") % 5 == 1, footer).when(F.col("pos") % 5 == 3, F.lit("\n[assinado eletronicamente]\nDespacho 6900388\n")).otherwise("\n")
+    rows = lines(spark, sf).select("doc_id", "pos", F.concat(F.lit("  "), "line", extra).alias("t"))
+    text = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l")).select("doc_id", F.concat(F.array_join("l.t", ""), note).alias("t"))
+    return text.select("doc_id", T.clean_boilerplate(F.col("t")).alias("text"))
 
 
 @query("body_of", "SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) ELSE html END AS body FROM pages")
@@ -215,9 +223,9 @@ def q_depth(spark, sf):
     return numbered(spark, sf).select("doc_id", "pos", "level", T.item_depth(F.col("line")).alias("depth"))
 
 
-PROSE = f"""prose AS (SELECT doc_id, pos, level, line, CASE WHEN body = '' OR (len(c) > 0 AND len(list_filter(c, lambda x: x <> upper(x))) = 0) THEN false
+PROSE = f"""prose AS (SELECT doc_id, pos, level, line, CASE WHEN body = '' OR (len(c) > 0 AND len(list_filter(c, lambda x: x <> upper(x))) = 0 AND NOT contains(body, 'ß')) THEN false
  WHEN n > 8 THEN true WHEN body LIKE '%.' THEN contains(body, ',') OR contains(body, ';') OR n > 5 ELSE false END AS prose
-FROM (SELECT *, list_filter(string_split(body, ''), lambda x: lower(x) <> upper(x) AND x <> 'ß') AS c, len({words_sql('body')}) AS n FROM
+FROM (SELECT *, list_filter(string_split(body, ''), lambda x: lower(x) <> upper(x)) AS c, len({words_sql('body')}) AS n FROM
 (SELECT *, {strip_sql(r"regexp_replace(" + strip_sql("line") + r", '^\s*\d+(\.\d+)*\.?\s*[-–—]?\s+', '')")} AS body FROM numbered) a) b)
 """
 

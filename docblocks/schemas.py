@@ -13,10 +13,10 @@ CLASSES = [
     "Texto_Justificado_Maiusculas", "Texto_Justificado_Recuo_Primeira_Linha", "Texto_Justificado_Recuo_Primeira_Linha2", "Texto_Mono_Espaçado",
 ]
 
-#: Suffixes that can be read, and those that were retired and only get guidance.
+#: Suffixes that can be read, and those that were retired and only get guidance (fixed values).
 SUPPORTED = [".docx", ".pdf", ".md", ".txt", ".odt", ".html", ".htm"]
 RETIRED = [".rtf", ".doc"]
-#: Schemes that a link may have.
+#: Schemes that a link may have (fixed values).
 SCHEMES = ["http", "https", "mailto", "tel", "ftp"]
 
 EXCERPT_WORDS = 12
@@ -32,6 +32,8 @@ HEADING_CHARS = 60
 TABLE_CHARS = 110
 CELL_SLACK = 2
 LEAST_COLUMN_PCT = 5.0
+CELL_8_PT = 8.0
+CELL_10_PT = 10.0
 PAGE_PIXELS = 800
 INHERITANCE_DEPTH = 10
 REPEATED_COLUMNS = 32
@@ -40,15 +42,20 @@ WATCH_SECONDS = 2.0
 
 OUTPUT_TITLE = "Conteúdo formatado para o SEI"
 SIGNATURE_MARK = "<em>[Assinado eletronicamente]</em>"
-#: Opening and closing quotation marks.
+#: Opening and closing quotation marks (fixed values).
 QUOTES = {'"': '"', "“": "”", "«": "»"}
 #: Roman numerals by value, largest first.
 ROMANS = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
 #: Centimetres of a unit of length.
 UNIT_CM = {"cm": 1.0, "mm": 0.1, "in": 2.54, "pt": 2.54 / 72, "pc": 2.54 / 6}
 
-#: Segments of a paragraph, its appearance, and the paragraphs table.
-SEGMENT = "struct<kind:string,text:string,href:string,bold:boolean,italic:boolean,strike:boolean,underline:boolean,color:string,vertical:string>"
-APPEARANCE = "struct<align:string,size_pt:double,bold:boolean,caps:boolean,strike:boolean,grey:boolean,spaced:boolean,indent_cm:double>"
-NODES = "doc_id string, node_id int, parent_id int, seq int, depth int, tag string, attrs map<string,string>, text string"
+#: Colour of red passages.
+RED = "C00000"
+#: Least and greatest per cent of the text area that a table takes.
+TABLE_WIDTHS = (10, 100)
+TWIPS_PER_CM = 1440 / 2.54
+EMU_PER_TWIP = 635
+FIRST_LINE_PT = 8.0
+
+#: A converted document.
 RESULTS = "doc_id string, nome_origem string, sucesso boolean, erros array<string>, avisos array<string>, arquivos array<struct<nome:string,conteudo:string>>, citacoes_por_recuo int, citacoes_entre_aspas int, citacoes_trechos array<string>, cabecalho_paragrafos int, cabecalho_trechos array<string>"

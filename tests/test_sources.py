@@ -1,79 +1,79 @@
-"""Readers on hand-built bytes, and folders."""
-
-import io
-import zipfile
+"""Readers on hand-built bytes, node tables, and folders."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from docblocks.sources import containers, encoding, html, listing
+from docblocks.readers import html as reader
+from docblocks.readers.model import joined
+from docblocks.sources import encoding, html, listing
 
 
 @pytest.mark.parametrize(
     ("raw", "text", "name"),
-    [("é".encode("utf-8"), "é", "utf-8"), ("﻿é".encode("utf-8"), "é", "utf-8"), ("é".encode("utf-16"), "é", "utf-16"), ("abc def".encode("utf-16-le"), "abc def", "utf-16-le"), ("ação já".encode("cp1252"), "ação já", "cp1252"), (b"", "", "utf-8")],
+    [("é".encode(), "é", "utf-8"), ("\ufeffé".encode(), "é", "utf-8"), ("é".encode("utf-16"), "é", "utf-16"), ("abc def".encode("utf-16-le"), "abc def", "utf-16-le"), ("abc def".encode("utf-16-be"), "abc def", "utf-16-be"), ("ação já".encode("cp1252"), "ação já", "cp1252"), (b"", "", "utf-8")],
 )
-def test_decode(raw, text, name):
+def test_decode(spark, raw, text, name):
     assert encoding.decode(raw)[:2] == (text, name)
+    row = spark.createDataFrame([(bytearray(raw),)], "c binary").select(encoding.decoded(F.col("c")).alias("d")).first()["d"]
+    assert (row["text"], row["encoding"]) == (text, name)
 
 
 def test_decode_tolerates_some_damage():
-    text, name, warned = encoding.decode("ação ação ação".encode() + b"\xff")
+    text, name, warned, _ = encoding.decode("ação ação ação".encode() + b"\xff")
     assert name == "utf-8" and warned and text.startswith("ação")
 
 
-def test_declared_charset_wins():
+def test_markdown_is_never_western_and_controls_are_errors():
+    assert encoding.decode("já".encode("cp1252"), markdown=True)[1] == "utf-8"
+    assert encoding.decode(b"a\0b\0\0c")[3] == encoding.CONTROLS
+    assert encoding.decode(b"\x81\x8d\x8f")[3] == encoding.UNKNOWN
+
+
+def test_declared_charset_wins(spark):
     raw = b'<html><meta charset="latin1"><p>a\xe7\xe3o</p>'
     assert encoding.decode_html(raw)[0].endswith("ação</p>")
+    row = spark.createDataFrame([(bytearray(raw),), (None,)], "c binary").select(encoding.decoded(F.col("c"), html=True)["text"].alias("t")).collect()
+    assert row[0]["t"].endswith("ação</p>") and row[1]["t"] is None
 
 
-def test_pages(spark):
-    page = "<html><head><title>x</title><script>bad()</script></head><body><h1>A<p>b <b>c</b><p>d<br>e<ul><li>f<li>g</ul><table><tr><td>h<td>i</table>"
-    frame = spark.createDataFrame([(1, page), (2, None), (3, "")], "k int, h string")
-    got = [(r["tag"], r["text"]) for r in html.paragraphs(frame, "k", "h").where("k = 1").orderBy("pos").collect()]
-    assert got == [("h1", "A"), ("p", "b c"), ("p", "d\ne"), ("li", "f"), ("li", "g"), ("td", "h"), ("td", "i")]
-    assert html.paragraphs(frame, "k", "h").where("k > 1").count() == 0
+PAGE = "<html><head><title>x</title><script>bad()</script></head><body><h1>A</h1><p>b <b>c</b><p>d<br>e<ul><li>f<li>g</ul><table><tr><td>h<td>i<tr><td>j</table><dl><dt>k<dd>l<dt>m</dl>"
 
 
-def test_emphasis_inherits_and_css_wins(spark):
-    frame = spark.createDataFrame([(1, '<p><b>a<i>b</i><span style="font-weight: normal">c</span></b>d</p>')], "k int, h string")
-    runs = html.merged_runs(html.inherited_emphasis(html.nodes(frame, "k", "h"), "k"), "k", "node_id", ["bold", "italic"])
-    assert [(r["text"], r["bold"], r["italic"]) for r in runs.orderBy("first").collect()] == [("a", True, False), ("b", True, True), ("cd", False, False)]
+def test_pages():
+    got = [(p.kind, p.text) for p in reader.paragraphs(PAGE)]
+    assert got == [("p", "A"), ("p", "b c"), ("p", "d\ne"), ("bullet", "f"), ("bullet", "g"), ("cell", "h"), ("cell", "i"), ("cell", "j"), ("cell", ""), ("bullet", "k"), ("bullet", "l"), ("bullet", "m")]
+    assert [p.text for p in reader.paragraphs("")] == [] and [p.text for p in reader.paragraphs("texto solto")] == ["texto solto"]
 
 
-def packed(**members):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as archive:
-        for name, body in members.items():
-            archive.writestr(name.replace("__", "/").replace("_xml", ".xml"), body)
-    return out.getvalue()
+def test_nodes(spark):
+    frame = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "k int, h string")
+    rows = html.nodes(frame, "k", "h").where("k = 1").orderBy("node_id").collect()
+    tags = [r["tag"] for r in rows]
+    assert tags.count("li") == 2 and tags.count("tr") == 2 and "script" not in tags
+    parents = {r["node_id"]: r for r in rows}
+    assert all(r["depth"] == parents[r["parent_id"]]["depth"] + 1 for r in rows if r["parent_id"] is not None)
+    assert [r["tag"] for r in html.nodes(frame, "k", "h").where("k > 1").collect()] == ["#document"] * 2
 
 
-DOCX = packed(
-    word__document_xml='<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'
-    '<w:p><w:pPr><w:pStyle w:val="Heading1"/><w:jc w:val="center"/></w:pPr><w:r><w:t>Título</w:t></w:r></w:p>'
-    '<w:p><w:pPr><w:numPr><w:ilvl w:val="1"/><w:numId w:val="7"/></w:numPr></w:pPr><w:ins><w:r><w:t>novo</w:t></w:r></w:ins><w:del><w:r><w:delText>velho</w:delText></w:r></w:del></w:p>'
-    "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>célula</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"
-)
-ODT = packed(
-    content_xml='<o:d xmlns:o="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:style="urn:oasis:names:tc:opendocument:xmlns:style:1.0" xmlns:fo="urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0">'
-    '<style:style style:name="P1" style:parent-style-name="P2"/><style:style style:name="P2" style:parent-style-name="P1"><style:paragraph-properties fo:text-align="end"/></style:style>'
-    '<text:h text:outline-level="2">Seção</text:h><text:p text:style-name="P1">um<text:s text:c="2"/><text:span>dois</text:span></text:p></o:d>'
-)
+def test_emphasis_inherits_and_css_wins(spark):
+    deep = "<div>" * 60 + "fim" + "</div>" * 60
+    frame = spark.createDataFrame([(1, f'<p><b>a<i>b</i><span style="font-weight: normal">c</span></b>d</p><b>{deep}</b>')], "k int, h string")
+    runs = html.merged_runs(html.nodes(frame, "k", "h").where("tag = '#text'"), "k", "node_id", ["bold", "italic"])
+    assert [(r["text"], r["bold"], r["italic"]) for r in runs.orderBy("first").collect()] == [("a", True, False), ("b", True, True), ("cd", False, False), ("fim", True, False)]
 
 
-def test_containers(spark):
-    files = spark.createDataFrame([("a", DOCX, ".docx"), ("b", ODT, ".odt"), ("c", b"broken", ".docx"), ("d", None, ".odt")], "id string, content binary, suffix string")
-    rows = {(r["id"], r["pos"]): r for r in containers.paragraphs(files, "id", "content", "suffix").collect()}
-    assert (rows["a", 0]["style_name"], rows["a", 0]["text"], rows["a", 0]["align"]) == ("Heading1", "Título", "center")
-    assert (rows["a", 1]["text"], rows["a", 1]["num_id"], rows["a", 1]["ilvl"]) == ("novo", 7, 1)
-    assert rows["a", 2]["kind"] == "cell"
-    assert (rows["b", 0]["style_name"], rows["b", 1]["text"], rows["b", 1]["align"]) == ("Heading 2", "um  dois", "right")
-    assert rows["c", 0]["error"] and rows["d", 0]["error"]
+def test_links_and_breaks():
+    page = '<p>x <a href="https://a.example/(1) b">um <b>dois</b></a><br> <a href="javascript:x">não</a> <a href="#y">âncora</a></p>'
+    runs = next(iter(reader.paragraphs(page))).runs
+    assert [(r.text, r.href, r.bold) for r in joined(runs)] == [("x ", None, False), ("um ", "https://a.example/%281%29%20b", False), ("dois", "https://a.example/%281%29%20b", True), ("\nnão âncora", None, False)]
 
 
 def test_listing(spark, tmp_path):
-    for name in ("a.md", "~$b.docx", ".c.txt", "d_SEI.html", "e.xyz", "f.html"):
+    for name in ("b.Md", "a.md", "~$b.docx", ".c.txt", "d_SEI.html", "e.xyz", "f.html"):
         (tmp_path / name).write_text("<title>Conteúdo formatado para o SEI</title>" if name == "f.html" else "x")
-    assert [r["name"] for r in listing.raw_documents(spark, str(tmp_path)).select("name").collect()] == ["a.md"]
-    assert listing.raw_documents(spark, str(tmp_path)).select(F.count("*")).first()[0] == 1
+    assert [r["name"] for r in listing.raw_documents(spark, str(tmp_path)).orderBy("path").select("name").collect()] == ["a.md", "b.Md"]
+    stream = listing.raw_stream(spark, str(tmp_path))
+    assert stream.isStreaming
+    query = stream.select("name").writeStream.format("memory").queryName("seen_files").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(r["name"] for r in spark.table("seen_files").collect()) == ["a.md", "b.Md"]
