@@ -250,7 +250,7 @@ def _word_bytes(words: Words, at: np.ndarray) -> pa.Array:
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """(block, word, c, t): words of pieces of a block with their counts, and those in training texts."""
+    """(block, word, h, t): words of pieces of a block with their hashes and counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,12 +259,12 @@ def block_words(blocks: DataFrame) -> DataFrame:
                 cuts = np.flatnonzero(np.append(True, block[first + 1 : end] != block[first : end - 1]))
                 for low, high in zip(cuts, np.append(cuts[1:], end - first), strict=True):
                     words, where, which = _distinct(data[at[low] : at[high]], at[low : high + 1] - at[low])
-                    counts = np.bincount(which, minlength=len(where))
+                    hashes = words.hashes()[where]
                     train = np.bincount(which, weights=learn[first + low : first + high][words.row], minlength=len(where))
                     n = len(where)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block[first + low], dtype=np.int64)), _word_bytes(words, where), pa.array(counts.astype(np.int64)), pa.array(train.astype(np.int64))], ["block", "word", "c", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block[first + low], dtype=np.int64)), _word_bytes(words, where), pa.array(hashes.view(np.int64)), pa.array(train.astype(np.int64))], ["block", "word", "h", "t"])
 
-    return blocks.select("block", "learn", "text").mapInArrow(run, "block long, word binary, c long, t long")
+    return blocks.select("block", "learn", "text").mapInArrow(run, "block long, word binary, h long, t long")
 
 
 def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -290,7 +290,7 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
 
     blocks = source.select(F.spark_partition_id().cast("long").alias("p"), "id", "learn", "text").mapInArrow(dealt, f"block long, id {kind}, learn boolean, text string")
     blocks = stored(blocks, folder, "blocks", "zstd")
-    found = block_words(blocks).groupBy("block", "word").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    found = block_words(blocks).groupBy("block", "word").agg(F.min("h").alias("h"), F.sum("t").alias("t"))
     found = stored(found, folder, "words", "zstd")
     every = found.groupBy("word").agg(F.sum("t").alias("n"))
     every = stored(every, folder, "counts", "zstd", WORDS_PER_FILE)  # small files: what takes time a row is dealt by rows
@@ -340,7 +340,11 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     weighed = stored(every.mapInArrow(weigh, "w binary, n long, lm double"), folder, "weighed", "zstd")
     discard(spark, f"{folder}/counts")
     release(spark)
-    looked = found.join(weighed, F.col("word") == F.col("w")).select("block", "word", "n", "lm")
+    # from here on a word is its hash: blocks look up their own words only
+    looked = stored(found.join(weighed, F.col("word") == F.col("w")).select("block", "h", "n", "lm"), folder, "looked", "zstd")
+    discard(spark, f"{folder}/words")
+    discard(spark, f"{folder}/weighed")
+    release(spark)
     # a task for each block or two, whatever the session's number of partitions
     n_blocks = blocks.select("block").distinct().count()
     tasks = max(2 * n_blocks, 1)
@@ -349,16 +353,11 @@ def score(docs: DataFrame, learn: Column, path: str, id_col: str = "doc_id", tex
     def join(key: tuple, left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, base, model, known = [], [], [], []
         for batch in right:
-            for low in range(0, batch.num_rows, 20_000):
-                part = batch.slice(low, 20_000)
-                words = part.column(1).to_pylist()
-                n = part.column(2).to_numpy().astype(float)
-                data = np.frombuffer(b"".join(words), dtype=np.uint8)
-                ends_ = np.cumsum([len(w) for w in words])
-                hashes.append(span_hashes(prefix_sums(data), ends_ - np.array([len(w) for w in words]), ends_))
-                base.append(np.log10((n + SMOOTH) / (n_train + SMOOTH * (vocabulary + 1))))
-                model.append(part.column(3).to_numpy())
-                known.append(n > 0)
+            n = batch.column(2).to_numpy().astype(float)
+            hashes.append(batch.column(1).to_numpy().view(np.uint64))
+            base.append(np.log10((n + SMOOTH) / (n_train + SMOOTH * (vocabulary + 1))))
+            model.append(batch.column(3).to_numpy())
+            known.append(n > 0)
         order = None
         if hashes:
             h, b, m, k = (np.concatenate(x) for x in (hashes, base, model, known))
