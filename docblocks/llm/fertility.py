@@ -162,7 +162,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray, model: Pieces) -> dict[str,
     key, count = np.unique(owner * model.size + ids, return_counts=True)
     doc = key // model.size
     share = count / np.maximum(n_tokens[doc], 1)
-    entropy = np.bincount(doc, weights=-share * np.log2(share), minlength=rows)
+    entropy = np.bincount(doc, weights=-share * np.log2(share), minlength=rows).astype(float)  # counts without any item are whole numbers
     some = np.maximum(n_tokens, 1)
     return {
         "n_words": n_words,
