@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytesets import U64, Words, chunks, gram_hashes, mix
 from .components import components
-from .tables import discard, shared_folder, stored, text_keys, unused
+from .tables import discard, release, shared_folder, stored, text_keys, unused
 
 SHINGLE = 5
 SIMILARITY = (75, 100)
@@ -307,6 +307,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: tuple[int,
 
     wanted = members.select("sig").distinct().join(classes.select("sig", "doc"), "sig")
     sets = stored(_full_sets(docs, wanted, id_col, text_col, k).groupBy("sig").agg(F.first("set").alias("set")), folder, "sets")
+    release(spark)
     links = stored(_verified(likely, sets, similarity), folder, "links-1")
     roots = stored(components(links, folder), folder, "roots-1")
 
@@ -320,6 +321,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: tuple[int,
     roots = stored(components(links, folder), folder, "roots-2")
     named = classes.select("sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(F.col("sig").alias("s"), F.coalesce("root", "sig").alias("root"))
     named = stored(named, folder, "named")
+    release(spark)
     for name in ("likely", "links-1", "links-2", "roots-1", "roots-2", "main", "members", "sets", "placed", "classes"):
         discard(spark, f"{folder}/{name}")
     return rows, named, folder
@@ -348,6 +350,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.col("id").eqNullSafe(F.col("b.id")) & (F.col("h1") == F.col("b.h1")) & (F.col("h2") == F.col("b.h2"))
     marks = member.join(best, F.col("root") == F.col("r")).groupBy("id", "h1", "h2").agg(F.first(first).alias("best"), F.count("*").alias("c"))
     marks = stored(marks.where("not best or c > 1"), folder, "marks")
+    for name in ("sketches", "named"):
+        discard(docs.sparkSession, f"{folder}/{name}")
+    release(docs.sparkSession)
     name = {n: unused(n, docs.columns) for n in ("id_", "h1_", "h2_", "best_")}
     marks = marks.select(*[F.col(n[:-1]).alias(name[n]) for n in name])
     keys = text_keys(F.col(text_col))

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import shared_folder, stored, text_keys, unused
+from .tables import release, shared_folder, stored, text_keys, unused
 
 #: Masks: 1 looks at a word, 0 ignores it.
 MASKS = ("11011", "110011", "101101")
@@ -148,5 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     key, text = unused("key", docs.columns), unused("held", docs.columns)
     named = F.struct(F.col(id_col).alias("id"), *[k.alias(f"h{i}") for i, k in enumerate(text_keys(F.col(text_col)))])
     rows = docs.select(named.alias(key), F.col(text_col).alias(text))
-    held = overlaps(rows, benchmark, key, text, **params).select(F.col(key).alias(text)).distinct()
+    spark = docs.sparkSession
+    held = stored(overlaps(rows, benchmark, key, text, **params).select(F.col(key).alias(text)).distinct(), shared_folder(spark), "held")
+    release(spark)
     return docs.join(held, named.eqNullSafe(F.col(text)), "left_anti")
