@@ -4,62 +4,79 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docblocks.functions import text as T
 from docblocks.operators import markdown as M
-from docblocks.plans.registry import LINES, lines, query, table
+from docblocks.plans.registry import FENCES, LINES, lines, query, strip_sql
 
+#: What is put before every line by its position, so that each kind of block occurs among those that the lines are of themselves.
 _MARKED = "CASE pos % 8 WHEN 0 THEN '## ' || line WHEN 1 THEN '> ' || line WHEN 2 THEN '  - ' || line WHEN 3 THEN '- [x] ' || line WHEN 4 THEN '| ' || line || ' | b |' WHEN 5 THEN '---' ELSE line END"
-_PLAIN = r"""clean AS (SELECT doc_id, pos, trim(line) AS line FROM lines WHERE NOT regexp_matches(line, '^\s*([-*+>#|]|`{3}|~~|\d)|\|\s*$'))
-"""
+_CLASSED = r"""regexp_matches(line, '(?is)^<p\s+class=["''][^"'']+["'']>.*</p>$')"""
 
 
-def clean(spark, sf):
-    """Lines that carry no marks of their own, so that the marks put before them decide."""
-    return lines(spark, sf).where(~F.col("line").rlike(r"^\s*([-*+>#|]|`{3}|~~|\d)|\|\s*$")).withColumn("line", F.trim("line"))
+def _separator(marks: str) -> str:
+    """A line of three or more of one mark, written out for each."""
+    return "'^\\s*(" + "|".join(rf"{m}(\s*{m}){{2,}}" for m in marks) + ")\\s*$'"
 
 
-@query("markdown_blocks", LINES + ", " + _PLAIN + """SELECT doc_id, pos, kind, CAST(CASE kind WHEN 'heading' THEN 2 WHEN 'bullet' THEN CASE pos % 8 WHEN 2 THEN 1 ELSE 0 END END AS INTEGER) AS level,
- CASE WHEN kind = 'bullet' AND pos % 8 = 3 THEN 'Concluído: ' || line WHEN kind = 'table' THEN '| ' || line || ' | b |' ELSE line END AS text
-FROM (SELECT *, CASE pos % 8 WHEN 0 THEN 'heading' WHEN 1 THEN 'quote' WHEN 2 THEN 'bullet' WHEN 3 THEN 'bullet' WHEN 4 THEN 'table' ELSE 'paragraph' END AS kind FROM clean WHERE pos % 8 <> 5) x""")
+def _ladder(markdown: bool) -> str:
+    extra = r"""WHEN regexp_matches(line, '^>\s?') THEN 'quote' WHEN regexp_matches(line, '^\s*~~[^~]+~~\s*$') AND NOT regexp_matches(line, '^~~\s*(\d+\.|\d+(\.\d+)+\.?)\s+\S') THEN 'struck' WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'heading'""" if markdown else ""
+    marks = [r"\-", "–", "—", r"\*", "_", *(["~"] if markdown else [])]
+    return f"CASE WHEN regexp_matches(line, {_separator(marks)}) THEN 'separator' WHEN {_CLASSED} THEN 'classed' {extra} WHEN regexp_matches(line, '^\\s*[-*+]\\s+\\S') THEN 'bullet' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table' ELSE 'paragraph' END"
+
+
+_BULLET = r"""regexp_replace(regexp_replace(regexp_replace(line, '^\s*[-*+]\s+', ''), '^\[[xX]\]\s+', 'Concluído: '), '^\[ \]\s+', 'Pendente: ')"""
+_BLOCK_TEXT = rf"""CASE kind WHEN 'heading' THEN {strip_sql("regexp_replace(line, '^#{1,6}\\s+', '')")} WHEN 'bullet' THEN {_BULLET} WHEN 'quote' THEN regexp_replace(line, '^(>\s?)+', '') WHEN 'struck' THEN regexp_replace(line, '^\s*~~|~~\s*$', '', 'g')
+ WHEN 'classed' THEN regexp_extract(line, '(?is)^<p\s+class=["''][^"'']+["'']>(.*)</p>$', 1) ELSE line END"""
+_BLOCK_LEVEL = r"""CAST(CASE kind WHEN 'heading' THEN least(len(regexp_extract(line, '^(#{1,6})\s', 1)), 4) WHEN 'bullet' THEN least((len(regexp_extract(line, '^(\s*)', 1)) + 1) // 2, 3) END AS INTEGER)"""
+
+
+@query("markdown_blocks", LINES + f""", l AS (SELECT doc_id, pos, {_MARKED} AS line FROM lines), """ + FENCES.format(source="l") + f""",
+k AS (SELECT doc_id, pos, line, CASE WHEN code AND regexp_matches(line, '^`{{3,}}') THEN 'fence' WHEN code THEN 'code' ELSE {_ladder(True)} END AS kind FROM coded)
+SELECT doc_id, pos, kind, {_BLOCK_LEVEL} AS level, {_BLOCK_TEXT} AS text FROM k WHERE kind NOT IN ('separator', 'fence')""")
 def q_blocks(spark, sf):
-    return M.blocks(clean(spark, sf).withColumn("line", F.expr(_MARKED)), "doc_id", "pos", "line")
+    return M.blocks(lines(spark, sf).withColumn("line", F.expr(_MARKED)), "doc_id", "pos", "line")
 
 
-@query("text_blocks", LINES + ", " + _PLAIN + "SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN 'bullet' ELSE 'paragraph' END AS kind, CAST(CASE WHEN pos % 3 = 0 THEN 2 END AS INTEGER) AS level, line AS text FROM clean")
+@query("text_blocks", LINES + f""", l AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN '   * ' || line ELSE line END AS line FROM lines), k AS (SELECT *, {_ladder(False)} AS kind FROM l)
+SELECT doc_id, pos, kind, {_BLOCK_LEVEL} AS level, {_BLOCK_TEXT} AS text FROM k WHERE kind <> 'separator'""")
 def q_text(spark, sf):
     line = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("   * "), "line")).otherwise(F.col("line"))
-    return M.blocks(clean(spark, sf).withColumn("line", line), "doc_id", "pos", "line", markdown=False)
+    return M.blocks(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line", markdown=False)
 
 
-@query("pipe_tables", LINES + ", " + _PLAIN + """, t AS (SELECT *, pos % 5 > 1 AS t FROM clean WHERE NOT contains(line, '|')), g AS (SELECT *, pos - sum(t::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t),
-k AS (SELECT *, CAST(min(pos) OVER (PARTITION BY doc_id, g) AS INTEGER) AS "table" FROM g WHERE t)
-SELECT doc_id, "table", CAST(row_number() OVER (PARTITION BY doc_id, "table" ORDER BY pos) - 1 AS INTEGER) AS row, line || ';a|b' AS cells FROM k WHERE pos % 5 <> 3""")
+@query("pipe_tables", LINES + rf""", l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 3 THEN '| --- | :-: |' WHEN pos % 5 > 1 THEN '| ' || line || ' | a\|b |' ELSE line END AS line FROM lines),
+t AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS t FROM l), g AS (SELECT *, pos - sum(t::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t),
+k AS (SELECT *, CAST(min(pos) OVER (PARTITION BY doc_id, g) AS INTEGER) AS "table" FROM g WHERE t),
+c AS (SELECT *, list_transform(string_split(replace(regexp_replace(regexp_replace(line, '^\s*\|', ''), '\|\s*$', ''), '\|', chr(1)), '|'), lambda x: replace({strip_sql('x')}, chr(1), '|')) AS cells FROM k)
+SELECT doc_id, "table", CAST(row_number() OVER (PARTITION BY doc_id, "table" ORDER BY pos) - 1 AS INTEGER) AS row, array_to_string(cells, ';') AS cells FROM c WHERE len(list_filter(cells, lambda x: NOT regexp_matches(x, '^:?-+:?$'))) > 0""")
 def q_tables(spark, sf):
-    kept = clean(spark, sf).where(~F.col("line").contains("|"))
     k = F.col("pos") % 5
     line = F.when(k == 3, "| --- | :-: |").when(k > 1, F.concat(F.lit("| "), "line", F.lit(" | a\\|b |"))).otherwise(F.col("line"))
-    found = M.pipe_tables(kept.withColumn("line", line), "doc_id", "pos", "line")
+    found = M.pipe_tables(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line")
     return found.select("doc_id", "table", "row", F.array_join("cells", ";").alias("cells"))
 
 
-@query("red_regions", LINES + "SELECT doc_id, pos, pos % 6 BETWEEN 1 AND 3 AS red FROM lines WHERE NOT contains(line, '<') AND doc_id IN (SELECT doc_id FROM lines GROUP BY doc_id HAVING count(*) = max(pos) + 1 AND NOT bool_or(contains(line, '<')))")
+@query("red_regions", LINES + """, l AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN '<red>' || line WHEN 3 THEN line || '</red>' ELSE line END AS line FROM lines), c AS (SELECT *, (len(line) - len(replace(line, '<red>', ''))) // 5 AS o, (len(line) - len(replace(line, '</red>', ''))) // 6 AS c FROM l)
+SELECT doc_id, pos, o > 0 OR coalesce(sum(o - c) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS red FROM c""")
 def q_red(spark, sf):
-    t = lines(spark, sf)
-    whole = t.groupBy("doc_id").agg((F.count("*") == F.max("pos") + 1).alias("w"), F.bool_or(F.col("line").contains("<")).alias("m")).where("w and not m").select("doc_id")
     k = F.col("pos") % 6
     line = F.when(k == 1, F.concat(F.lit("<red>"), "line")).when(k == 3, F.concat("line", F.lit("</red>"))).otherwise(F.col("line"))
-    return M.red_regions(t.join(whole, "doc_id", "left_semi").withColumn("line", line), "doc_id", "pos", "line").select("doc_id", "pos", "red")
+    return M.red_regions(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line").select("doc_id", "pos", "red")
+
+
+_LINK = r"\[([^\]]+)\]\((https?://(?:[^()\s]|\([^()\s]*\))+)\)"
 
 
-@query("residual_links", LINES + """SELECT doc_id, pos, '<p><a href="https://b.example">[x](https://c.example)</a> <a href="https://a.example/(1)">' || line || '</a></p>' AS html FROM lines WHERE NOT regexp_matches(line, '[<>\\[\\]]')""")
+@query("residual_links", LINES + rf"""SELECT doc_id, pos, '<p><a href="https://b.example">[x](https://c.example)</a>' || regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || ' [y](https://a.example/(1))', '{_LINK}', '<a href="\2">\1</a>', 'g') || '</p>' AS html FROM lines""")
 def q_links(spark, sf):
-    html = F.concat(F.lit('<p><a href="https://b.example">[x](https://c.example)</a> ['), "line", F.lit("](https://a.example/(1))</p>"))
-    return lines(spark, sf).where(~F.col("line").rlike(r"[<>\[\]]")).select("doc_id", "pos", M.link_residues(html).alias("html"))
+    html = F.concat(F.lit('<p><a href="https://b.example">[x](https://c.example)</a>'), T.escape_html(F.col("line")), F.lit(" [y](https://a.example/(1))</p>"))
+    return lines(spark, sf).select("doc_id", "pos", M.link_residues(html).alias("html"))
 
 
-@query("image_placeholders", LINES + "SELECT doc_id, pos, line || ' [Imagem: foto] [Imagem]' AS text FROM lines WHERE NOT contains(line, '![')")
+@query("image_placeholders", LINES + r"""SELECT doc_id, pos, regexp_replace(regexp_replace(line || ' ![foto](a.png) ![](b.png)', '!\[([^\]]+)\]\([^)]+\)', '[Imagem: \1]', 'g'), '!\[\]\([^)]+\)', '[Imagem]', 'g') AS text FROM lines""")
 def q_images(spark, sf):
     line = F.concat("line", F.lit(" ![foto](a.png) ![](b.png)"))
-    return lines(spark, sf).where(~F.col("line").contains("![")).select("doc_id", "pos", M.image_placeholders(line).alias("text"))
+    return lines(spark, sf).select("doc_id", "pos", M.image_placeholders(line).alias("text"))
 
 
 @query("signature_lines", LINES + "SELECT doc_id, pos, unnest([line, '[Assinado eletronicamente]', 'Nome']) AS part FROM lines")

@@ -8,7 +8,7 @@ from docblocks.functions import text as T
 from docblocks.operators import ordered as O
 from docblocks.operators import render
 from docblocks.operators import rules as R
-from docblocks.plans.registry import LINES, NUMBERED, lines, numbered, query, table, words_sql
+from docblocks.plans.registry import FENCES, LINES, NUMBERED, lines, numbered, query, strip_sql, table, words_sql
 from docblocks.plans.text import PROSE
 
 
@@ -54,11 +54,11 @@ def q_trees(spark, sf):
     return t.select("doc_id", F.array_join(O.list_levels(F.col("levels")), ",").alias("levels"))
 
 
-@query("code_fences", LINES + """, f AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 1 THEN '```' ELSE line END AS line, pos % 5 = 1 AS fence FROM lines WHERE NOT starts_with(line, '```')),
-n AS (SELECT *, CAST(sum(fence::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS k, CAST(sum(fence::INTEGER) OVER (PARTITION BY doc_id) AS INTEGER) AS total FROM f)
-SELECT doc_id, pos, CASE WHEN k = 0 THEN false WHEN fence THEN NOT (k % 2 = 1 AND k = total) ELSE k % 2 = 1 AND k < total END AS code FROM n""")
+@query("code_fences", LINES + """, l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 1 THEN repeat('`', 3 + CAST(pos % 2 AS INTEGER)) ELSE line END AS line FROM lines), """ + FENCES.format(source="l") + "SELECT doc_id, pos, code FROM coded")
 def q_fences(spark, sf):
-    t = lines(spark, sf).where(~F.col("line").startswith("```")).withColumn("line", F.when(F.col("pos") % 5 == 1, "```").otherwise(F.col("line")))
+    """Every line, with fences of three and four marks between them."""
+    fence = F.when(F.col("pos") % 2 == 0, "```").otherwise("````")
+    t = lines(spark, sf).withColumn("line", F.when(F.col("pos") % 5 == 1, fence).otherwise(F.col("line")))
     t = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     t = t.withColumn("code", O.fence_blocks(F.col("l.line")))
     return t.select("doc_id", F.explode(F.arrays_zip(F.col("l.pos").alias("pos"), "code")).alias("z")).select("doc_id", "z.pos", "z.code")
@@ -89,33 +89,45 @@ def q_signature_blocks(spark, sf):
     return O.spread_signatures(t, "doc_id", "pos", "signed", "text")
 
 
-@query("quoted_spans", LINES + """, d AS (SELECT doc_id, pos, pos // 5 AS b, pos % 5 AS k, count(*) OVER (PARTITION BY doc_id, pos // 5) AS n FROM lines WHERE NOT regexp_matches(line, '["“”«»]'))
-SELECT doc_id, pos FROM (SELECT *, max(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER w AS o, max(CASE WHEN k = 3 THEN 1 ELSE 0 END) OVER w AS c FROM d WINDOW w AS (PARTITION BY doc_id, b)) x WHERE o = 1 AND c = 1 AND k BETWEEN 1 AND 3""")
+_AFTER = r"'^[\s.,;:]*(\([^()]*\)[\s.,;:]*)?$'"
+
+
+@query("quoted_spans", LINES + f""", l AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, CASE pos % 5 WHEN 1 THEN '“' || line WHEN 3 THEN line || '” (art. 1).' WHEN 4 THEN NULL ELSE line END AS raw FROM lines),
+t AS (SELECT *, {strip_sql('raw')} AS t FROM l), o AS (SELECT *, t[1] AS o, CASE t[1] WHEN '"' THEN '"' WHEN '“' THEN '”' WHEN '«' THEN '»' END AS c, t[2:] AS rest FROM t WHERE t[1] IN ('"', '“', '«')),
+single AS (SELECT doc_id, i AS a, i AS b FROM o WHERE contains(rest, c) AND len(string_split(rest, c)) = 2 AND regexp_matches(string_split(rest, c)[2], {_AFTER}) AND (contains({strip_sql('string_split(rest, c)[1]')}, chr(10)) OR len({strip_sql('string_split(rest, c)[1]')}) >= 100)),
+ends AS (SELECT o.doc_id, o.i AS a, o.c, o.o, min(t.i) AS b FROM o JOIN t ON t.doc_id = o.doc_id AND t.i > o.i AND NOT contains(o.rest, o.c) AND (t.t IS NULL OR contains(CASE WHEN starts_with(t.t, o.o) THEN t.t[2:] ELSE t.t END, o.c)) GROUP BY 1, 2, 3, 4),
+body AS (SELECT e.doc_id, e.a, e.b, e.c, CASE WHEN starts_with(t.t, e.o) THEN t.t[2:] ELSE t.t END AS body FROM ends e JOIN t ON t.doc_id = e.doc_id AND t.i = e.b WHERE t.t IS NOT NULL),
+found AS (SELECT * FROM single UNION ALL SELECT doc_id, a, b FROM body WHERE len(string_split(body, c)) = 2 AND regexp_matches(string_split(body, c)[2], {_AFTER})),
+spans AS (WITH RECURSIVE s(doc_id, a, b) AS (SELECT doc_id, min(a), arg_min(b, a) FROM found GROUP BY doc_id UNION ALL
+ SELECT doc_id, a, b FROM (SELECT s.doc_id, min(f.a) AS a, arg_min(f.b, f.a) AS b FROM s JOIN found f ON f.doc_id = s.doc_id AND f.a > s.b GROUP BY s.doc_id) n) SELECT * FROM s)
+SELECT t.doc_id, t.pos FROM t JOIN spans s ON s.doc_id = t.doc_id AND t.i BETWEEN s.a AND s.b""")
 def q_quoted(spark, sf):
+    """Every line; some open a quotation, some close one, some are tables."""
     k = F.col("pos") % 5
     text = F.when(k == 1, F.concat(F.lit("“"), "line")).when(k == 3, F.concat("line", F.lit("” (art. 1)."))).when(k == 4, F.lit(None).cast("string")).otherwise(F.col("line"))
-    rows = lines(spark, sf).where(~F.col("line").rlike('["“”«»]')).select("doc_id", "pos", text.alias("t"))
-    t = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l"))
+    t = lines(spark, sf).select("doc_id", "pos", text.alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l"))
     t = t.withColumn("at", O.quoted_spans(F.col("l.t")))
-    spans = t.select("doc_id", F.explode(F.transform("at", lambda i: F.get(F.col("l.pos"), i))).alias("pos"))
-    return spans
+    return t.select("doc_id", F.explode(F.transform("at", lambda i: F.get(F.col("l.pos"), i))).alias("pos"))
 
 
-@query("number_glue", None)
+@query("number_glue", LINES + """, n AS (SELECT doc_id, pos, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS n FROM lines) SELECT doc_id, n, '1.' || (pos % 30) || '. ' || line AS line FROM n""")
 def q_glue(spark, sf):
+    """Before every line the pieces of a number, a blank among them."""
     t = lines(spark, sf).select("doc_id", "pos", F.posexplode(F.array(F.lit("1"), F.lit("."), (F.col("pos") % 30).cast("string"), F.lit("."), F.lit(""), F.col("line"))).alias("k", "x"))
     t = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "x"))).alias("l"))
     return t.select("doc_id", F.posexplode(O.glue_numbers(F.col("l.x"))).alias("n", "line"))
 
 
-@query("regrouped", LINES + """, k AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 2 THEN (pos % 30 + 1) || '. ' || trim(line) ELSE trim(line) END AS line, pos % 4 = 2 AS item FROM lines WHERE NOT regexp_matches(trim(line), '^[A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ][A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ\\s.\\-]{2,}$') AND NOT regexp_matches(trim(line), '^\\d')),
-h AS (SELECT *, coalesce(max(item::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos), 0) = 0 AS header, sum(item::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM k)
-SELECT doc_id, min(pos) AS first, CASE WHEN bool_or(header) THEN 'cabecalho' ELSE 'corpo' END AS kind, regexp_replace(string_agg(line, ' ' ORDER BY pos), '\\s+', ' ', 'g') AS text FROM h WHERE NOT header GROUP BY doc_id, g
-UNION ALL SELECT doc_id, pos, 'cabecalho', line FROM h WHERE header""".replace("\\\\", "\\"))
+_HEADING = r"(len(line) BETWEEN 3 AND 60 AND regexp_matches(line, '^\p{Lu}[\p{Lu}\s.-]*$'))"
+
+
+@query("regrouped", LINES + rf""", k AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 2 THEN (pos % 30 + 1) || '. ' || trim(line) ELSE trim(line) END AS line FROM lines),
+i AS (SELECT *, regexp_matches(line, '^\d{{1,2}}(\.\d{{1,2}})*\.\s+\S.*$') AS item FROM k), h AS (SELECT *, coalesce(max(item::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AND NOT item AS header FROM i),
+a AS (SELECT *, header OR (NOT item AND {_HEADING}) AS alone FROM h), g AS (SELECT *, sum((alone OR item OR before)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, coalesce(lag(alone) OVER (PARTITION BY doc_id ORDER BY pos), true) AS before FROM a) b)
+SELECT doc_id, min(pos) AS first, CASE WHEN bool_or(header) THEN 'cabecalho' ELSE 'corpo' END AS kind, CASE WHEN bool_or(header) THEN arg_min(line, pos) ELSE {strip_sql("regexp_replace(string_agg(line, ' ' ORDER BY pos), '[\\s\\x{00A0}]+', ' ', 'g')")} END AS text FROM g GROUP BY doc_id, g""")
 def q_regroup(spark, sf):
     bare = F.trim("line")
-    t = lines(spark, sf).where(~bare.rlike(r"^[A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ][A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÜÇ\s.\-]{2,}$") & ~bare.rlike(r"^\d"))
-    t = t.withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat((F.col("pos") % 30 + 1).cast("string"), F.lit(". "), bare)).otherwise(bare))
+    t = lines(spark, sf).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat((F.col("pos") % 30 + 1).cast("string"), F.lit(". "), bare)).otherwise(bare))
     return O.regroup(t, "doc_id", "pos", "line")
 
 

@@ -60,3 +60,12 @@ def strip_sql(x: str) -> str:
 
 def words_sql(x: str) -> str:
     return WORDS.format(x=x)
+
+
+#: Code blocks of a table ``{source}`` (doc_id, pos, line): each opening fence with the first line that closes it, then those that no earlier
+#: block holds, one after the other; ``coded`` is the table with ``code``.
+FENCES = r"""fence AS (SELECT doc_id, pos, len(regexp_extract(line, '^(`{{3,}})[^`]*$', 1)) AS ticks, regexp_matches(line, '^`{{3,}}\s*$') AS bare FROM {source} WHERE regexp_matches(line, '^`{{3,}}[^`]*$')),
+pairs AS (SELECT o.doc_id, o.pos AS a, min(c.pos) AS b FROM fence o JOIN fence c ON c.doc_id = o.doc_id AND c.pos > o.pos AND c.bare AND c.ticks >= o.ticks GROUP BY 1, 2),
+spans AS (WITH RECURSIVE s(doc_id, a, b) AS (SELECT doc_id, min(a), arg_min(b, a) FROM pairs GROUP BY doc_id UNION ALL
+ SELECT doc_id, a, b FROM (SELECT s.doc_id, min(p.a) AS a, arg_min(p.b, p.a) AS b FROM s JOIN pairs p ON p.doc_id = s.doc_id AND p.a > s.b GROUP BY s.doc_id) n) SELECT * FROM s),
+coded AS (SELECT doc_id, pos, line, EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = t.doc_id AND t.pos BETWEEN s.a AND s.b) AS code FROM {source} t)"""
