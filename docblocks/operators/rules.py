@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docblocks import schemas as S
@@ -84,9 +84,15 @@ def paragraph_class(style: Column, depth: Column, convention: Column, num_format
 
 def convention(paragraphs: DataFrame, id_col: str, depth: Column, prose: Column) -> DataFrame:
     """(id, convention): paragraphs if most level-1 openers read as prose, strictly; else titles."""
-    opener = depth == 1
-    votes = paragraphs.groupBy(id_col).agg(F.count_if(opener & prose).alias("p"), F.count_if(opener & ~prose).alias("t"))
-    return votes.select(id_col, F.when(F.col("p") > F.col("t"), "paragrafos").otherwise("titulos").alias("convention"))
+    # prose is only looked at in openers: a CASE doesn't evaluate what it doesn't reach
+    vote = F.when(depth == 1, F.when(prose, 1).otherwise(-1)).otherwise(0)
+    return paragraphs.groupBy(id_col).agg(F.when(F.sum(vote) > 0, "paragrafos").otherwise("titulos").alias("convention"))
+
+
+def with_convention(paragraphs: DataFrame, id_col: str, depth: Column, prose: Column) -> DataFrame:
+    """``paragraphs`` with their document's convention, by a window: nothing is joined. ``prose`` is looked at in level-1 openers only."""
+    votes = F.sum(F.when(depth == 1, F.when(prose, 1).otherwise(-1)).otherwise(0)).over(Window.partitionBy(id_col))
+    return paragraphs.withColumn("convention", F.when(votes > 0, "paragrafos").otherwise("titulos"))
 
 
 def body_size(runs: DataFrame, id_col: str, size: str, chars: str, pos: str) -> DataFrame:

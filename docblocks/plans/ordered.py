@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docblocks.functions import text as T
 from docblocks.operators import ordered as O
+from docblocks.operators import reports as G
 from docblocks.operators import render
 from docblocks.operators import rules as R
 from docblocks.plans.registry import FENCES, LINES, NUMBERED, lines, numbered, query, strip_sql, table, words_sql
@@ -48,7 +49,9 @@ def _arrays(spark, sf, *cols):
     return lines(spark, sf).groupBy("doc_id").agg(listed.alias("l"))
 
 
-@query("list_trees")
+@query("list_trees", LINES + """, l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, (pos * 5 + doc_id) % 4 AS lv FROM lines),
+w AS (WITH RECURSIVE r(doc_id, i, base, lv) AS (SELECT doc_id, i, lv, CAST(0 AS BIGINT) FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, r.base, CAST(greatest(0, least(l.lv - r.base, r.lv + 1)) AS BIGINT) FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1) SELECT * FROM r)
+SELECT doc_id, string_agg(lv, ',' ORDER BY i) AS levels FROM w GROUP BY doc_id""")
 def q_trees(spark, sf):
     t = _arrays(spark, sf).select("doc_id", F.transform("l.pos", lambda p: ((p * 5 + F.col("doc_id")) % 4).cast("int")).alias("levels"))
     return t.select("doc_id", F.array_join(O.list_levels(F.col("levels")), ",").alias("levels"))
@@ -140,17 +143,17 @@ def q_list_counters(spark, sf):
 
 @query("blank_squeeze", "SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM documents")
 def q_squeeze(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("\n\n\n")), r"\n{3,}", "\n\n").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", G.squeeze_blank_lines(F.replace("text", F.lit("\n"), F.lit("\n\n\n"))).alias("text"))
 
 
 def convert_lines(rows):
-    """Text paragraphs to classed blocks: (doc_id, pos, class, html). The document's convention decides the numbered families."""
-    depth = T.item_depth(F.col("line"))
-    votes = R.convention(rows, "doc_id", depth, T.is_prose(F.col("line")))
+    """Text paragraphs to classed blocks: (doc_id, pos, class, html). The document's convention, a window over its lines, decides the numbered families."""
+    rows = rows.withColumn("depth", T.item_depth(F.col("line")))
+    rows = R.with_convention(rows, "doc_id", F.col("depth"), F.when(F.col("depth") == 1, T.is_prose(F.col("line"))))
     none = lambda kind: F.lit(None).cast(kind)
-    joined = rows.join(votes, "doc_id")
-    name = R.paragraph_class(none("string"), depth, F.col("convention"), none("string"), F.lit(0), F.lit(1), F.when(T.is_caps(F.col("line")), "Texto_Centralizado_Maiusculas"), F.lit(False), F.lit(False), F.lit(False), none("string"), none("double"))
-    named = joined.withColumn("class", name)
+    caps = F.when(F.col("depth") == 0, F.when(T.is_caps(F.col("line")), "Texto_Centralizado_Maiusculas"))
+    name = R.paragraph_class(none("string"), F.col("depth"), F.col("convention"), none("string"), F.lit(0), F.lit(1), caps, F.lit(False), F.lit(False), F.lit(False), none("string"), none("double"), named=none("string"))
+    named = rows.withColumn("class", name)
     body = T.strip_number(F.col("line"), F.col("class"))
     return named.select("doc_id", "pos", "class", render.block(F.col("class"), T.escape_html(T.strip(body))).alias("html"))
 

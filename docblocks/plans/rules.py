@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from docblocks import schemas as S
 from docblocks.functions import text as T
+from docblocks.operators import lookups as L
+from docblocks.operators import reports as G
 from docblocks.operators import rules as R
 from docblocks.plans.registry import LINES, NUMBERED, lines, numbered, query, table, words_sql
 from docblocks.plans.text import PROSE
@@ -31,12 +33,13 @@ def q_class_names(spark, sf):
 @query("unknown_classes", f"SELECT p_partkey, array_to_string(list_sort(list_filter([{_STYLE}, 'Tachado', 'x' || p_size], lambda s: NOT list_contains([{', '.join(repr(c) for c in S.CLASSES)}], s))), ';') AS unknown FROM part")
 def q_unknown(spark, sf):
     used = F.array(F.expr(_STYLE), F.lit("Tachado"), F.concat(F.lit("x"), F.col("p_size").cast("string")))
-    return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_except(used, F.array(*[F.lit(c) for c in S.CLASSES]))), ";").alias("unknown"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(G.unknown_classes(used), ";").alias("unknown"))
 
 
 @query("used_classes", f"SELECT p_brand, array_to_string(list_sort(list_distinct(list({_STYLE}))), ';') AS used FROM part GROUP BY p_brand")
 def q_used(spark, sf):
-    return table(spark, sf, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.expr(_STYLE))), ";").alias("used"))
+    html = F.array_join(F.collect_list(F.concat(F.lit('<p class="'), F.expr(_STYLE), F.lit('">x</p>'))), "")
+    return table(spark, sf, "part").groupBy("p_brand").agg(html.alias("html")).select("p_brand", F.array_join(G.used_classes(F.col("html")), ";").alias("used"))
 
 
 _FORMAT = "l_quantity % 7 = 0 AS strike, l_quantity % 3 = 0 AS grey, l_quantity % 5 = 0 AS spaced, l_linenumber % 2 = 0 AS bold, CASE l_suppkey % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'right' WHEN 2 THEN 'left' END AS align, l_partkey % 2 = 0 AS caps"
@@ -83,19 +86,16 @@ def q_max(spark, sf):
 
 @query("paragraph_format", "SELECT o_orderkey, coalesce(bool_and(l_returnflag = 'N'), false) AS bold, coalesce(bool_and(l_quantity > 10), false) AS caps FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 2 GROUP BY o_orderkey")
 def q_par_format(spark, sf):
-    runs = table(spark, sf, "lineitem").where("l_quantity > 2")
-    joined = table(spark, sf, "orders").join(runs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    every = lambda c: F.coalesce(F.bool_and(c), F.lit(False))
-    return joined.groupBy("o_orderkey").agg(every(F.col("l_returnflag") == "N").alias("bold"), every(F.col("l_quantity") > 10).alias("caps"))
+    runs = table(spark, sf, "lineitem").where("l_quantity > 2").withColumnRenamed("l_orderkey", "o_orderkey")
+    return G.paragraph_format(table(spark, sf, "orders"), runs, "o_orderkey", {"bold": F.col("l_returnflag") == "N", "caps": F.col("l_quantity") > 10})
 
 
 @query("quotation_counts", LINES + f"""SELECT doc_id, count(*) FILTER (pos % 3 = 0) AS by_indent, count(*) FILTER (pos % 3 = 1) AS by_marks,
  string_agg(array_to_string(list_slice({words_sql('line')}, 1, 12), ' ') || CASE WHEN len({words_sql('line')}) > 12 THEN '…' ELSE '' END, chr(10) ORDER BY pos) FILTER (pos % 3 < 2) AS excerpts FROM lines GROUP BY doc_id""")
 def q_quotes(spark, sf):
     kind = F.col("pos") % 3
-    listed = F.array_sort(F.collect_list(F.when(kind < 2, F.struct("pos", T.excerpt(F.col("line")).alias("e")))))
-    out = lines(spark, sf).groupBy("doc_id").agg(F.count_if(kind == 0).alias("by_indent"), F.count_if(kind == 1).alias("by_marks"), listed.alias("l"))
-    return out.select("doc_id", "by_indent", "by_marks", F.when(F.size("l") > 0, F.array_join("l.e", "\n")).alias("excerpts"))
+    out = G.quotation_counts(lines(spark, sf), "doc_id", "pos", "line", kind == 0, kind == 1)
+    return out.withColumn("excerpts", F.when(F.size("excerpts") > 0, F.array_join("excerpts", "\n")))
 
 
 @query("style_chain", """WITH RECURSIVE s AS (SELECT c_custkey AS k, c_custkey * 3 % 1500 + 1 AS p, CASE WHEN c_nationkey % 8 = 0 THEN c_mktsegment END AS v FROM customer),
@@ -119,9 +119,7 @@ def q_numbering(spark, sf):
 @query("bullet_levels", "SELECT p_partkey, style, CAST(greatest(0, least(3, CASE WHEN d = '' THEN 0 ELSE CAST(d AS INTEGER) - 1 END)) AS INTEGER) AS level FROM (SELECT *, regexp_extract(style, '(\\d+)', 1) AS d FROM (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'List Bullet' ELSE 'List Bullet ' || (p_size % 7) END AS style FROM part) a) b")
 def q_bullets(spark, sf):
     style = F.when(F.col("p_size") % 3 == 0, "List Bullet").otherwise(F.concat(F.lit("List Bullet "), (F.col("p_size") % 7).cast("string")))
-    digit = F.regexp_extract("style", r"(\d+)", 1)
-    level = F.greatest(F.lit(0), F.least(F.lit(3), F.when(digit == "", 0).otherwise(digit.cast("int") - 1)))
-    return table(spark, sf, "part").select("p_partkey", style.alias("style")).withColumn("level", level)
+    return table(spark, sf, "part").select("p_partkey", style.alias("style")).withColumn("level", L.bullet_level(F.col("style")))
 
 
 @query("note_references", """SELECT doc_id, note, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY p) AS INTEGER) AS number, label FROM (SELECT doc_id, note, min(pos) AS p FROM (SELECT o_custkey AS doc_id, CAST(o_orderkey % 11 AS INTEGER) AS note, o_orderkey AS pos FROM orders) r GROUP BY 1, 2) f
@@ -129,34 +127,25 @@ def q_bullets(spark, sf):
 def q_notes(spark, sf):
     refs = table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 11).cast("int").alias("note"), F.col("o_orderkey").alias("pos"))
     notes = table(spark, sf, "nation").where("n_nationkey < 9").select(F.col("n_nationkey").alias("note"), F.col("n_name").alias("label"))
-    return number_notes(refs, notes)
-
-
-def number_notes(refs, notes):
-    """Notes numbered by the first place that refers to them; references without a note are left out."""
-    from pyspark.sql import Window
-
-    first = refs.groupBy("doc_id", "note").agg(F.min("pos").alias("p")).join(notes, "note")
-    return first.select("doc_id", "note", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("p")).alias("number"), "label")
+    return L.numbered_notes(refs, notes).select("doc_id", "note", "number", "label")
 
 
 @query("flagged_paragraphs", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS signed FROM orders")
 def q_flagged(spark, sf):
-    marked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), F.lit(True).alias("hit")).distinct()
-    return table(spark, sf, "orders").join(marked, F.col("o_orderkey") == F.col("k"), "left").select("o_orderkey", F.coalesce("hit", F.lit(False)).alias("signed"))
+    marked = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return L.flagged(table(spark, sf, "orders"), marked, ["o_orderkey"], "signed").select("o_orderkey", "signed")
 
 
 @query("span_formats", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(p_size > 25, false) AS bold, coalesce(p_size % 2 = 0, false) AS italic FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 5 > 0) p ON p_partkey = l_partkey")
 def q_spans(spark, sf):
-    known = table(spark, sf, "part").where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("k"), "p_size")
-    no = F.lit(False)
-    return table(spark, sf, "lineitem").join(known, F.col("l_partkey") == F.col("k"), "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.col("p_size") > 25, no).alias("bold"), F.coalesce(F.col("p_size") % 2 == 0, no).alias("italic"))
+    known = table(spark, sf, "part").where("p_partkey % 5 > 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 25).alias("bold"), (F.col("p_size") % 2 == 0).alias("italic"))
+    return L.span_formats(table(spark, sf, "lineitem"), known, "l_partkey", ["bold", "italic"]).select("l_orderkey", "l_linenumber", "l_partkey", "bold", "italic")
 
 
 @query("relationships", "SELECT o_orderkey, c_name AS target FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0")
 def q_rels(spark, sf):
-    rels = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("target"))
-    return table(spark, sf, "orders").join(rels, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "target")
+    rels = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("target"))
+    return L.targets(table(spark, sf, "orders"), rels, "o_custkey").select("o_orderkey", "target")
 
 
 @query("report_sentences", "SELECT c_custkey, n, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN '1 parágrafo marcado como citação.' ELSE CAST(n AS VARCHAR) || ' parágrafos marcados como citação.' END AS sentence FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) x")
@@ -209,9 +198,9 @@ def q_duplicates(spark, sf):
     return numbered_duplicates(table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("name")), "name", "c_custkey")
 
 
-@query("batch_report", "SELECT l_returnflag, count(*) AS documents, count(*) FILTER (l_quantity > 10) AS converted, CAST(sum(l_linenumber) AS BIGINT) AS quotations, count(*) FILTER (l_linenumber > 3) AS with_quotations FROM lineitem GROUP BY l_returnflag")
+@query("batch_report", "SELECT l_returnflag, count(*) AS documents, count(*) FILTER (l_quantity > 10) AS converted, CAST(sum(CASE WHEN l_linenumber > 3 THEN l_linenumber ELSE 0 END) AS BIGINT) AS quotations, count(*) FILTER (l_linenumber > 3) AS with_quotations FROM lineitem GROUP BY l_returnflag")
 def q_report(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("documents"), F.count_if(F.col("l_quantity") > 10).alias("converted"), F.sum("l_linenumber").alias("quotations"), F.count_if(F.col("l_linenumber") > 3).alias("with_quotations"))
+    return G.batch_totals(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_quantity") > 10, F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).otherwise(0))
 
 
 @query("supported_suffixes", "SELECT s AS suffix FROM (VALUES ('.docx'),('.pdf'),('.md'),('.txt'),('.odt'),('.html'),('.htm')) t(s) UNION SELECT s FROM (VALUES ('.rtf'),('.doc')) t(s)")
@@ -223,4 +212,55 @@ def q_suffixes(spark, sf):
 @query("top_excerpts", LINES + "SELECT doc_id, array_to_string(list_slice(list(pos ORDER BY pos), 1, 5), ',') AS shown, greatest(count(*) - 5, 0) AS more FROM lines GROUP BY doc_id")
 def q_top(spark, sf):
     t = lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("all"))
-    return t.select("doc_id", F.array_join(F.slice("all", 1, 5), ",").alias("shown"), F.greatest(F.size("all") - 5, F.lit(0)).cast("long").alias("more"))
+    first, more = G.shown(F.col("all"))
+    return t.select("doc_id", F.array_join(first, ",").alias("shown"), more.alias("more"))
+
+
+@query("list_numbering", """SELECT o_orderkey, level, prefix FROM (SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS level, coalesce(CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 25 END, o_custkey % 5) AS style FROM orders) i
+ LEFT JOIN (SELECT n_nationkey AS style, CAST(n_regionkey % 4 AS INTEGER) AS level, n_name AS prefix FROM nation) l USING (style, level)""")
+def q_list_numbering(spark, sf):
+    key = F.col("o_custkey")
+    items = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("int").alias("level"), F.when(key % 3 > 0, key % 25).alias("list_style"), (key % 5).alias("parent_style"))
+    levels = table(spark, sf, "nation").select(F.col("n_nationkey").alias("list_style"), (F.col("n_regionkey") % 4).cast("int").alias("level"), F.col("n_name").alias("prefix"))
+    return L.list_numbering(items, levels).select("o_orderkey", "level", "prefix")
+
+
+@query("document_signs", LINES + "SELECT doc_id, bool_or(contains(line, '**')) AS emphasis, bool_or(contains(line, '|')) AS tables, bool_or(contains(line, '\"')) AS quotes FROM lines GROUP BY doc_id")
+def q_signs(spark, sf):
+    return G.any_of(lines(spark, sf), "doc_id", {n: F.col("line").contains(m) for n, m in (("emphasis", "**"), ("tables", "|"), ("quotes", '"'))})
+
+
+@query("selected_formats", """SELECT c_nationkey, array_to_string(list_sort(list_distinct(list(CASE c_custkey % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.docx' WHEN 2 THEN '' ELSE '.html' END))), ';') AS formats FROM customer GROUP BY 1""")
+def q_formats(spark, sf):
+    name = F.concat("c_name", F.element_at(F.array(F.lit(".MD"), F.lit(".docx"), F.lit(""), F.lit(".Html")), (F.col("c_custkey") % 4 + 1).cast("int")))
+    return table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(name).alias("n")).select("c_nationkey", F.array_join(G.formats(F.col("n")), ";").alias("formats"))
+
+
+@query("missing_styles", """SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(['c' || (p_partkey % 5), 'c' || (p_size % 7)], lambda c: c NOT IN ('c1', 'c3', 'c5')))), ';') AS missing FROM part""")
+def q_missing(spark, sf):
+    html = F.concat(F.lit('<p class="c'), (F.col("p_partkey") % 5).cast("string"), F.lit(" c"), (F.col("p_size") % 7).cast("string"), F.lit('">x</p>'))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(G.missing_classes(html, F.lit("p.c1 { color: red } .c3, .c5 > b { margin: 0 }")), ";").alias("missing"))
+
+
+@query("latest_selection", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def q_latest(spark, sf):
+    return G.latest(table(spark, sf, "events"), "user_id", "event_id", "event_type")
+
+
+@query("conversion_outcomes", "SELECT lower('.' || split_part(event_type, '_', 1)) AS suffix, value > 50 AS ok, count(*) AS n FROM events GROUP BY 1, 2")
+def q_outcomes(spark, sf):
+    named = table(spark, sf, "events").select(F.concat(F.lit("file."), F.upper(F.substring_index("event_type", "_", 1))).alias("name"), (F.col("value") > 50).alias("ok"))
+    return G.outcomes(named, "name", "ok")
+
+
+@query("changelog_sections", LINES + """, l AS (SELECT doc_id, pos, CASE WHEN pos % 6 = 0 THEN '## v' || pos WHEN pos % 6 IN (1, 3) THEN '- x' || pos ELSE 'y' || pos END AS line FROM lines),
+s AS (SELECT *, CAST(sum((line LIKE '## %')::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS section FROM l),
+e AS (SELECT *, sum((line LIKE '- %')::INTEGER) OVER (PARTITION BY doc_id, section ORDER BY pos) AS entry FROM s WHERE section > 0),
+j AS (SELECT doc_id, section, entry, string_agg(CASE WHEN line NOT LIKE '## %' THEN regexp_replace(line, '^- ', '') END, ' ' ORDER BY pos) AS t, max(CASE WHEN line LIKE '## %' THEN line[4:] END) AS h FROM e GROUP BY 1, 2, 3)
+SELECT doc_id, section, max(h) AS title, coalesce(string_agg(t, '|' ORDER BY entry) FILTER (entry > 0), '') AS entries FROM j GROUP BY 1, 2""")
+def q_changelog(spark, sf):
+    k = F.col("pos") % 6
+    p = F.col("pos").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("## v"), p)).when(k.isin(1, 3), F.concat(F.lit("- x"), p)).otherwise(F.concat(F.lit("y"), p))
+    found = G.changelog(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line")
+    return found.select("doc_id", "section", "title", F.array_join("entries", "|").alias("entries"))

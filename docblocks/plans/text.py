@@ -212,7 +212,11 @@ def q_pasted(spark, sf):
     return table(spark, sf, "conversations").where(F.col("text").rlike(r"\S")).select("conv_id", "turn", T.pasted_kind(html, F.col("text")).alias("kind"))
 
 
-@query("crc16", None)
+_SHIFT = "CASE WHEN (x >> 15) & 1 = 1 THEN xor((x << 1) & 65535, 4129) ELSE (x << 1) & 65535 END"
+
+
+@query("crc16", f"""SELECT p_partkey, lower(printf('%04X', list_reduce(list_prepend(CAST(65535 AS BIGINT), list_transform(list_filter(string_split(p_name, ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT))),
+ lambda crc, c: list_reduce(list_prepend(xor(crc, c << 8), range(8)), lambda x, i: {_SHIFT})))) AS crc FROM part""".replace("lower(printf('%04X',", "upper(printf('%04X',"))
 def q_crc(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.crc16(F.col("p_name")).alias("crc"))
 
