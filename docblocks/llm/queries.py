@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over the whole of its table."""
+"""The queries of the thirteen operators, each over the whole of its table."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, grammar, lattice, lines, pulearn, ring, setsketch, spaced, suffixes
+from . import bpe, fertility, grammar, lattice, lines, pulearn, resampling, ring, setsketch, spaced, suffixes, variants, warc
 from .oracles import ORACLES
-from .tables import read, remainder, vocabulary
+from .tables import read, remainder, shared_folder, vocabulary
 
 
 #: Rows whose crc32 of the id leaves this remainder by 4 are held out of the classifiers.
@@ -105,6 +105,25 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all texts, the misspelt ones planted by the contract included, with its form and root."""
+    counts = variants.word_counts(read(spark, sf_dir, "documents"), planted=199)
+    return variants.group(counts.where(F.col("n") >= 5))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark's features, with the rank of those drawn."""
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10)
+
+
+def op13_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to WARC archives and read back from them."""
+    archive = f"{shared_folder(spark)}/archive"
+    warc.write(read(spark, sf_dir, "pages"), archive)
+    found = warc.pages_of(spark, archive)
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pu_quality": op1_pu_quality,
@@ -117,6 +136,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_line_winnowing": op9_line_winnowing,
         "op10_fertility_rules": op10_fertility_rules,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_warc_transactions": op13_warc_transactions,
     }
 
 

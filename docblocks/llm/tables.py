@@ -84,6 +84,38 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+#: A key that at least one row in so many has is hot; there are never more such keys than that.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key), null where the key is null or not there.
+
+    ``weight`` is the column of ``table`` that says how many rows have the key; it is dropped. Hot keys are
+    broadcast, at most HOT rows, and rows that found theirs are dealt out evenly in the join of the others.
+    """
+    taken = [*rows.columns, *table.columns]
+    found, other, spread = (unused(n, taken) for n in ("found", "other", "spread"))
+    values = [c for c in table.columns if c not in (key, weight)]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT >= total
+    packed = table.select(F.col(key).alias(other), F.struct(*values).alias(found), is_hot.alias(spread))
+    hot = packed.where(spread).drop(spread)
+    first = rows.join(F.broadcast(hot), F.col(key) == F.col(other), "left").drop(other)
+    alone = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    first = first.withColumn(spread, F.when(F.col(found).isNotNull() | F.col(key).isNull(), alone).otherwise(F.col(key).cast("string")))
+    second = unused("second", [*taken, found, other, spread])
+    rest = packed.where(~F.col(spread)).select(F.col(other).cast("string").alias(other), F.col(found).alias(second))
+    joined = first.join(rest, F.col(spread) == F.col(other), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.coalesce(F.col(found), F.col(second))[v].alias(v) for v in values])
+
+
+def ascii_lower(text: Column) -> Column:
+    """``text`` with A-Z in lower case and everything else as it is; only texts beyond ASCII go letter by letter."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, upper, upper.lower())).otherwise(F.lower(text))
+
+
 def text_keys(text: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes that name a text together."""
     return F.xxhash64(text), F.xxhash64(F.lit(1), text)
