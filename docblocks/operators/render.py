@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docblocks import schemas as S
+from docblocks.functions import paths
 
 COUNTERS = ["item-n1", "item-n2", "item-n3", "item-n4", "paragrafo-n1", "paragrafo-n2", "paragrafo-n3", "romano_maiusculo", "letra_minuscula"]
 
@@ -32,8 +33,8 @@ def result_json(name: Column, success: Column, errors: Column, warnings: Column,
 
 
 def first_per_target(files: DataFrame, target: str, order: str) -> DataFrame:
-    """``files`` with ``written``: the first input of each target wins, whatever the case of its letters."""
-    return files.withColumn("written", F.row_number().over(Window.partitionBy(F.lower(target)).orderBy(order)) == 1)
+    """``files`` with ``written``: the first input of each target wins, whatever the case of its letters and the dots in its path."""
+    return files.withColumn("written", F.row_number().over(Window.partitionBy(paths.identity(F.col(target))).orderBy(order)) == 1)
 
 
 def numbered_duplicates(files: DataFrame, name: str, order: str) -> DataFrame:

@@ -1,30 +1,32 @@
-"""Results to files, reports and JSON; the batch conversion of a folder.
+"""Results to files, reports and JSON; the conversion of a folder, once or as it changes.
 
-The first input in order of its path wins a target, whatever the case of its letters; the others are
-results with an error. Files are written by the tasks that hold them, each under its final name
-after it is complete, so a task that runs again replaces its own files.
+The first converted input in order of its path wins a target, whatever the case of its letters and the way it is
+written; the others are results with an error. Who wins is decided on names and outcomes alone: neither the contents
+of the inputs nor the pages are moved for it. Files are written by the sink "document_files", all of a batch or none.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from docblocks import pipeline
+from docblocks import schemas as S
+from docblocks.functions import paths
 from docblocks.functions import text as T
-from docblocks.operators import render
+from docblocks.sources import files as sink
 from docblocks.sources import listing
-from docblocks.streaming.watch import target_folder
+from docblocks.streaming import watch
 
 # Messages (fixed values).
 TAKEN = "A saída %s coincide com a de %s. Renomeie um dos dois documentos ou converta-os para pastas diferentes."
 ITSELF = "A saída %s é o próprio arquivo de entrada. Escolha outro nome."
+MISSING = "Arquivo não encontrado: %s"
 
 
 def local_path(path: Column) -> Column:
@@ -32,34 +34,37 @@ def local_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
-def targets(files: DataFrame, root: str, out_root: str | None = None, body_only: bool = False) -> DataFrame:
-    """``files`` (path, name) with ``target``, the ``winner`` of it (the first path), and what is wrong with it, if anything."""
-    folder = target_folder(local_path(F.col("path")), root, out_root) if out_root else F.regexp_replace(local_path(F.col("path")), "[^/]+$", "")
-    named = files.withColumn("target", F.concat(folder, T.output_name(F.col("name"), body_only)))
-    named = render.first_per_target(named, "target", "path")
-    first = named.where("written").select(F.lower("target").alias("t_"), F.col("name").alias("winner"))
-    named = named.join(first, F.lower("target") == F.col("t_")).drop("t_")
-    itself = local_path(F.col("path")) == F.col("target")
-    return named.withColumn("trouble", F.when(itself, F.format_string(ITSELF, "target")).when(~F.col("written"), F.format_string(TAKEN, "target", "winner")))
+def with_target(files: DataFrame, root: str, out_root: str | None = None, body_only: bool = False) -> DataFrame:
+    """``files`` (path, name) with the ``target`` that their output gets."""
+    folder = watch.target_folder(local_path(F.col("path")), root, out_root) if out_root else F.regexp_replace(local_path(F.col("path")), "[^/]+$", "")
+    return files.withColumn("target", F.concat(folder, T.output_name(F.col("name"), body_only)))
 
 
-def write_files(results: DataFrame, target: str = "target") -> int:
-    """Write every result's file to its target; returns how many. The folders must be shared by all executors."""
+def targets(files: DataFrame, root: str, out_root: str | None = None, body_only: bool = False, ok: Column | None = None) -> DataFrame:
+    """``files`` (path, name) with ``target``, the ``winner`` of it (the first path that is ``ok``), and what is wrong with it, if anything."""
+    ok = F.lit(True) if ok is None else ok
+    named = with_target(files, root, out_root, body_only).withColumn("identity", paths.identity(F.col("target")))
+    order = Window.partitionBy("identity").orderBy(F.when(ok, 0).otherwise(1), "path")
+    first = F.first(F.struct(F.col("path").alias("p"), F.col("name").alias("n"))).over(order)
+    named = named.withColumn("first_", first)
+    itself = paths.identity(F.col("path")) == F.col("identity")
+    taken = ok & (F.col("first_.p") != F.col("path"))
+    trouble = F.when(itself, F.format_string(ITSELF, "target")).when(taken, F.format_string(TAKEN, "target", "first_.n"))
+    return named.withColumns({"winner": F.col("first_.n"), "trouble": trouble}).drop("first_", "identity")
 
-    def write(rows: Iterator[Row]) -> Iterator[tuple[int]]:
-        for row in rows:
-            if not row["arquivos"]:
-                continue
-            path = unquote(urlparse(row[target]).path) if row[target].startswith("file:") else row[target]
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            handle, name = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".")
-            with os.fdopen(handle, "w", encoding="utf-8") as out:
-                out.write(row["arquivos"][0]["conteudo"])
-            os.replace(name, path)
-            yield (1,)
 
-    counted = results.select("arquivos", target).rdd.mapPartitions(write)
-    return counted.count()
+def _refused(results: DataFrame, wrong: Column) -> DataFrame:
+    """``results`` where those in trouble have it as their error and write nothing; an error of their own comes before."""
+    bad = wrong.isNotNull()
+    errors = F.when(bad & F.col("sucesso"), F.array(wrong)).otherwise(F.col("erros"))
+    return results.withColumns({"erros": errors, "arquivos": F.when(bad, F.slice("arquivos", 1, 0)).otherwise(F.col("arquivos")), "sucesso": F.col("sucesso") & ~bad})
+
+
+def write_files(results: DataFrame, staging: str, target: str = "target") -> int:
+    """Write every result's file to its target; returns how many. ``staging`` and the targets are shared by all executors."""
+    rows = results.where(F.size("arquivos") > 0).select(F.col(target).alias("target"), F.col("arquivos")[0]["conteudo"].alias("content"))
+    sink.write(rows, staging)
+    return rows.count()
 
 
 def report(results: DataFrame) -> DataFrame:
@@ -86,12 +91,64 @@ class Batch:
 
 
 def convert_folder(spark: SparkSession, folder: str, out: str | None = None, options: pipeline.Options = pipeline.Options(), recursive: bool = False) -> Batch:
-    """Convert the files of a folder, in order of their paths; results of files that lost their target have an error and no file."""
-    files = targets(listing.raw_documents(spark, folder, recursive), folder, out, options.body_only)
-    found = pipeline.convert(files, options, id_col="path")
-    fate = files.select(F.col("path").alias("p_"), "target", "trouble")
-    joined = found.join(fate, F.col("path") == F.col("p_"))
-    wrong = F.col("trouble").isNotNull()
-    joined = joined.withColumns({"erros": F.when(wrong & F.col("sucesso"), F.array("trouble")).otherwise(F.col("erros")), "arquivos": F.when(wrong, F.slice("arquivos", 1, 0)).otherwise(F.col("arquivos"))})
-    joined = joined.withColumn("sucesso", F.col("sucesso") & ~wrong).drop("p_", "trouble").orderBy("path").persist()  # read by the writer and the caller
-    return Batch(joined, write_files(joined))
+    """Convert the files of a folder; results of files that lost their target have an error and no file."""
+    found = pipeline.convert(listing.raw_documents(spark, folder, recursive), options, id_col="path").persist()
+    fate = targets(found.select("path", F.col("nome_origem").alias("name"), "sucesso"), folder, out, options.body_only, F.col("sucesso"))
+    joined = found.join(fate.select(F.col("path").alias("p_"), "target", "trouble"), F.col("path") == F.col("p_")).drop("p_")
+    results = _refused(joined, F.col("trouble")).drop("trouble").persist()  # read by the writer and the caller
+    written = write_files(results, out or folder)
+    found.unpersist()
+    return Batch(results, written)
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """``files`` (path and more) with ``content``, read by the tasks that hold the paths, one file at a time; null where there is none any more."""
+    names, where = files.columns, files.columns.index("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column(where).to_pylist()):
+                try:
+                    with open(sink.local_file(path), "rb") as file:
+                        content = file.read()
+                except OSError:
+                    content = None
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns), pa.array([content], pa.binary())], [*names, "content"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(read, f"{schema}, content binary")
+
+
+def convert_ready(ready: DataFrame, staging: str, options: pipeline.Options = pipeline.Options()) -> Batch:
+    """Convert what a watch found ready (path, name, suffix, target, owner) and write it; a target of another path is an error."""
+    files = contents(ready).persist()
+    found = pipeline.convert(files.where("content is not null"), options, id_col="path")
+    none = F.array().cast("array<string>")
+    blank = {f.name: F.lit(0).alias(f.name) if f.dataType.simpleString() == "int" else F.array().cast(f.dataType.simpleString()).alias(f.name) for f in found.schema.fields if f.name not in ("path", "nome_origem", "sucesso", "erros")}
+    lost = files.where("content is null").select("path", F.col("name").alias("nome_origem"), F.lit(False).alias("sucesso"), F.concat(none, F.array(F.format_string(MISSING, "path"))).alias("erros"), *blank.values())
+    fate = ready.select(F.col("path").alias("p_"), "target", "owner")
+    joined = found.union(lost.select(*found.columns)).join(fate, F.col("path") == F.col("p_")).drop("p_")
+    itself, taken = paths.identity(F.col("path")) == paths.identity(F.col("target")), F.col("owner") != F.col("path")
+    trouble = F.when(itself, F.format_string(ITSELF, "target")).when(taken, F.format_string(TAKEN, "target", T.file_name(F.col("owner"))))
+    results = _refused(joined, trouble).drop("owner").persist()
+    written = write_files(results, staging)
+    files.unpersist()
+    return Batch(results, written)
+
+
+def watch_folder(spark: SparkSession, folder: str, checkpoint: str, out: str | None = None, options: pipeline.Options = pipeline.Options(), recursive: bool = False, scans: int | None = None, seconds: float = S.WATCH_SECONDS, then=None) -> StreamingQuery:
+    """Convert every file of a folder that is new or changed, once two scans agree on it, until the query is stopped.
+
+    ``then`` is called with the results of every scan that had ready files, and its number.
+    """
+
+    def convert(ready: DataFrame, number: int) -> None:
+        ready = ready.persist()
+        if not ready.isEmpty():
+            done = convert_ready(ready, out or folder, options)
+            if then is not None:
+                then(done, number)
+            done.results.unpersist()
+        ready.unpersist()
+
+    return watch.start(spark, folder, convert, checkpoint, out, recursive, options.body_only, scans, seconds)

@@ -2,22 +2,23 @@
 
 State of a path: the mark pending from the last scan, and the mark it was converted at. A mark that
 equals the converted one changes nothing, not even the pending mark. A path that a scan doesn't show
-loses its state.
+loses its state. In batch this is a fold over each path's scans, as a stream keyed state (``keyed``).
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docblocks import schemas as S
+from docblocks.functions import paths
+from docblocks.functions import text as T
+from docblocks.sources import snapshots as source
+from docblocks.streaming import keyed
 
 
 def ready_scans(marks: Column) -> Column:
@@ -48,29 +49,39 @@ def ready_files(scans: DataFrame, path: str, scan: str, mark: str) -> DataFrame:
     return seen.select(path, "lo", F.explode(ready_scans(marks)).alias("i")).select(path, (F.col("lo") + F.col("i")).alias(scan))
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One path's scans of a micro-batch in order, over the state (last scan, pending, done)."""
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("scan_no")
-    last, pending, done = state.get if state.exists else (None, None, None)
-    out = []
-    for scan, mark in zip(rows["scan_no"].tolist(), rows["mark"].tolist(), strict=True):
-        if last is not None and scan > last + 1:  # it wasn't there in between
-            pending = done = None
-        last = scan
-        if mark == done:
-            continue
-        if mark == pending:
-            out.append(scan)
-            pending, done = None, mark
-        else:
-            pending = mark
-    state.update((last, pending, done))
-    yield pd.DataFrame({"path": [key[0]] * len(out), "scan_no": out})
+def watched(scans: DataFrame, every_scan: bool = True, absent_after: timedelta | None = None) -> DataFrame:
+    """(path, scan_no, mark, event): "ready" and "gone" from a stream of (scan_no long, path string, mark string).
 
+    A null mark says that the path has gone; its state ends there. ``every_scan``: each scan shows every file, so a gap
+    is an absence; false for the source "snapshots", which tells changes. ``absent_after``: how long a path may go
+    unmentioned before it counts as gone.
+    """
+    keyed.use_state_store(scans.sparkSession)
+    mode = "none" if absent_after is None else "processingTime"
+    processor = keyed.Marks(every_scan, keyed.milliseconds(absent_after))
+    return scans.select("path", "scan_no", "mark").groupBy("path").transformWithState(processor, keyed.EVENTS, "append", mode)
+
+
+def ready_stream(scans: DataFrame, every_scan: bool = True) -> DataFrame:
+    """(path, scan_no): when each path of a stream of scans is ready."""
+    return watched(scans, every_scan).where(F.col("event") == keyed.READY).select("path", "scan_no")
+
+
+def claims(events: DataFrame, target: Column) -> DataFrame:
+    """Ready rows of ``watched`` with their target and the path that owns it, the identity of targets being that of paths."""
+    rows = events.withColumn("target", target).withColumn("claimed", paths.key(F.col("target")))
+    return rows.groupBy("claimed").transformWithState(keyed.Owners(), keyed.CLAIMS, "append", "none")
 
-def ready_stream(scans: DataFrame) -> DataFrame:
-    """The same over a stream of (scan_no long, path string, mark string)."""
-    return scans.groupBy("path").applyInPandasWithState(_advance, "path string, scan_no long", "last long, pending string, done string", "append", GroupStateTimeout.NoTimeout)
+
+def latest_results(selections: DataFrame, results: DataFrame, ttl: timedelta | None = None) -> DataFrame:
+    """(session, version, value): streamed results of each session's latest selection; stale ones are dropped.
+
+    ``selections``: (session string, version long); ``results``: (session, version, value string).
+    """
+    keyed.use_state_store(results.sparkSession)
+    chosen = selections.select("session", "version", F.lit(None).cast("string").alias("value"), F.lit(False).alias("is_result"))
+    rows = chosen.union(results.select("session", "version", "value", F.lit(True)))
+    return rows.groupBy("session").transformWithState(keyed.Latest(keyed.milliseconds(ttl)), keyed.RESULTS, "append", "none" if ttl is None else "processingTime")
 
 
 def target_folder(path: Column, root: str, out_root: str) -> Column:
@@ -79,36 +90,25 @@ def target_folder(path: Column, root: str, out_root: str) -> Column:
     return F.concat(F.lit(out_root.rstrip("/") + "/"), inside)
 
 
-def watch(list_files: Callable[[], DataFrame], convert: Callable[[DataFrame], Any], cycles: int | None = None, seconds: float = S.WATCH_SECONDS) -> int:
-    """Scan, keep what two scans agree on, convert it; returns the number of files converted.
+def snapshots(spark: SparkSession, folder: str, log: str, recursive: bool = False, scans: int | None = None) -> DataFrame:
+    """The stream of changes of a folder's candidates; outputs of the engine and unknown suffixes are no candidates."""
+    source.register(spark)
+    read = spark.readStream.format("snapshots").option("path", folder).option("log", log).option("recursive", str(recursive).lower())
+    read = read.option("suffixes", ",".join(S.SUPPORTED + S.RETIRED))
+    if scans is not None:
+        read = read.option("scans", str(scans))
+    return read.load().where(T.in_scan(F.col("name")))
+
+
+def start(spark: SparkSession, folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str, out: str | None = None, recursive: bool = False, body_only: bool = False, scans: int | None = None, seconds: float = S.WATCH_SECONDS) -> StreamingQuery:
+    """Watch a folder: ``sink`` gets the ready files of every scan, (path, name, suffix, target, owner).
 
-    ``list_files`` gives (path, mark); ``convert`` gets the ready rows in order of their paths.
+    A file whose target belongs to another path has that path as its owner; a path that goes frees its target. The state
+    lives in the checkpoint, so a query that starts again goes on where it stopped. ``scans`` ends it after so many.
     """
-    pending: dict[str, str] = {}
-    done: dict[str, str] = {}
-    total, cycle = 0, 0
-    while cycles is None or cycle < cycles:
-        now = {r["path"]: r["mark"] for r in list_files().toLocalIterator()}
-        for gone in (set(pending) | set(done)) - set(now):
-            pending.pop(gone, None), done.pop(gone, None)
-        ready = []
-        for path in sorted(now):
-            if now[path] == done.get(path):
-                continue
-            if now[path] == pending.get(path):
-                ready.append(path)
-                done[path] = pending.pop(path)
-            else:
-                pending[path] = now[path]
-        if ready:
-            convert(list_files().where(F.col("path").isin(ready)).orderBy("path"))
-            total += len(ready)
-        cycle += 1
-        if cycles is None or cycle < cycles:
-            time.sleep(seconds)
-    return total
-
-
-def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Run ``sink`` on the ready files of every micro-batch."""
-    return ready_stream(stream).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{S.WATCH_SECONDS} seconds").start()
+    events = watched(snapshots(spark, folder, f"{checkpoint.rstrip('/')}/scans", recursive, scans), every_scan=False)
+    name = F.element_at(F.split("path", "/"), -1)
+    place = target_folder(F.col("path"), folder, out) if out else F.regexp_replace("path", "[^/]+$", "")
+    ready = claims(events, F.concat(place, T.output_name(name, body_only)))
+    ready = ready.select("path", name.alias("name"), T.suffix(name).alias("suffix"), "target", "owner")
+    return ready.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

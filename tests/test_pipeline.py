@@ -268,7 +268,7 @@ def test_folders_are_converted_once_a_target(spark, tmp_path):
     for name, text in (("a.md", "um"), ("a.txt", "dois"), ("B.MD", "três"), ("c.docx", "ruim"), ("sub/d.txt", "quatro"), ("e_SEI.html", "saída")):
         (inside / name).write_text(text)
     done = sinks.convert_folder(spark, str(inside), str(out), recursive=True)
-    rows = done.results.collect()
+    rows = done.results.orderBy("path").collect()
     assert [(r["nome_origem"], r["sucesso"]) for r in rows] == [("B.MD", True), ("a.md", True), ("a.txt", False), ("c.docx", False), ("d.txt", True)]
     assert done.written == 3 and "coincide com a de a.md" in rows[2]["erros"][0]
     assert sorted(str(p.relative_to(out)) for p in out.rglob("*.html")) == ["B_SEI.html", "a_SEI.html", "sub/d_SEI.html"]
