@@ -7,9 +7,9 @@ counts of every document's features. Their sum is the document's weight. Weights
 the id alone are scores, and the highest scores are a sample without replacement.
 
 Features that make up one in ``FREQUENT`` of the corpus or more are at most so many: their gains are
-broadcast, and a document sums them where it is read. What is left, with counts by document, meets the rest
-of the dictionary by a shuffle in which no feature is frequent; a feature too long to be broadcast is dealt to
-``SPREAD`` places. Ranks come from a range sort of narrow rows with a tie breaker.
+broadcast, and a document's counts meet them where it is read. What is left, one row a document and feature with its
+count, meets the rest of the dictionary by a shuffle in which no feature is frequent; a feature too long to be
+broadcast is dealt to ``SPREAD`` places. Ranks come from a range sort of narrow rows with a tie breaker.
 
 Results for odd inputs: null and empty texts have no features, weight 0; a null id is written as nothing
 and comes last of equal scores; rows that repeat an id are rows of their own; texts are handled whole; an empty
@@ -18,37 +18,57 @@ corpus gives no rows, an empty target gains of its own smoothing; further column
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ascii_lower, shared_folder, stored
+from .tables import shared_folder, stored
 
 BUCKETS, SEED, LEAST_WORDS = 10_000, 2024, 20
-#: Runs of anything but ASCII characters that are no letters or digits.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of words: ASCII letters, lower-cased, digits, and all bytes of other characters; the others are spaces.
+_PLAIN = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
 FREQUENT, LONGEST, SPREAD = 100_000, 256, 64
+#: Features and rows that a task holds before it hands them on.
+HELD = 200_000
 
 
-def features(text: Column, order: int = 1) -> Column:
-    """All runs of 1 to ``order`` consecutive words of a text, only A-Z lower-cased."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    if order == 1:
-        return words
-
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-
-    return F.flatten(F.array(words, *[runs(n) for n in range(2, order + 1)]))
+def features(text: bytes | None, order: int = 1) -> tuple[list[bytes], int]:
+    """(all runs of 1 to ``order`` consecutive words of a text, how many words), only A-Z lower-cased."""
+    words = (text or b"").translate(_PLAIN).split()
+    runs = list(words)
+    for n in range(2, order + 1):
+        runs += [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+    return runs, len(words)
 
 
 def bucket(feature: Column, buckets: int = BUCKETS) -> Column:
-    return (F.crc32(feature.cast("binary")) % buckets).cast("int")
+    return (F.crc32(feature) % buckets).cast("int")
 
 
 def _counted(texts: DataFrame, text_col: str, order: int) -> DataFrame:
-    rows = texts.select(F.explode(features(F.col(text_col), order)).alias("feature"))
-    return rows.groupBy(ascii_lower(F.col("feature")).alias("feature")).agg(F.count("*").alias("s"))
+    """(feature, s) of all texts: batches count their own features first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["feature", "s"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(features(text.as_py(), order)[0])
+                if len(seen) >= HELD:
+                    yield hand_on()
+        if seen:
+            yield hand_on()
+
+    rows = texts.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "feature binary, s long")
+    return rows.groupBy("feature").agg(F.sum("s").alias("s"))
 
 
 def gains(dictionary: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
@@ -69,15 +89,42 @@ def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col
     valued = dictionary.withColumn("bucket", bucket(F.col("feature"), buckets)).join(F.broadcast(gain), "bucket").select("feature", "s", "gain")
     valued = stored(valued, folder, "valued")
     is_frequent = (F.col("s") * frequent >= total) & (F.octet_length("feature") <= LONGEST)
-    heavy = F.broadcast(valued.where(is_frequent).select(F.col("feature").alias("f"), "gain"))
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("row", "id", F.explode_outer(features(F.col("text"), order)).alias("feature"))
-    rows = rows.withColumn("feature", ascii_lower(F.col("feature"))).join(heavy, F.col("feature") == F.col("f"), "left")
-    rare = F.when(F.col("gain").isNull(), F.col("feature"))
-    is_word = F.col("feature").isNotNull() & (F.lit(order == 1) | ~F.contains("feature", F.lit(" ")))
-    counts = rows.groupBy("row", "id", rare.alias("rare")).agg(F.count_if(is_word).alias("w"), F.count("feature").alias("c"), F.coalesce(F.sum("gain"), F.lit(0)).alias("g"))
-    counts = stored(counts, folder, "counts")
+    # at most ``frequent`` entries of ``LONGEST`` bytes, whatever the corpus
+    known = docs.sparkSession.sparkContext.broadcast({bytes(r[0]): r[1] for r in valued.where(is_frequent).select("feature", "gain").toLocalIterator()})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each document with the sum of its frequent features, then one for each of its rare ones."""
+        gain_of = known.value
+        names = ["row", "id", "rare", "w", "c", "g"]
+        for batch in batches:
+            at, rare, w, c, g = [], [], [], [], []
+
+            def hand_on(batch=batch, at=at, rare=rare, w=w, c=c, g=g) -> pa.RecordBatch:
+                of = pa.array(at, pa.int64())
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(rare, pa.binary()), *(pa.array(x, pa.int64()) for x in (w, c, g))]
+                for x in (at, rare, w, c, g):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            for i, text in enumerate(batch.column(2)):
+                runs, n_words = features(text.as_py(), order)
+                counts = Counter(runs)
+                left = [(f, n) for f, n in counts.items() if f not in gain_of]
+                unknown = sum(n for _, n in left)
+                rare += [None, *(f for f, _ in left)]
+                c += [len(runs) - unknown, *(n for _, n in left)]
+                w += [n_words, *[0] * len(left)]
+                g += [sum(n * gain_of[f] for f, n in counts.items() if f in gain_of), *[0] * len(left)]
+                at += [i] * (1 + len(left))
+                if len(at) >= HELD:
+                    yield hand_on()
+            if at:
+                yield hand_on()
+
+    counts = stored(rows.mapInArrow(weigh, f"row long, id {id_type}, rare binary, w long, c long, g long"), folder, "counts")
     place = F.when(F.octet_length("rare") > LONGEST, F.pmod(F.xxhash64("row"), F.lit(SPREAD))).otherwise(0).cast("int")
     places = F.when(F.octet_length("feature") > LONGEST, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     rest = valued.where(~is_frequent).select(F.col("feature").alias("f"), "gain", F.explode(places).alias("p"))
