@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from docblocks import schemas as S
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind as it takes to differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def strip(text: Column) -> Column:
     """White space of any kind gone from both ends."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -77,19 +85,20 @@ def item_number(n: Column, kind: Column) -> Column:
 
 
 def safe_url(href: Column) -> Column:
-    """The address without control characters and spaces, or null if its scheme isn't allowed; one without a scheme stays."""
-    bare = F.regexp_replace(href, r"[\x00-\x20]+", "")
-    scheme = F.lower(F.substring_index(bare, ":", 1))
-    has_scheme = F.contains(bare, F.lit(":")) & scheme.rlike(r"^[a-z][a-z\d+.-]*$")
-    return F.when(~has_scheme | scheme.isin(S.SCHEMES), bare)
+    """The address without white space around it; null if it is empty or its scheme isn't allowed; one without a scheme stays.
+
+    Browsers don't see control characters and spaces in a scheme, so the scheme is read without them; the address keeps them.
+    """
+    bare = strip(href)
+    scheme = F.lower(F.regexp_extract(F.regexp_replace(bare, r"[\x00-\x20]+", ""), r"^([A-Za-z][A-Za-z\d+.-]*):", 1))
+    return F.when((bare != "") & ((scheme == "") | scheme.isin(S.SCHEMES)), bare)
 
 
 def link_target(href: Column) -> Column:
-    """A safe address for a link; anchors give none, spaces and parentheses are encoded."""
-    url = safe_url(strip(href))
-    for char, code in ((" ", "%20"), ("(", "%28"), (")", "%29")):
-        url = F.replace(url, F.lit(char), F.lit(code))
-    return F.when(~url.startswith("#") & (url != ""), url)
+    """A safe address for a link in Markdown; anchors give none, spaces and parentheses are encoded."""
+    url = safe_url(href)
+    shown = F.replace(F.replace(F.replace(url, F.lit(" "), F.lit("%20")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
+    return F.when(~url.startswith("#"), shown)
 
 
 #: Inline tags whose empty pairs say nothing.

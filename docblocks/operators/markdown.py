@@ -83,19 +83,35 @@ def link_residues(html: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t.startswith("<"), t).otherwise(F.regexp_replace(t, link, '<a href="$2">$1</a>'))), "")
 
 
+#: What stands for an image, and for one without a description (fixed values).
+NO_IMAGE, NO_DESCRIPTION = "Imagem não incorporada (%s)", "sem descrição"
+
+
 def image_placeholders(line: Column) -> Column:
-    """Images as words: their description, or just that there was one."""
-    named = F.regexp_replace(line, r"!\[([^\]]+)\]\([^)]+\)", "[Imagem: $1]")
-    return F.regexp_replace(named, r"!\[\]\([^)]+\)", "[Imagem]")
+    """Images as words: their description, its marks escaped, or that there was none."""
+    image = r"!\[[^\]]*\]\([^)]+\)"
+    pieces = F.regexp_extract_all(line, F.lit(rf"(?s)({image}|[^!]+|!)"), F.lit(1))
+
+    def shown(piece: Column) -> Column:
+        label = T.strip(F.regexp_extract(piece, r"(?s)^!\[([^\]]*)\]", 1))
+        words = T.escape_markdown(F.when(label == "", NO_DESCRIPTION).otherwise(label))
+        return F.when(piece.rlike(rf"(?s)^{image}$"), F.format_string(NO_IMAGE, words)).otherwise(piece)
+
+    return F.array_join(F.transform(pieces, shown), "")
 
 
 def signature_lines(text: Column) -> Column:
-    """A paragraph with breaks as lines from its signature mark on, after what stands before; one without a mark as it is."""
-    parts = F.split(text, "\n")
-    at = F.array_position(F.transform(parts, lambda p: T.is_signature_mark(T.strip(p))), F.lit(True)).cast("int")
-    head = F.array_join(F.slice(parts, 1, F.greatest(at - 1, F.lit(0))), "\n")
-    tail = F.slice(parts, F.greatest(at, F.lit(1)), F.size(parts))
-    return F.when(at == 0, F.array(text)).otherwise(F.concat(F.when(T.strip(head) != "", F.array(head)).otherwise(F.array().cast("array<string>")), F.filter(tail, lambda p: T.strip(p) != "")))
+    """A paragraph with breaks as lines from its signature mark on, after what stands before.
+
+    One without a mark stays as it is, and so does one in which a line after the mark is too long for a name or an office.
+    """
+    parts = F.transform(F.split(text, "\n"), T.strip)
+    seen = F.transform(parts, T.unescape_markdown)
+    at = F.array_position(F.transform(seen, T.is_signature_mark), F.lit(True)).cast("int")
+    rest = lambda lines: F.filter(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)), lambda p: p != "")
+    short = F.forall(rest(seen), lambda p: F.size(T.words(p)) <= S.SIGNATURE_WORDS)
+    head = T.strip(F.array_join(F.slice(parts, 1, F.greatest(at - 1, F.lit(0))), "\n"))
+    return F.when((at == 0) | ~short, F.array(text)).otherwise(F.concat(F.when(head != "", F.array(head)).otherwise(F.array().cast("array<string>")), rest(parts)))
 
 
 def signature_indices(flags: Column, short: Column, tail: Column | None = None) -> Column:

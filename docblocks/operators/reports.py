@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from docblocks import schemas as S
 from docblocks.functions import text as T
 
-#: Entries that a list of excerpts shows, and lines of a report.
-SHOWN_EXCERPTS, SHOWN_LINES = 5, 10
+#: Entries that a list of excerpts shows, and lines of a report; what stands for a file's name in it (fixed values).
+SHOWN_EXCERPTS, SHOWN_LINES, NO_NAME, MORE = 5, 10, "<arquivo>", "e mais %d."
+#: Suffixes of words that are names of documents (fixed values).
+NAME_SUFFIXES = r"docx?|odt|pdf|md|txt|rtf|html?"
 
 
 def paragraph_format(paragraphs: DataFrame, runs: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
@@ -90,3 +92,49 @@ def changelog(lines: DataFrame, id_col: str, pos: str, line: str) -> DataFrame:
     joined = parts.select(id_col, "section", "entry", F.array_join(F.array_compact(F.col("x.h")), " ").alias("h"), F.array_join(F.array_compact(F.col("x.t")), " ").alias("t"))
     out = joined.groupBy(id_col, "section").agg(F.max(F.when(F.col("entry") == 0, F.col("h"))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("entry") > 0, F.struct("entry", "t")))).alias("e"))
     return out.select(id_col, "section", T.strip(F.col("title")).alias("title"), F.col("e.t").alias("entries"))
+
+
+def roll_up(results: DataFrame, suffix: str = "suffix", ok: str = "ok", quotes: str = "quotes", headers: str = "headers", warnings: str = "warnings") -> DataFrame:
+    """(by, suffix, ok, documents, converted, with_quotes, quotes, with_headers, headers, warnings): all results, by suffix and by outcome, in one pass.
+
+    ``by`` is "all", "suffix" or "ok"; ``quotes`` and ``headers`` are counts, ``warnings`` is an array. A failed document counts as one and adds nothing else.
+    """
+    done = F.col(ok)
+    plain = results.select(F.col(suffix).alias("suffix"), done.alias("ok"), *[F.when(done, F.coalesce(c, F.lit(0))).otherwise(0).alias(n) for n, c in (("quotes", F.col(quotes)), ("headers", F.col(headers)), ("warnings", F.size(warnings)))])
+    sets = plain.groupingSets([[], ["suffix"], ["ok"]], "suffix", "ok")
+    by = F.when(F.grouping("suffix") == 0, "suffix").when(F.grouping("ok") == 0, "ok").otherwise("all")
+    return sets.agg(
+        by.alias("by"), F.count("*").alias("documents"), F.count_if("ok").alias("converted"), F.count_if(F.col("quotes") > 0).alias("with_quotes"), F.sum("quotes").alias("n_quotes"),
+        F.count_if(F.col("headers") > 0).alias("with_headers"), F.sum("headers").alias("n_headers"), F.sum("warnings").alias("n_warnings"),
+    ).select("by", "suffix", "ok", "documents", "converted", "with_quotes", F.col("n_quotes").alias("quotes"), "with_headers", F.col("n_headers").alias("headers"), F.col("n_warnings").alias("warnings"))
+
+
+def first_lines(results: DataFrame, name: str, order: str, lines: str, suffix: str = "suffix", limit: int = SHOWN_LINES) -> DataFrame:
+    """(by, suffix, lines, more): "name: line" of the first lines in order of all results and of each suffix, and how many follow.
+
+    Lines are ranked by group with no more than ``limit`` of them kept a task before they meet, so no group is ever collected.
+    """
+    rows = results.select(F.col(suffix).alias("suffix"), F.col(order).alias("at"), F.col(name).alias("name"), F.posexplode(lines).alias("nth", "line"))
+    groups = F.array(F.struct(F.lit("all").alias("by"), F.lit(None).cast("string").alias("suffix")), F.struct(F.lit("suffix").alias("by"), F.col("suffix").alias("suffix")))
+    keyed = rows.select(F.explode(groups).alias("g"), "at", "nth", F.concat_ws(": ", "name", "line").alias("line")).select("g.*", "at", "nth", "line")
+    place = F.row_number().over(Window.partitionBy("by", "suffix").orderBy("at", "nth"))
+    few = keyed.withColumn("place", place).where(F.col("place") <= limit).groupBy("by", "suffix").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
+    totals = keyed.groupBy("by", "suffix").agg(F.count("*").alias("n")).withColumnsRenamed({"by": "b_", "suffix": "s_"})
+    joined = few.join(totals, (F.col("by") == F.col("b_")) & F.col("suffix").eqNullSafe(F.col("s_")))
+    return joined.select("by", "suffix", F.col("x.line").alias("lines"), F.greatest(F.col("n") - limit, F.lit(0)).alias("more"))
+
+
+def without_names(text: Column, names: Column) -> Column:
+    """A line of a report in which no file has a name: those of ``names``, with and without their suffix, the longest first, then any word that looks like one."""
+    bare = F.transform(names, lambda n: F.regexp_replace(n, r"\.[^.]+$", ""))
+    known = F.filter(F.array_distinct(F.concat(names, bare)), lambda n: F.length(n) > 2)
+    longest = F.transform(F.array_sort(F.transform(known, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: s["n"])
+    clean = F.aggregate(longest, text, lambda t, n: F.replace(t, n, F.lit(NO_NAME)))
+    return F.regexp_replace(clean, rf"(?i)[^\s\[\]:|\"'()]+\.({NAME_SUFFIXES})\b", NO_NAME)
+
+
+def report_lines(lines: Column, names: Column, limit: int = SHOWN_LINES) -> Column:
+    """The lines that a report shows, without names, and a last one that counts the others."""
+    shown_ = F.transform(F.slice(lines, 1, limit), lambda t: F.concat(F.lit("- "), without_names(t, names)))
+    more = F.size(lines) - limit
+    return F.concat(shown_, F.when(more > 0, F.array(F.concat(F.lit("- "), F.format_string(MORE, more)))).otherwise(F.array().cast("array<string>")))

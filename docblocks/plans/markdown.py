@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docblocks.functions import text as T
 from docblocks.operators import markdown as M
-from docblocks.plans.registry import FENCES, LINES, lines, query, strip_sql
+from docblocks.plans.registry import FENCES, LINES, lines, query, strip_sql, words_sql
 
 #: What is put before every line by its position, so that each kind of block occurs among those that the lines are of themselves.
 _MARKED = "CASE pos % 8 WHEN 0 THEN '## ' || line WHEN 1 THEN '> ' || line WHEN 2 THEN '  - ' || line WHEN 3 THEN '- [x] ' || line WHEN 4 THEN '| ' || line || ' | b |' WHEN 5 THEN '---' ELSE line END"
@@ -73,15 +73,22 @@ def q_links(spark, sf):
     return lines(spark, sf).select("doc_id", "pos", M.link_residues(html).alias("html"))
 
 
-@query("image_placeholders", LINES + r"""SELECT doc_id, pos, regexp_replace(regexp_replace(line || ' ![foto](a.png) ![](b.png)', '!\[([^\]]+)\]\([^)]+\)', '[Imagem: \1]', 'g'), '!\[\]\([^)]+\)', '[Imagem]', 'g') AS text FROM lines""")
+_IMAGES = "line || ' ![foto *' || pos || '*](a.png) ![ ](b.png)![#x](c) ! [y](z)'"
+
+
+@query("image_placeholders", LINES + rf""", t AS (SELECT doc_id, pos, regexp_extract_all({_IMAGES}, '(?s)!\[[^\]]*\]\([^)]+\)|[^!]+|!') AS pieces FROM lines)
+SELECT doc_id, pos, array_to_string(list_transform(pieces, lambda p: CASE WHEN NOT regexp_matches(p, '(?s)^!\[[^\]]*\]\(.+\)$') THEN p WHEN trim(regexp_extract(p, '(?s)^!\[([^\]]*)\]', 1)) = '' THEN 'Imagem não incorporada (sem descrição)'
+ ELSE 'Imagem não incorporada (' || regexp_replace(regexp_replace(trim(regexp_extract(p, '(?s)^!\[([^\]]*)\]', 1)), '([\\*\[\]`~])', '\\\1', 'g'), '^([#>|+*-])', '\\\1') || ')' END), '') AS text FROM t""")
 def q_images(spark, sf):
-    line = F.concat("line", F.lit(" ![foto](a.png) ![](b.png)"))
+    line = F.concat("line", F.lit(" ![foto *"), F.col("pos").cast("string"), F.lit("*](a.png) ![ ](b.png)![#x](c) ! [y](z)"))
     return lines(spark, sf).select("doc_id", "pos", M.image_placeholders(line).alias("text"))
 
 
-@query("signature_lines", LINES + "SELECT doc_id, pos, unnest([line, '[Assinado eletronicamente]', 'Nome']) AS part FROM lines")
+@query("signature_lines", LINES + rf""", t AS (SELECT doc_id, pos, {strip_sql("line")} AS line, pos % 2 = 0 AND len({words_sql("line")}) > 12 AS long, '[Assinado eletronicamente]' AS mark, CASE WHEN pos % 2 = 0 THEN {strip_sql("line")} ELSE 'Nome' END AS last, line AS raw FROM lines)
+SELECT doc_id, pos, unnest(CASE WHEN long THEN [raw || chr(10) || mark || chr(10) || chr(10) || CASE WHEN pos % 2 = 0 THEN raw ELSE 'Nome' END] ELSE [line, mark, last] END) AS part FROM t""")
 def q_signature_lines(spark, sf):
-    text = F.concat("line", F.lit("\n[Assinado eletronicamente]\n\nNome"))
+    """Every line, then a mark, then a name or the line again: where that is too long for a name, the paragraph stays whole."""
+    text = F.concat("line", F.lit("\n[Assinado eletronicamente]\n\n"), F.when(F.col("pos") % 2 == 0, F.col("line")).otherwise("Nome"))
     return lines(spark, sf).select("doc_id", "pos", F.explode(M.signature_lines(text)).alias("part"))
 
 

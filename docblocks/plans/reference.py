@@ -6,7 +6,7 @@ import importlib
 
 from docblocks.plans.registry import ORACLES, QUERIES
 
-for _name in ("text", "rules", "ordered", "tables", "markdown", "readers", "watch"):
+for _name in ("text", "rules", "ordered", "tables", "markdown", "readers", "watch", "grammar", "nested"):
     importlib.import_module(f"docblocks.plans.{_name}")
 
 

@@ -55,12 +55,12 @@ def q_numbers(spark, sf):
 _URLS = ["https://a.example/x (1)", "JAVASCRIPT:alert(1)", "java\tscript:alert(1)", "mailto:a@b.example", "#anchor", "folder/page.html", " http://b.example/a b ", "data:text/html,x", "tel:+55", "vbscript:x"]
 
 
-@query("safe_urls", r"""SELECT page_id, url, href, CASE WHEN s = '' OR s IN ('http','https','mailto','tel','ftp') THEN bare END AS safe
-FROM (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s FROM (SELECT *, regexp_replace(href, '[\x00-\x20]', '', 'g') AS bare FROM
-(SELECT page_id, url, CASE page_id % 5 WHEN 0 THEN 'JAVASCRIPT:' || url WHEN 1 THEN 'java' || chr(9) || 'script:' || url WHEN 2 THEN ' ' || url || ' (x y)' WHEN 3 THEN 'mailto:' || url ELSE '#' || url END AS href FROM pages) a) b) c""")
+@query("safe_urls", r"""SELECT page_id, url, href, CASE WHEN bare <> '' AND (s = '' OR s IN ('http','https','mailto','tel','ftp')) THEN bare END AS safe
+FROM (SELECT *, lower(regexp_extract(regexp_replace(bare, '[\x00-\x20]', '', 'g'), '^([A-Za-z][A-Za-z0-9+.\-]*):', 1)) AS s FROM (SELECT *, regexp_replace(href, '^\s+|\s+$', '', 'g') AS bare FROM
+(SELECT page_id, url, CASE page_id % 6 WHEN 0 THEN 'JAVASCRIPT:' || url WHEN 1 THEN 'java' || chr(9) || 'script:' || url WHEN 2 THEN ' ' || url || ' (x y)' || chr(10) WHEN 3 THEN 'mailto:' || url WHEN 4 THEN chr(9) ELSE '#' || url END AS href FROM pages) a) b) c""")
 def q_urls(spark, sf):
-    k, url = F.col("page_id") % 5, F.col("url")
-    href = F.when(k == 0, F.concat(F.lit("JAVASCRIPT:"), url)).when(k == 1, F.concat(F.lit("java\tscript:"), url)).when(k == 2, F.concat(F.lit(" "), url, F.lit(" (x y)"))).when(k == 3, F.concat(F.lit("mailto:"), url)).otherwise(F.concat(F.lit("#"), url))
+    k, url = F.col("page_id") % 6, F.col("url")
+    href = F.when(k == 0, F.concat(F.lit("JAVASCRIPT:"), url)).when(k == 1, F.concat(F.lit("java\tscript:"), url)).when(k == 2, F.concat(F.lit(" "), url, F.lit(" (x y)\n"))).when(k == 3, F.concat(F.lit("mailto:"), url)).when(k == 4, "\t").otherwise(F.concat(F.lit("#"), url))
     return table(spark, sf, "pages").select("page_id", "url", href.alias("href")).withColumn("safe", T.safe_url(F.col("href")))
 
 

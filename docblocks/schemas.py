@@ -36,6 +36,8 @@ CELL_8_PT = 8.0
 CELL_10_PT = 10.0
 PAGE_PIXELS = 800
 INHERITANCE_DEPTH = 10
+#: Styles of an ODF chain that are looked at, the first one included, and points in a centimetre.
+STYLE_LINKS, POINTS_PER_CM = 10, 72 / 2.54
 REPEATED_COLUMNS = 32
 REPEATED_ROWS = 200
 WATCH_SECONDS = 2.0
