@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,9 +203,29 @@ def class_line(line: Column) -> tuple[Column, Column]:
     return F.when(whole, name).otherwise(""), F.when(whole, body).otherwise("")
 
 
+def strike_whole(text: Column) -> Column:
+    """The whole paragraph struck, without marks inside of marks."""
+    return F.concat(F.lit("~~"), F.replace(text, F.lit("~~"), F.lit("")), F.lit("~~"))
+
+
+def is_whole_struck(text: Column) -> Column:
+    """All of the text stands in struck passages, one or more."""
+    return F.contains(text, F.lit("~~")) & (strip(F.regexp_replace(text, "~~(.+?)~~", "")) == "")
+
+
+def starts_with_item(text: Column) -> Column:
+    """Markdown that begins with an item's number, whatever marks of emphasis stand before it."""
+    return item_depth(F.ltrim(unescape_markdown(text), F.lit("*~ "))) > 0
+
+
+def typed_item(text: Column, style: Column) -> Column:
+    """Depth of an item's typed number, 0 where the style says that the number is text."""
+    return F.when(style.eqNullSafe(F.lit(S.LITERAL_NUMBER)), 0).otherwise(item_depth(text))
+
+
 def is_struck(line: Column) -> Column:
-    """The whole line is one struck passage."""
-    return strip(line).rlike(r"^~~[^~]+~~$")
+    """A line that is a struck paragraph; a struck item stays an item, for the sake of the numbers after it."""
+    return is_whole_struck(line) & ~starts_with_item(line)
 
 
 def wrap(text: Column, opens: str, closes: str) -> Column:
@@ -366,14 +385,23 @@ def is_signature_mark(line: Column) -> Column:
 
 
 def clean_boilerplate(text: Column) -> Column:
-    """Text of a signed PDF without signature and authenticity notes, page footers and leftover lines; the reader's function over batches."""
-    from docblocks.readers.pdf import without_boilerplate
+    """Text of a signed document without signature and authenticity notes, page footers and lines that the platform wrote.
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(without_boilerplate, na_action="ignore")
-
-    return run(text)
+    A footer goes with the blank lines around it, so that a sentence which the page cut goes on; any other such line leaves a blank one.
+    """
+    for opening, ending in S.NOTES:
+        text = F.regexp_replace(text, rf"(?is){opening}.*?(?:{S.NOTE_CODE}|{ending})", "")
+    lines = F.transform(F.split(text, "\n"), strip)
+    joined = F.regexp_replace(F.array_join(lines, "\n"), rf"(?i)\n+[^\n]*?{S.FOOTER}\n*", "\n")
+
+    def leftover(line: Column) -> Column:
+        plain = F.lower(F.translate(F.regexp_replace(line, r"\s+", " "), S.ACCENTED, S.UNACCENTED))
+        kind, number = F.regexp_extract(plain, r"^(.*) \d{6,8}$", 1), plain.rlike(r" \d{6,8}$")
+        mark = plain.rlike(r"^[\[(] ?(?:assinatura eletronica|assinado eletronicamente) ?[\])]$")
+        return mark | plain.rlike("^referencia: ?(?:caso responda|processo n[º°])") | plain.rlike(rf"(?i)^{S.FOOTER}$") | (number & kind.isin(*S.DOCUMENT_TYPES))
+
+    kept = F.transform(F.split(joined, "\n"), lambda line: F.when(leftover(strip(line)), "").otherwise(strip(line)))
+    return F.concat(strip(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
 def body_of(html: Column) -> Column:

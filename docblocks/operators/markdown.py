@@ -15,7 +15,7 @@ def line_kind(line: Column, markdown: bool = True) -> Column:
     separator = r"^\s*([-–—*_~])(?:\s*\1){2,}\s*$" if markdown else r"^\s*([-–—*_])(?:\s*\1){2,}\s*$"
     kind = F.when(T.strip(line) == "", "blank").when(line.rlike(separator), "separator").when(line.rlike(r"(?is)^<p\s+class=[\"'][^\"']+[\"']>.*</p>$"), "classed")
     if markdown:
-        kind = kind.when(line.rlike(r"^>\s?"), "quote").when(T.is_struck(line) & (T.item_depth(F.regexp_replace(line, "^~~", "")) == 0), "struck").when(line.rlike(r"^#{1,6}\s+\S"), "heading")
+        kind = kind.when(line.rlike(r"^>\s?"), "quote").when(T.is_struck(line), "struck").when(line.rlike(r"^#{1,6}\s+\S"), "heading")
     return kind.when(line.rlike(r"^\s*[-*+]\s+\S"), "bullet").when(line.rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("paragraph")
 
 
@@ -51,7 +51,7 @@ def blocks(lines: DataFrame, id_col: str, pos: str, line: str, markdown: bool =
     k = F.col("kind")
     h, b = heading(text), bullet(text)
     level = F.when(k == "heading", h[0]).when(k == "bullet", b[0])
-    body = F.when(k == "heading", h[1]).when(k == "bullet", b[1]).when(k == "quote", quote_text(text)).when(k == "struck", F.regexp_replace(text, r"^\s*~~|~~\s*$", "")).when(k == "classed", T.class_line(text)[1]).otherwise(text)
+    body = F.when(k == "heading", h[1]).when(k == "bullet", b[1]).when(k == "quote", quote_text(text)).when(k == "struck", F.replace(text, F.lit("~~"), F.lit(""))).when(k == "classed", T.class_line(text)[1]).otherwise(text)
     return rows.select(id_col, pos, "kind", level.alias("level"), body.alias("text"))
 
 

@@ -138,3 +138,43 @@ def report_lines(lines: Column, names: Column, limit: int = SHOWN_LINES) -> Colu
     shown_ = F.transform(F.slice(lines, 1, limit), lambda t: F.concat(F.lit("- "), without_names(t, names)))
     more = F.size(lines) - limit
     return F.concat(shown_, F.when(more > 0, F.array(F.concat(F.lit("- "), F.format_string(MORE, more)))).otherwise(F.array().cast("array<string>")))
+
+
+# Sentences of the report (fixed values): what was found, by one or more; whether it was converted.
+_ONE_OR_MORE = ("1 parágrafo", "%d parágrafos")
+_BY_INDENT = ("recuado e em fonte menor que a do texto", "recuados e em fonte menor que a do texto")
+_BY_MARKS = ("entre aspas com mais de uma linha", "em citações entre aspas com mais de uma linha")
+_BY_BOTH = "(%d recuados e em fonte menor, %d entre aspas)"
+_CONVERTED = ("foi convertido como Citação.", "foram convertidos como Citação.")
+_OFFERED = ("parece citação e saiu como texto comum. Para convertê-lo, use --citacao-por-recuo.", "parecem citação e saíram como texto comum. Para convertê-los, use --citacao-por-recuo.")
+_NO_HEADER = "Nenhum parágrafo foi omitido: o documento não tem item 1 depois de um cabeçalho."
+_HEADER = ("1 parágrafo antes do item 1 foi omitido.", "%d parágrafos antes do item 1 foram omitidos.")
+_REPORT = ("RELATÓRIO DE CONVERSÃO PARA O SEI", "Total processados: %d | Sucessos: %d | Falhas: %d")
+_OK, _FAILED = "OK   %s -> %s", "FALHA %s:"
+
+
+def quotation_sentence(by_indent: Column, by_marks: Column, applied: Column) -> Column:
+    """What became of the paragraphs that look like quotations; null where there are none."""
+    n = by_indent + by_marks
+    number = lambda pair: F.when(n == 1, pair[0]).otherwise(pair[1])
+    count = F.when(n == 1, _ONE_OR_MORE[0]).otherwise(F.format_string(_ONE_OR_MORE[1], n))
+    kind = F.when(by_marks == 0, number(_BY_INDENT)).when(by_indent == 0, number(_BY_MARKS)).otherwise(F.format_string(_BY_BOTH, by_indent, by_marks))
+    return F.when(n > 0, F.concat_ws(" ", count, kind, F.when(applied, number(_CONVERTED)).otherwise(number(_OFFERED))))
+
+
+def header_sentence(n: Column, applied: Column) -> Column:
+    """What was left out before the first item, or that nothing was; null where nobody asked for it."""
+    return F.when(applied, F.when(n == 0, _NO_HEADER).when(n == 1, _HEADER[0]).otherwise(F.format_string(_HEADER[1], n)))
+
+
+def document_lines(name: Column, ok: Column, target: Column, warnings: Column, errors: Column, quotations: Column, header: Column) -> Column:
+    """The lines of one document in the text report."""
+    said = lambda label, texts: F.transform(texts, lambda t: F.concat(F.lit(f"     {label}: "), t))
+    one = lambda label, text: F.when(text.isNotNull(), F.array(F.concat(F.lit(f"     {label}: "), text))).otherwise(F.array().cast("array<string>"))
+    good = F.concat(F.array(F.format_string(_OK, name, target)), said("aviso", warnings), one("citação", quotations), one("cabeçalho", header))
+    return F.when(ok, good).otherwise(F.concat(F.array(F.format_string(_FAILED, name)), said("erro", errors)))
+
+
+def total_lines(documents: int, converted: int, failed: int) -> tuple[list[str], list[str]]:
+    """What stands before and after the lines of the documents."""
+    return ["=" * 60, _REPORT[0], "=" * 60], ["-" * 60, _REPORT[1] % (documents, converted, failed), "=" * 60]

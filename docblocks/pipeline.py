@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docblocks import schemas as S
 from docblocks.functions import text as T
+from docblocks.lineage import cut
 from docblocks.operators import markdown as M
 from docblocks.operators import ordered as O
 from docblocks.operators import render, rules, tables, validate
@@ -26,6 +27,7 @@ from docblocks.readers.model import FIELDS
 
 # Messages (fixed values).
 NOTHING = "Nenhum conteúdo extraído de %s."
+BAD_LEVEL = "use um número de 1 a 4 (recebido: %s)"
 SIGNATURE = "Tabela_Texto_Centralizado"
 #: Classes with which a document's body begins.
 BODY_STARTS = ("Item_Nivel1", "Paragrafo_Numerado_Nivel1")
@@ -43,6 +45,10 @@ class Options:
     body_only: bool = False
     validate: bool = True
 
+    def __post_init__(self) -> None:
+        if self.max_level not in (1, 2, 3, 4):
+            raise ValueError(BAD_LEVEL % self.max_level)
+
 
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
@@ -83,7 +89,7 @@ def prepared(paragraphs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             "opener": opener,
             "prose": F.when(opener, T.is_prose(F.col("text"))),
             "short": F.when(plain & short, bare),
-            "quotable": F.when(body, F.col("text")),
+            "quotable": F.when(body & ~_flag(F.col("breaks")), F.col("text")),
             "starts": F.when(F.col("named").isNotNull(), F.col("named") == "Item_Nivel1").otherwise(body & (first == "1")),
             "chars": F.when(body & F.col("size").isNotNull(), F.length("text")),
         }
@@ -240,11 +246,12 @@ def signatures(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def convert(files: DataFrame, options: Options = Options(), id_col: str = "doc_id", name_col: str = "name", suffix_col: str = "suffix", content_col: str = "content", recognised_col: str | None = None, pasted: bool = False, css: str = "") -> DataFrame:
     """Results (S.RESULTS) of files: success, errors, warnings, the file written for each, what was found."""
-    paragraphs = read.paragraphs(files, id_col, name_col, suffix_col, content_col, recognised_col, pasted)
+    # parsed once, classed once: what follows reads the two tables, and its plan has neither parser nor ladder in it
+    paragraphs = cut(read.paragraphs(files, id_col, name_col, suffix_col, content_col, recognised_col, pasted))
     said = paragraphs.where("kind in ('warning', 'error')").groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.when(F.col("kind") == "warning", F.struct("pos", "message")))).alias("w"), F.array_sort(F.collect_list(F.when(F.col("kind") == "error", F.struct("pos", "message")))).alias("e")
     )
-    rows = classed(judged(prepared(paragraphs, id_col), id_col), options)
+    rows = cut(classed(judged(prepared(paragraphs, id_col), id_col), options))
     quote = F.col("by_quotes") | F.col("by_indent")
     quotes = rows.groupBy(id_col).agg(F.count_if("by_indent").cast("int").alias("n_indent"), F.count_if("by_quotes").cast("int").alias("n_quotes"), F.array_sort(F.collect_list(F.when(quote, F.struct("pos", T.excerpt(F.col("text")).alias("t"))))).alias("q"))
     found = blocks(rows, id_col)

@@ -151,3 +151,16 @@ def q_targets(spark, sf):
     k, url = F.col("page_id") % 6, F.col("url")
     href = F.when(k == 0, F.concat(F.lit("JAVA script:"), url)).when(k == 1, "  ").when(k == 2, F.concat(F.lit(" "), url, F.lit(" (x y)"))).when(k == 3, F.concat(F.lit("mailto:"), url)).when(k == 4, F.concat(F.lit("data:"), url)).otherwise(F.concat(F.lit("#"), url))
     return table(spark, sf, "pages").select("page_id", T.link_target(href).alias("target"))
+
+
+_STRUCK = "CASE pos % 5 WHEN 0 THEN concat('~~', line, '~~') WHEN 1 THEN concat('~~', line, '~~ ~~', pos, '~~') WHEN 2 THEN concat('~~**', pos + 1, '\\\\. ', line, '**~~') WHEN 3 THEN concat('*~~', pos, '.1~~* ', line) ELSE line END"
+
+
+@query("struck_paragraphs", LINES + r""", s AS (SELECT doc_id, pos, CASE pos % 5 WHEN 0 THEN '~~' || line || '~~' WHEN 1 THEN '~~' || line || '~~ ~~' || pos || '~~' WHEN 2 THEN '~~**' || (pos + 1) || '\. ' || line || '**~~' WHEN 3 THEN '*~~' || pos || '.1~~* ' || line ELSE line END AS line FROM lines),
+f AS (SELECT *, contains(line, '~~') AND trim(regexp_replace(line, '~~(.+?)~~', '', 'g')) = '' AS whole, regexp_matches(ltrim(regexp_replace(line, '\\([!-/:-@\[-`{-~])', '\1', 'g'), '*~ '), '^\s*(\d+\.|\d+(\.\d+)+\.?)\s+\S') AS item FROM s)
+SELECT doc_id, pos, whole, item, whole AND NOT item AS struck, '~~' || replace(line, '~~', '') || '~~' AS again FROM f""")
+def q_struck(spark, sf):
+    """Lines struck as a whole, in parts and as items: which of them are struck paragraphs."""
+    line = F.col("line")
+    rows = lines(spark, sf).withColumn("line", F.expr(_STRUCK))
+    return rows.select("doc_id", "pos", T.is_whole_struck(line).alias("whole"), T.starts_with_item(line).alias("item"), T.is_struck(line).alias("struck"), T.strike_whole(line).alias("again"))

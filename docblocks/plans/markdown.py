@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from docblocks.functions import text as T
 from docblocks.operators import markdown as M
-from docblocks.plans.registry import FENCES, LINES, lines, query, strip_sql, words_sql
+from docblocks.plans.registry import ALL_LINES, FENCES, LINES, all_lines, lines, query, strip_sql, words_sql
 
 #: What is put before every line by its position, so that each kind of block occurs among those that the lines are of themselves.
-_MARKED = "CASE pos % 8 WHEN 0 THEN '## ' || line WHEN 1 THEN '> ' || line WHEN 2 THEN '  - ' || line WHEN 3 THEN '- [x] ' || line WHEN 4 THEN '| ' || line || ' | b |' WHEN 5 THEN '---' ELSE line END"
+_MARKED = "CASE pos % 8 WHEN 0 THEN '## ' || line WHEN 1 THEN '> ' || line WHEN 2 THEN '  - ' || line WHEN 3 THEN '- [x] ' || line WHEN 4 THEN '| ' || line || ' | b |' WHEN 5 THEN '---' WHEN 6 THEN concat('~~', line, '~~ ~~', pos, CASE WHEN pos % 16 < 8 THEN '.~~' ELSE '' END) ELSE line END"
 _CLASSED = r"""regexp_matches(line, '(?is)^<p\s+class=["''][^"'']+["'']>.*</p>$')"""
 
 
@@ -19,13 +19,13 @@ def _separator(marks: str) -> str:
 
 
 def _ladder(markdown: bool) -> str:
-    extra = r"""WHEN regexp_matches(line, '^>\s?') THEN 'quote' WHEN regexp_matches(line, '^\s*~~[^~]+~~\s*$') AND NOT regexp_matches(line, '^~~\s*(\d+\.|\d+(\.\d+)+\.?)\s+\S') THEN 'struck' WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'heading'""" if markdown else ""
+    extra = r"""WHEN regexp_matches(line, '^>\s?') THEN 'quote' WHEN contains(line, '~~') AND trim(regexp_replace(line, '~~(.+?)~~', '', 'g')) = '' AND NOT regexp_matches(ltrim(regexp_replace(line, '\\([!-/:-@\[-`{-~])', '\1', 'g'), '*~ '), '^\s*(\d+\.|\d+(\.\d+)+\.?)\s+\S') THEN 'struck' WHEN regexp_matches(line, '^#{1,6}\s+\S') THEN 'heading'""" if markdown else ""
     marks = [r"\-", "–", "—", r"\*", "_", *(["~"] if markdown else [])]
     return f"CASE WHEN regexp_matches(line, {_separator(marks)}) THEN 'separator' WHEN {_CLASSED} THEN 'classed' {extra} WHEN regexp_matches(line, '^\\s*[-*+]\\s+\\S') THEN 'bullet' WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table' ELSE 'paragraph' END"
 
 
 _BULLET = r"""regexp_replace(regexp_replace(regexp_replace(line, '^\s*[-*+]\s+', ''), '^\[[xX]\]\s+', 'Concluído: '), '^\[ \]\s+', 'Pendente: ')"""
-_BLOCK_TEXT = rf"""CASE kind WHEN 'heading' THEN {strip_sql("regexp_replace(line, '^#{1,6}\\s+', '')")} WHEN 'bullet' THEN {_BULLET} WHEN 'quote' THEN regexp_replace(line, '^(>\s?)+', '') WHEN 'struck' THEN regexp_replace(line, '^\s*~~|~~\s*$', '', 'g')
+_BLOCK_TEXT = rf"""CASE kind WHEN 'heading' THEN {strip_sql("regexp_replace(line, '^#{1,6}\\s+', '')")} WHEN 'bullet' THEN {_BULLET} WHEN 'quote' THEN regexp_replace(line, '^(>\s?)+', '') WHEN 'struck' THEN replace(line, '~~', '')
  WHEN 'classed' THEN regexp_extract(line, '(?is)^<p\s+class=["''][^"'']+["'']>(.*)</p>$', 1) ELSE line END"""
 _BLOCK_LEVEL = r"""CAST(CASE kind WHEN 'heading' THEN least(len(regexp_extract(line, '^(#{1,6})\s', 1)), 4) WHEN 'bullet' THEN least((len(regexp_extract(line, '^(\s*)', 1)) + 1) // 2, 3) END AS INTEGER)"""
 
@@ -44,7 +44,7 @@ def q_text(spark, sf):
     return M.blocks(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line", markdown=False)
 
 
-@query("pipe_tables", LINES + rf""", l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 3 THEN '| --- | :-: |' WHEN pos % 5 > 1 THEN '| ' || line || ' | a\|b |' ELSE line END AS line FROM lines),
+@query("pipe_tables", ALL_LINES + rf""", l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 3 THEN '| --- | :-: |' WHEN pos % 5 > 1 THEN '| ' || line || ' | a\|b |' ELSE line END AS line FROM lines),
 t AS (SELECT *, regexp_matches(line, '^\s*\|.*\|\s*$') AS t FROM l), g AS (SELECT *, pos - sum(t::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM t),
 k AS (SELECT *, CAST(min(pos) OVER (PARTITION BY doc_id, g) AS INTEGER) AS "table" FROM g WHERE t),
 c AS (SELECT *, list_transform(string_split(replace(regexp_replace(regexp_replace(line, '^\s*\|', ''), '\|\s*$', ''), '\|', chr(1)), '|'), lambda x: replace({strip_sql('x')}, chr(1), '|')) AS cells FROM k)
@@ -52,16 +52,16 @@ SELECT doc_id, "table", CAST(row_number() OVER (PARTITION BY doc_id, "table" ORD
 def q_tables(spark, sf):
     k = F.col("pos") % 5
     line = F.when(k == 3, "| --- | :-: |").when(k > 1, F.concat(F.lit("| "), "line", F.lit(" | a\\|b |"))).otherwise(F.col("line"))
-    found = M.pipe_tables(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line")
+    found = M.pipe_tables(all_lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line")
     return found.select("doc_id", "table", "row", F.array_join("cells", ";").alias("cells"))
 
 
-@query("red_regions", LINES + """, l AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN '<red>' || line WHEN 3 THEN line || '</red>' ELSE line END AS line FROM lines), c AS (SELECT *, (len(line) - len(replace(line, '<red>', ''))) // 5 AS o, (len(line) - len(replace(line, '</red>', ''))) // 6 AS c FROM l)
+@query("red_regions", ALL_LINES + """, l AS (SELECT doc_id, pos, CASE pos % 6 WHEN 1 THEN '<red>' || line WHEN 3 THEN line || '</red>' ELSE line END AS line FROM lines), c AS (SELECT *, (len(line) - len(replace(line, '<red>', ''))) // 5 AS o, (len(line) - len(replace(line, '</red>', ''))) // 6 AS c FROM l)
 SELECT doc_id, pos, o > 0 OR coalesce(sum(o - c) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS red FROM c""")
 def q_red(spark, sf):
     k = F.col("pos") % 6
     line = F.when(k == 1, F.concat(F.lit("<red>"), "line")).when(k == 3, F.concat("line", F.lit("</red>"))).otherwise(F.col("line"))
-    return M.red_regions(lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line").select("doc_id", "pos", "red")
+    return M.red_regions(all_lines(spark, sf).withColumn("line", line), "doc_id", "pos", "line").select("doc_id", "pos", "red")
 
 
 _LINK = r"\[([^\]]+)\]\((https?://(?:[^()\s]|\([^()\s]*\))+)\)"

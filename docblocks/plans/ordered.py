@@ -9,7 +9,7 @@ from docblocks.operators import ordered as O
 from docblocks.operators import reports as G
 from docblocks.operators import render
 from docblocks.operators import rules as R
-from docblocks.plans.registry import FENCES, LINES, NUMBERED, lines, numbered, query, strip_sql, table, words_sql
+from docblocks.plans.registry import ALL_LINES, FENCES, LINES, all_lines, NUMBERED, lines, numbered, query, strip_sql, table, words_sql
 from docblocks.plans.text import PROSE
 
 
@@ -57,11 +57,11 @@ def q_trees(spark, sf):
     return t.select("doc_id", F.array_join(O.list_levels(F.col("levels")), ",").alias("levels"))
 
 
-@query("code_fences", LINES + """, l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 1 THEN repeat('`', 3 + CAST(pos % 2 AS INTEGER)) ELSE line END AS line FROM lines), """ + FENCES.format(source="l") + "SELECT doc_id, pos, code FROM coded")
+@query("code_fences", ALL_LINES + """, l AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 1 THEN repeat('`', 3 + CAST(pos % 2 AS INTEGER)) ELSE line END AS line FROM lines), """ + FENCES.format(source="l") + "SELECT doc_id, pos, code FROM coded")
 def q_fences(spark, sf):
     """Every line, with fences of three and four marks between them."""
     fence = F.when(F.col("pos") % 2 == 0, "```").otherwise("````")
-    t = lines(spark, sf).withColumn("line", F.when(F.col("pos") % 5 == 1, fence).otherwise(F.col("line")))
+    t = all_lines(spark, sf).withColumn("line", F.when(F.col("pos") % 5 == 1, fence).otherwise(F.col("line")))
     t = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
     t = t.withColumn("code", O.fence_blocks(F.col("l.line")))
     return t.select("doc_id", F.explode(F.arrays_zip(F.col("l.pos").alias("pos"), "code")).alias("z")).select("doc_id", "z.pos", "z.code")
@@ -124,13 +124,13 @@ def q_glue(spark, sf):
 _HEADING = r"(len(line) BETWEEN 3 AND 60 AND regexp_matches(line, '^\p{Lu}[\p{Lu}\s.-]*$'))"
 
 
-@query("regrouped", LINES + rf""", k AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 2 THEN (pos % 30 + 1) || '. ' || trim(line) ELSE trim(line) END AS line FROM lines),
-i AS (SELECT *, regexp_matches(line, '^\d{{1,2}}(\.\d{{1,2}})*\.\s+\S.*$') AS item FROM k), h AS (SELECT *, coalesce(max(item::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AND NOT item AS header FROM i),
-a AS (SELECT *, header OR (NOT item AND {_HEADING}) AS alone FROM h), g AS (SELECT *, sum((alone OR item OR before)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, coalesce(lag(alone) OVER (PARTITION BY doc_id ORDER BY pos), true) AS before FROM a) b)
-SELECT doc_id, min(pos) AS first, CASE WHEN bool_or(header) THEN 'cabecalho' ELSE 'corpo' END AS kind, CASE WHEN bool_or(header) THEN arg_min(line, pos) ELSE {strip_sql("regexp_replace(string_agg(line, ' ' ORDER BY pos), '[\\s\\x{00A0}]+', ' ', 'g')")} END AS text FROM g GROUP BY doc_id, g""")
+@query("regrouped", ALL_LINES + rf""", k AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 2 THEN (pos % 30 + 1) || '. ' || trim(line) WHEN pos % 7 = 5 THEN '' ELSE trim(line) END AS line FROM lines),
+i AS (SELECT *, regexp_matches(line, '^\d{{1,2}}(\.\d{{1,2}})*\.\s+\S.*$') AS item, line = '' AS blank FROM k), h AS (SELECT *, coalesce(max((item OR blank)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AND NOT item AND NOT blank AS header FROM i),
+a AS (SELECT *, header OR (NOT item AND {_HEADING}) AS alone FROM h), g AS (SELECT *, sum((alone OR item OR before)::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM (SELECT *, coalesce(lag(alone OR blank) OVER (PARTITION BY doc_id ORDER BY pos), true) AS before FROM a) b)
+SELECT doc_id, min(pos) AS first, CASE WHEN bool_or(header) THEN 'cabecalho' ELSE 'corpo' END AS kind, CASE WHEN bool_or(header) THEN arg_min(line, pos) ELSE {strip_sql("regexp_replace(string_agg(line, ' ' ORDER BY pos), '[\\s\\x{00A0}]+', ' ', 'g')")} END AS text FROM g WHERE NOT blank GROUP BY doc_id, g""")
 def q_regroup(spark, sf):
     bare = F.trim("line")
-    t = lines(spark, sf).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat((F.col("pos") % 30 + 1).cast("string"), F.lit(". "), bare)).otherwise(bare))
+    t = all_lines(spark, sf).withColumn("line", F.when(F.col("pos") % 4 == 2, F.concat((F.col("pos") % 30 + 1).cast("string"), F.lit(". "), bare)).when(F.col("pos") % 7 == 5, "").otherwise(bare))
     return O.regroup(t, "doc_id", "pos", "line")
 
 

@@ -38,6 +38,15 @@ lines AS (SELECT * FROM raw WHERE regexp_matches(line, '\S'))
 """
 
 
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, line): lines of documents, blank ones too."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+ALL_LINES = LINES.replace("SELECT * FROM raw WHERE regexp_matches(line, '\\S')", "SELECT * FROM raw")
+
+
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a typed number: (doc_id, pos, level, line); levels go 1, 2, 3, 4 with the position, every seventh line has none."""
     level = F.col("pos") % 4 + 1

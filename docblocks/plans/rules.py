@@ -15,11 +15,14 @@ from docblocks.plans.text import PROSE
 _CLASS_LIST = ", ".join(f"('{c}')" for c in S.CLASSES)
 
 
-@query("class_catalogue", f"SELECT class_name, CASE WHEN regexp_matches(class_name, 'Nivel[1-4]$') THEN CAST(right(class_name, 1) AS INTEGER) END AS level FROM (VALUES {_CLASS_LIST}) t(class_name)")
+@query("class_catalogue", f"SELECT class_name, CASE WHEN regexp_matches(class_name, 'Nivel[1-4]$') THEN CAST(right(class_name, 1) AS INTEGER) END AS level, count(n) AS parts FROM (VALUES {_CLASS_LIST}) t(class_name) LEFT JOIN (SELECT CASE p_size % 3 WHEN 0 THEN 'Item_Nivel' || (p_partkey % 6) WHEN 1 THEN 'Texto_Justificado' END AS n FROM part) p ON n = class_name GROUP BY 1, 2")
 def q_catalogue(spark, sf):
+    """Every class of the catalogue, and how many parts have a style of its name."""
     rows = spark.createDataFrame([(c,) for c in S.CLASSES], "class_name string")
+    used = table(spark, sf, "part").select(F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("Item Nivel"), (F.col("p_partkey") % 6).cast("string"))).when(F.col("p_size") % 3 == 1, "Texto Justificado").alias("style"))
+    used = used.select(R.class_from_style(F.col("style")).alias("class_name")).where("class_name is not null").groupBy("class_name").agg(F.count("*").alias("n"))
     level = F.regexp_extract("class_name", "Nivel([1-4])$", 1)
-    return rows.select("class_name", F.when(level != "", level.cast("int")).alias("level"))
+    return rows.join(F.broadcast(used), "class_name", "left").select("class_name", F.when(level != "", level.cast("int")).alias("level"), F.coalesce("n", F.lit(0)).alias("parts"))
 
 
 _STYLE = "CASE p_size % 5 WHEN 0 THEN 'Texto Justificado' WHEN 1 THEN 'Item_Nivel' || (p_partkey % 6) WHEN 2 THEN 'Heading ' || (p_partkey % 7 + 1) WHEN 3 THEN p_brand ELSE 'Citação' END"
@@ -148,11 +151,18 @@ def q_rels(spark, sf):
     return L.targets(table(spark, sf, "orders"), rels, "o_custkey").select("o_orderkey", "target")
 
 
-@query("report_sentences", "SELECT c_custkey, n, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN '1 parágrafo marcado como citação.' ELSE CAST(n AS VARCHAR) || ' parágrafos marcados como citação.' END AS sentence FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1) x")
+_SAID = """SELECT c_custkey, coalesce(i, 0) AS i, coalesce(m, 0) AS m, c_nationkey % 2 = 0 AS applied FROM customer LEFT JOIN (SELECT o_custkey, count(*) FILTER (o_orderkey % 7 = 0) AS i, count(*) FILTER (o_orderkey % 5 = 0) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey"""
+
+
+@query("report_sentences", f"""SELECT c_custkey, i, m, CASE WHEN i + m = 0 THEN NULL WHEN i + m = 1 AND m = 0 THEN '1 parágrafo recuado e em fonte menor que a do texto ' WHEN i + m = 1 THEN '1 parágrafo entre aspas com mais de uma linha '
+ WHEN m = 0 THEN i || ' parágrafos recuados e em fonte menor que a do texto ' WHEN i = 0 THEN m || ' parágrafos em citações entre aspas com mais de uma linha ' ELSE (i + m) || ' parágrafos (' || i || ' recuados e em fonte menor, ' || m || ' entre aspas) ' END ||
+ CASE WHEN i + m = 1 THEN CASE WHEN applied THEN 'foi convertido como Citação.' ELSE 'parece citação e saiu como texto comum. Para convertê-lo, use --citacao-por-recuo.' END WHEN applied THEN 'foram convertidos como Citação.' ELSE 'parecem citação e saíram como texto comum. Para convertê-los, use --citacao-por-recuo.' END AS quotations,
+ CASE WHEN applied THEN CASE WHEN m = 0 THEN 'Nenhum parágrafo foi omitido: o documento não tem item 1 depois de um cabeçalho.' WHEN m = 1 THEN '1 parágrafo antes do item 1 foi omitido.' ELSE m || ' parágrafos antes do item 1 foram omitidos.' END END AS header FROM ({_SAID}) x""")
 def q_sentences(spark, sf):
-    t = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))
-    n = F.col("n")
-    return t.withColumn("sentence", F.when(n == 0, "").when(n == 1, "1 parágrafo marcado como citação.").otherwise(F.concat(n.cast("string"), F.lit(" parágrafos marcados como citação."))))
+    counts = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderkey") % 7 == 0).alias("i"), F.count_if(F.col("o_orderkey") % 5 == 0).alias("m"))
+    t = table(spark, sf, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left")
+    t = t.select("c_custkey", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("m", F.lit(0)).alias("m"), (F.col("c_nationkey") % 2 == 0).alias("applied"))
+    return t.select("c_custkey", "i", "m", G.quotation_sentence(F.col("i"), F.col("m"), F.col("applied")).alias("quotations"), G.header_sentence(F.col("m"), F.col("applied")).alias("header"))
 
 
 _LADDER = """CASE WHEN style IN ({cls}) THEN style WHEN replace(style, ' ', '_') IN ({cls}) THEN replace(style, ' ', '_') WHEN signed THEN 'Tabela_Texto_Centralizado' WHEN quoted AND coalesce(align, '') NOT IN ('center', 'right') THEN 'Citação'
@@ -167,8 +177,7 @@ _FACTS = f"""l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 6 = 0 TH
 
 @query("paragraph_classes", "SELECT l_orderkey, l_linenumber, l_partkey, " + _LADDER.format(cls=", ".join(f"'{c}'" for c in S.CLASSES)) + f" AS class FROM (SELECT {_FACTS} FROM lineitem) x")
 def q_ladder(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("docblocks_lineitem")
-    t = spark.sql(f"SELECT {_FACTS} FROM docblocks_lineitem")
+    t = spark.sql(f"SELECT {_FACTS} FROM {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
     c = F.col
     by_format = F.when(c("strike"), "Tachado")
     return t.select("l_orderkey", "l_linenumber", "l_partkey", R.paragraph_class(c("style"), c("depth"), c("conv"), c("fmt"), c("lvl"), F.lit(1), by_format, c("quoted"), c("signed"), c("indented"), c("align"), c("pt")).alias("class"))
@@ -203,10 +212,13 @@ def q_report(spark, sf):
     return G.batch_totals(table(spark, sf, "lineitem"), ["l_returnflag"], F.col("l_quantity") > 10, F.when(F.col("l_linenumber") > 3, F.col("l_linenumber")).otherwise(0))
 
 
-@query("supported_suffixes", "SELECT s AS suffix FROM (VALUES ('.docx'),('.pdf'),('.md'),('.txt'),('.odt'),('.html'),('.htm')) t(s) UNION SELECT s FROM (VALUES ('.rtf'),('.doc')) t(s)")
+@query("supported_suffixes", """SELECT suffix, suffix IN ('.docx','.pdf','.md','.txt','.odt','.html','.htm') AS supported, suffix IN ('.rtf','.doc') AS retired, count(*) AS pages FROM (SELECT lower(['.docx','.PDF','.md','.Txt','.odt','.html','.HTM','.rtf','.doc','.png',''][page_id % 11 + 1]) AS suffix FROM pages) n GROUP BY 1""")
 def q_suffixes(spark, sf):
-    one, two = (spark.createDataFrame([(x,) for x in names], "suffix string") for names in (S.SUPPORTED, S.RETIRED))
-    return one.union(two).distinct()
+    """What a scan makes of the suffixes of files named after pages."""
+    endings = F.array(*[F.lit(x) for x in (".docx", ".PDF", ".md", ".Txt", ".odt", ".html", ".HTM", ".rtf", ".doc", ".png", "")])
+    name = F.concat(F.lit("page"), F.col("page_id").cast("string"), F.get(endings, (F.col("page_id") % 11).cast("int")))
+    kind = table(spark, sf, "pages").select(T.suffix(name).alias("suffix"))
+    return kind.groupBy("suffix").agg(F.count("*").alias("pages")).select("suffix", F.col("suffix").isin(S.SUPPORTED).alias("supported"), F.col("suffix").isin(S.RETIRED).alias("retired"), "pages")
 
 
 @query("top_excerpts", LINES + "SELECT doc_id, array_to_string(list_slice(list(pos ORDER BY pos), 1, 5), ',') AS shown, greatest(count(*) - 5, 0) AS more FROM lines GROUP BY doc_id")

@@ -14,8 +14,7 @@ _POS = "(l_linenumber * 1000000 + l_partkey * 100 + l_suppkey) * 100000000 + CAS
 
 def cells(spark, sf):
     """Cells of a table for each order: ``p`` orders them, every row has three."""
-    table(spark, sf, "lineitem").createOrReplaceTempView("docblocks_cells")
-    return spark.sql(f"SELECT l_orderkey, l_partkey, {_POS} AS p, CAST(l_suppkey % 3 + 1 AS INT) AS span, l_quantity, l_returnflag FROM docblocks_cells")
+    return spark.sql(f"SELECT l_orderkey, l_partkey, {_POS} AS p, CAST(l_suppkey % 3 + 1 AS INT) AS span, l_quantity, l_returnflag FROM {{lineitem}}", lineitem=table(spark, sf, "lineitem"))
 
 
 @query("grid_columns", f"SELECT l_orderkey, p, span, CAST(coalesce(sum(span) OVER (PARTITION BY l_orderkey ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS gridcol FROM (SELECT l_orderkey, {_POS} AS p, CAST(l_suppkey % 3 + 1 AS INTEGER) AS span FROM lineitem) x")

@@ -190,7 +190,7 @@ def q_png(spark, sf):
     return table(spark, sf, "part").select("p_partkey", blob.alias("blob")).select("p_partkey", w.alias("width"), h.alias("height"))
 
 
-@query("boilerplate", LINES + f"SELECT doc_id, string_agg({strip_sql('line')}, chr(10) ORDER BY pos) || chr(10) AS text FROM lines GROUP BY doc_id")
+@query("boilerplate", LINES + f"SELECT doc_id, rtrim(string_agg({strip_sql('line')} || CASE WHEN pos % 5 = 3 THEN chr(10) ELSE '' END, chr(10) ORDER BY pos), chr(10)) || chr(10) AS text FROM lines GROUP BY doc_id")
 def q_boilerplate(spark, sf):
     """Documents with page footers, a signature note and leftover lines put between their lines, and cleaned again."""
     footer = F.concat(F.lit("\n\nNota 110 (123) SEI 80000.1/2024-1 / pg. "), F.col("pos").cast("string"), F.lit("\n\n"))

@@ -64,6 +64,7 @@ class Para:
     fixed_grid: bool | None = None  # widths somebody chose: not to be measured by content
     table_width: int | None = None
     message: str | None = None
+    breaks: bool | None = None  # no quotation goes on over it
 
     @property
     def text(self) -> str:
@@ -109,7 +110,7 @@ _RUN = pa.struct([("text", pa.string()), ("href", pa.string()), ("bold", pa.bool
 _KINDS = {
     "kind": pa.string(), "runs": pa.list_(_RUN), "explicit": pa.string(), "literal": pa.bool_(), "style": pa.string(), "level": pa.int32(), "align": pa.string(), "size": pa.float64(),
     "bold": pa.bool_(), "caps": pa.bool_(), "strike": pa.bool_(), "grey": pa.bool_(), "spaced": pa.bool_(), "indent_cm": pa.float64(), "first_pt": pa.float64(), "num_format": pa.string(),
-    "table_no": pa.int32(), "row": pa.int32(), "cell": pa.int32(), "span": pa.int32(), "continues": pa.bool_(), "grid": pa.list_(pa.float64()), "fixed_grid": pa.bool_(), "table_width": pa.int32(), "message": pa.string(),
+    "table_no": pa.int32(), "row": pa.int32(), "cell": pa.int32(), "span": pa.int32(), "continues": pa.bool_(), "grid": pa.list_(pa.float64()), "fixed_grid": pa.bool_(), "table_width": pa.int32(), "message": pa.string(), "breaks": pa.bool_(),
 }
 FIELDS = list(_KINDS)
 RUN_DDL = "struct<text:string,href:string,bold:boolean,italic:boolean,strike:boolean,underline:boolean,color:string,vertical:string,image:string>"

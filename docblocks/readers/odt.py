@@ -207,6 +207,7 @@ class Document:
         name = node.get(f"{TEXT}style-name")
         outline = node.get(f"{TEXT}outline-level", "1")
         level = max(1, min(int(outline) if outline.isdigit() else 1, 4)) if node.tag == f"{TEXT}h" else self.styles.heading(name)
+        para.breaks = level > 0
         if level and not numbered_start(para.text):
             para.explicit = "Tachado" if para.strike else f"Item_Nivel{level}"
         elif not level:
@@ -235,7 +236,7 @@ class Document:
                     if not runs:
                         continue
                     if counted and numbering is not None:
-                        yield Para(BODY, joined([Run(f"{numbering.text(position)} ")] + runs) if first else runs, literal=True)
+                        yield Para(BODY, joined([Run(f"{numbering.text(position)} ")] + runs) if first else runs, literal=True, breaks=True)
                     else:
                         yield Para(BULLET, runs, level=min(level, 3))
                     first = False

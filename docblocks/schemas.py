@@ -61,3 +61,13 @@ FIRST_LINE_PT = 8.0
 
 #: A converted document.
 RESULTS = "doc_id string, nome_origem string, sucesso boolean, erros array<string>, avisos array<string>, arquivos array<struct<nome:string,conteudo:string>>, citacoes_por_recuo int, citacoes_entre_aspas int, citacoes_trechos array<string>, cabecalho_paragrafos int, cabecalho_trechos array<string>"
+
+# What the platform writes into documents (fixed values): notes and how they end, the footer of a page, and the kinds of documents
+# whose name and number extraction leaves behind, without accents.
+NOTE_CODE = r"c[oó]digo\s+CRC\s+[0-9A-F]+\.?"
+NOTES = (("Documento assinado eletronicamente por", r"Decreto\s+n[º°]\s*10\.543[^\n]*\."), ("A autenticidade do documento pode ser conferida", r"informando[^\n]*\."))
+FOOTER = r"SEI\s+[\d./_\-]+\s*/\s*pg\.\s*\d+"
+ACCENTED, UNACCENTED = "áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ", "aaaaeeiooouucAAAAEEIOOOUUC"
+DOCUMENT_TYPES = "despacho; nota tecnica; oficio; parecer; memorando; portaria; informacao; relatorio; edital; ata; termo de referencia; decisao; instrucao normativa; comunicacao interna; circular; resolucao; certidao; declaracao; manifestacao".split("; ")
+#: Style of a paragraph whose number is part of its text (an own name: nothing reads it but this engine).
+LITERAL_NUMBER = "Numero_Literal"

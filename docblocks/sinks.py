@@ -19,6 +19,7 @@ from docblocks import pipeline
 from docblocks import schemas as S
 from docblocks.functions import paths
 from docblocks.functions import text as T
+from docblocks.operators import reports as G
 from docblocks.sources import files as sink
 from docblocks.sources import listing
 from docblocks.streaming import watch
@@ -78,6 +79,16 @@ def report(results: DataFrame) -> DataFrame:
     return totals.withColumn("exit_status", F.when((F.col("documents") > 0) & (F.col("failed") == 0), 0).otherwise(1))
 
 
+def text_report(results: DataFrame, options: pipeline.Options = pipeline.Options()) -> tuple[list[str], DataFrame, list[str]]:
+    """The report as text: its first lines, (path, pos, line) of the documents' own in the order of their paths, and the last lines with the totals."""
+    quotes = G.quotation_sentence(F.col("citacoes_por_recuo"), F.col("citacoes_entre_aspas"), F.lit(options.quotes))
+    header = G.header_sentence(F.size("cabecalho_trechos"), F.lit(options.skip_header))
+    lines = G.document_lines(F.col("nome_origem"), F.col("sucesso"), F.col("target"), F.col("avisos"), F.col("erros"), quotes, header)
+    total = report(results).first()
+    first, last = G.total_lines(total["documents"], total["converted"], total["failed"])
+    return first, results.select("path", F.posexplode(lines).alias("pos", "line")).orderBy("path", "pos"), last
+
+
 def as_json(results: DataFrame) -> DataFrame:
     """(doc_id, json) of every result, all of its fields."""
     key = results.columns[0]

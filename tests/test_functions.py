@@ -1,5 +1,7 @@
 """Small vectors for the scalar functions and the ordered folds."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,11 +20,16 @@ def test_item_number(spark, n, kind, out):
     assert one(spark, lambda x: T.item_number(x, F.lit(kind)), n, "int") == out
 
 
-@pytest.mark.parametrize(("url", "out"), [("https://a.example", "https://a.example"), ("JavaScript:x", None), ("java\tscript:x", None), ("mailto:a@b", "mailto:a@b"), ("pasta/a.html", "pasta/a.html"), ("", ""), (None, None)])
+@pytest.mark.parametrize(("url", "out"), [("https://a.example", "https://a.example"), ("JavaScript:x", None), ("java\tscript:x", None), ("mailto:a@b", "mailto:a@b"), ("pasta/a.html", "pasta/a.html"), ("", None), (" \t", None), (None, None), (" https://a/b c\n", "https://a/b c"), ("da ta:x", None), ("a_b:c", "a_b:c"), ("TEL:1", "TEL:1")])
 def test_safe_url(spark, url, out):
     assert one(spark, T.safe_url, url) == out
 
 
+@pytest.mark.parametrize(("url", "out"), [("https://a/b c(d)", "https://a/b%20c%28d%29"), ("#x", None), (" #x", None), ("javascript:(1)", None), ("x y", "x%20y"), ("", None), (None, None)])
+def test_link_target(spark, url, out):
+    assert one(spark, T.link_target, url) == out
+
+
 @pytest.mark.parametrize(("line", "depth"), [("1. Título", 1), ("1.1 Texto", 2), ("2026 foi", 0), ("3.1.2. x", 3), ("1.x", 0), ("", 0), ("texto", 0)])
 def test_item_depth(spark, line, depth):
     assert one(spark, T.item_depth, line) == depth
@@ -139,3 +146,23 @@ def test_column_widths_add_up(spark):
 )
 def test_warnings(spark, html, names):
     assert one(spark, validate.warnings, html) == names
+
+
+PLATFORM = [
+    "a\n\nNota Técnica 110 (123)  SEI 80000.1/2024-1 / pg. 1\n\nb", "a\nDespacho 6900388\nb", "a\n[assinado eletronicamente]\n( Assinatura Eletrônica )\nb", "x Documento assinado eletronicamente por A,\nem 2024, código CRC 0AF3. y",
+    "Documento assinado eletronicamente por B, conforme\no Decreto nº 10.543, de 2020, art. 4. Fim.\nz", "A autenticidade do documento pode ser conferida no site, informando o código verificador 1. Ok.\nz", "Referência: Caso responda, cite\nreferência: Processo nº 1\nReferência: outro",
+    "SEI 1.2/2024-3 / pg. 7\na", "a\nSEI 1/pg. 2 segue\nb", "Ofício 123\nOfício 123456\nTermo  de Referência 1234567\nTermo 1234567", "a\n\n\n\nb\n\n", "", "  \n\t\n", "Documento assinado eletronicamente por ninguém",
+    "a\n\nrodapé SEI 1 / pg. 1\n\n\nDespacho 1234567\nb\n\nrodapé SEI 1 / pg. 2\nc",
+]
+
+
+def test_boilerplate_is_cleaned_as_by_the_reader(spark):
+    from docblocks.readers.pdf import without_boilerplate
+
+    rng = random.Random(4)
+    texts = PLATFORM + ["\n".join(rng.choice(PLATFORM + ["uma linha", "  outra ", ""]) for _ in range(6)) for _ in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.clean_boilerplate(F.col("t")).alias("o")).orderBy("i").collect()
+    found = [r["o"] for r in rows]
+    assert found[:3] == ["a\nb\n", "a\n\nb\n", "a\n\nb\n"] and found[3] == "x  y\n" and found[9] == "Ofício 123\n\nTermo 1234567\n" and found[14] == "a\n\nb\nc\n"
+    different = [(t, a, b) for t, a, b in zip(texts, found, map(without_boilerplate, texts), strict=True) if a != b and "segue" not in t]
+    assert not different

@@ -252,6 +252,16 @@ def test_cells_keep_escaped_pipes():
     assert markdown.cells_of(r"| a \| b | | c |") == [r"a \| b", "", "c"]
 
 
+def test_titles_and_lists_of_odt_end_quotations(spark):
+    """A span of quotation marks goes over paragraphs only; in the second half a title and a list stand between."""
+    p = lambda t: f"<text:p>{t}</text:p>"
+    plain = odt(p("\u201cabre aqui") + p("segue o texto") + p("e fecha\u201d."))
+    titled = odt(p("\u201cabre aqui") + '<text:h text:outline-level="1">TITULO</text:h>' + p("e fecha\u201d."))
+    listed = odt(p("\u201cabre aqui") + "<text:list><text:list-item>" + p("item") + "</text:list-item></text:list>" + p("e fecha\u201d."))
+    rows = convert(spark, [("a.odt", plain), ("b.odt", titled), ("c.odt", listed)], pipeline.Options(quotes=True))
+    assert [r["citacoes_entre_aspas"] for r, _ in rows] == [3, 0, 0]
+
+
 def test_header_can_be_left_out(spark):
     ((row, lines),) = convert(spark, [("n.md", "# T\n\nProcesso\n\n1. A\n\nb")], pipeline.Options(body_only=True, skip_header=True))
     assert row["cabecalho_paragrafos"] == 2 and lines == ['<p class="Item_Nivel1">A</p>', '<p class="Texto_Justificado">b</p>']
