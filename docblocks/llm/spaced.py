@@ -13,7 +13,7 @@ masks that some item needs are hashed in the documents.
 Long documents are cut into blocks that overlap by the longest item, so that no row grows with a
 text's length; each block sees whole diagonals. What is exploded by position is narrow (block,
 position, seed); only the hits meet their block's words again. The benchmark's seeds are broadcast if
-there are at most BROADCAST_SEEDS of them; beyond that the same join is a shuffle join.
+there are at most BROADCAST_SEEDS of them, and keys of the texts hit up to BROADCAST_TEXTS; beyond that the same joins are shuffle joins.
 
 Results for odd inputs: null and empty texts and items never match; repeated rows match alike, each
 for itself; rows that share an id, or have a null one, are told apart by their texts in
@@ -36,8 +36,8 @@ from .tables import release, shared_folder, stored, text_keys, unused
 MASKS = ("11011", "110011", "101101")
 WINDOW = 16
 SHARE = 0.75
-#: Bound of the broadcast side.
-BROADCAST_SEEDS = 200_000
+#: Bounds of the broadcast sides: seeds of items, and keys of texts that one was found in.
+BROADCAST_SEEDS, BROADCAST_TEXTS = 200_000, 500_000
 BLOCK = 2048
 
 
@@ -128,8 +128,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     hits = _exploded(blocked(texts), "__mine", number, *key, "__from", "__low").where(own.between(0, step - 1)).join(seeds, "__seed")
     hits = hits.select(*key, "__from", "__item", (F.col("__pos") - F.col("__ipos")).alias("__start")).distinct().withColumnsRenamed({c: f"{c}_" for c in [*key, "__from"]})
     hits = stored(hits, shared_folder(docs.sparkSession), "hits")  # used twice
-    # the texts that were hit, then their blocks that were
-    again = blocked(texts.join(hits.select(*[f"{c}_" for c in key]).distinct(), on(key), "left_semi"))
+    # the texts that were hit, then their blocks that were: few texts are named by 16 bytes each and broadcast
+    hit_texts = hits.select("__k0_", "__k1_").distinct()
+    if hit_texts.count() <= BROADCAST_TEXTS:
+        hit_texts = F.broadcast(hit_texts)
+    again = blocked(texts.join(hit_texts, on(["__k0", "__k1"]), "left_semi"))
     met = again.join(hits, on([*key, "__from"])).select("__doc", "__low", "__mine", "__item", "__start").join(sides, F.col("__item").eqNullSafe(F.col("__of")))
 
     # along the diagonal: 1 where the words agree; the best run of ``window`` words
