@@ -240,7 +240,8 @@ def train(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, id_col:
     chosen = first_ids(positives, id_col, max_positive).withColumn("__p", F.lit(True))
     others = first_ids(unlabelled, id_col, max_unlabelled).withColumn("__u", F.lit(True))
     wanted = chosen.join(others, "__id", "full")
-    rows = _featured(docs.join(F.broadcast(wanted), F.col(id_col) == F.col("__id")), text_col, ["__id", "__p", "__u"])
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    rows = _featured(texts.join(F.broadcast(wanted), F.col("__doc") == F.col("__id")), "__text", ["__id", "__p", "__u"])
     rows = rows.groupBy("__id").agg(F.min("__x").alias("__x"), F.first("__p").alias("__p"), F.first("__u").alias("__u")).orderBy("__id").collect()  # a row an id: bounded
     p = np.array([r["__x"] for r in rows if r["__p"]])
     u = np.array([r["__x"] for r in rows if r["__u"]])

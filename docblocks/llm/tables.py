@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.gettempdir()}/docblocks-checkpoints"
     _open.append(f"{where.rstrip('/')}/docblocks-{uuid.uuid4().hex}")

@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from docblocks.llm import resampling, variants, warc
+from docblocks.llm import pulearn, resampling, variants, warc
 from docblocks.llm.tables import lookup, shared_folder
 
 RNG = random.Random(5)
@@ -219,6 +219,19 @@ def test_empty_archive(spark):
     assert warc.pages_of(spark, path).collect() == []
 
 
+# other operators called on tables of any columns
+def test_clashing_columns_of_the_classifier(spark):
+    rng = random.Random(9)
+    good = [(i, "The house stands by the river, and we walked there on Monday. " * rng.randint(1, 3)) for i in range(40)]
+    bad = [(100 + i, " ".join(rng.choice(["$$", "buy", "##", "click", "|"]) for _ in range(40))) for i in range(40)]
+    docs = frame(spark, [(i, t, 1, 2, 3, "x") for i, t in good + bad + good[:5]], "doc_id long, text string, __id int, __p int, __u int, __text string")
+    net = pulearn.train(docs, docs.where("doc_id < 20").select("doc_id"), docs.select("doc_id"))
+    rows = pulearn.score(docs, net).collect()
+    by_id = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 85 and min(by_id[i] for i in range(40)) > max(by_id[100 + i] for i in range(40))
+    assert all(by_id[r["doc_id"]] == r["score"] for r in rows)  # rows that repeat are scored alike
+
+
 # lookup
 def test_lookup_of_hot_keys(spark):
     keys = ["hot"] * 5000 + [f"k{i}" for i in range(800)] + [None, "unknown"]
