@@ -285,7 +285,28 @@ def test_folders_are_converted_once_a_target(spark, tmp_path):
     assert "<p class=\"Texto_Justificado\">um</p>" in (out / "a_SEI.html").read_text()
     total = sinks.report(done.results).first()
     assert (total["documents"], total["converted"], total["failed"], total["exit_status"]) == (5, 3, 2, 1)
-    assert json.loads(sinks.as_json(done.results).first()["json"])["sucesso"] is True
+    assert json.loads(sinks.as_json(done.results.where("sucesso")).first()["json"])["sucesso"] is True
+    first, lines, last = sinks.text_report(done.results, pipeline.Options(skip_header=True))
+    text = [r["line"] for r in lines.collect()]
+    assert first[1] == "RELATÓRIO DE CONVERSÃO PARA O SEI" and last[1] == "Total processados: 5 | Sucessos: 3 | Falhas: 2"
+    assert text[0] == f"OK   B.MD -> {out}/B_SEI.html" and "FALHA a.txt:" in text and "     cabeçalho: Nenhum parágrafo foi omitido: o documento não tem item 1 depois de um cabeçalho." in text
+
+
+def test_a_target_goes_to_the_first_that_converts(spark, tmp_path):
+    """An input that can't be read takes no target from the next one."""
+    for name, text in (("a.docx", "ruim"), ("a.md", "um"), ("a.txt", "dois")):
+        (tmp_path / name).write_text(text)
+    done = sinks.convert_folder(spark, str(tmp_path), str(tmp_path / "out"))
+    rows = {r["nome_origem"]: r for r in done.results.collect()}
+    assert [rows[n]["sucesso"] for n in ("a.docx", "a.md", "a.txt")] == [False, True, False] and done.written == 1
+    assert "coincide com a de a.md" in rows["a.txt"]["erros"][0] and "coincide" not in rows["a.docx"]["erros"][0]
+    assert "um" in (tmp_path / "out/a_SEI.html").read_text()
+
+
+@pytest.mark.parametrize("level", [0, 5, -1, "x"])
+def test_levels_are_bounded(level):
+    with pytest.raises(ValueError, match="use um número de 1 a 4"):
+        pipeline.Options(max_level=level)
 
 
 def test_one_exchange_of_paragraphs(spark):
