@@ -219,7 +219,7 @@ def _blocked(members: DataFrame, sets: DataFrame, name: str) -> DataFrame:
 
 
 def _block_links(mine: pa.StructArray, theirs: pa.StructArray, similarity: tuple[int, int]) -> list[tuple[bytes, bytes]]:
-    """Links between two blocks that join what isn't joined yet: at most one less than there are classes."""
+    """Links between two blocks, as the roots of what they join: at most one less than there are roots."""
     num, den = similarity
 
     def unpack(rows: pa.StructArray) -> tuple[list, list, np.ndarray, np.ndarray]:
@@ -258,12 +258,12 @@ def _block_links(mine: pa.StructArray, theirs: pa.StructArray, similarity: tuple
         a, b = find(root[i]), find(their_root[j])
         if a != b:
             parent[a] = b
-            out.append((sig[i], other[j]))
+            out.append((root[i], their_root[j]))
     return out
 
 
 def _cross_links(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between different components that meet in a bucket.
+    """Links (a, b) between the roots of different components that meet in a bucket, each pair once.
 
     The classes that aren't in their bucket's main component are compared, on their full sets, with
     all that share a bucket of that component: block against block, by a matrix product.
@@ -282,7 +282,7 @@ def _cross_links(open_: DataFrame, sets: DataFrame, similarity: tuple[int, int])
                 found = _block_links(batch.column(0)[i].values, batch.column(1)[i].values, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
-    return blocks.mapInArrow(run, "a binary, b binary")
+    return blocks.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: tuple[int, int], k: int) -> tuple[DataFrame, DataFrame, str]:
