@@ -166,3 +166,12 @@ def test_boilerplate_is_cleaned_as_by_the_reader(spark):
     assert found[:3] == ["a\nb\n", "a\n\nb\n", "a\n\nb\n"] and found[3] == "x  y\n" and found[9] == "Ofício 123\n\nTermo 1234567\n" and found[14] == "a\n\nb\nc\n"
     different = [(t, a, b) for t, a, b in zip(texts, found, map(without_boilerplate, texts), strict=True) if a != b and "segue" not in t]
     assert not different
+
+
+def test_a_struck_item_is_struck_as_a_whole(spark, tmp_path):
+    """whole_strike asks for the marks alone; that an item stays an item is is_struck's."""
+    from docblocks.plans import reference
+
+    spark.createDataFrame([(1, "56.187.231.175 texto\nx\n1. item")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["pos"]: r["struck"] for r in reference.queries()["whole_strike"](spark, str(tmp_path)).collect()}
+    assert got == {0: True, 1: False, 2: False}
