@@ -14,8 +14,9 @@ equal windows hold an indexed suffix at the same place (a minimizer), one in abo
    order of the bytes after the gram, then in the order of those before it.
 4. No window can begin further left than the longest common left context, nor end further right
    than the right one. What lies within both limits and no neighbour has shown is settled at once by
-   counting those windows in the range (an exact check after the scan). Grams that the borders of
-   ranges split, a common one's entries may fill many, have their windows counted over all ranges.
+   counting those windows in the range (an exact check after the scan). A gram of up to WHOLE
+   entries stands in one range. The entries of more common ones may fill many: those that the borders
+   of ranges split have their windows counted over all ranges.
 5. Windows become byte runs, runs of a text are united, and its other bytes are kept.
 
 Texts that are equal as a whole are indexed once; those that occur twice or more and have ``span``
@@ -44,6 +45,8 @@ SPAN = 200
 GRAM = 64
 #: Entries sorted as one batch.
 BATCH = 20_000
+#: A gram with no more entries than this goes into one range as a whole; at 283 bytes an entry, 14 MB.
+WHOLE = 50_000
 
 
 #: Odd factors of the hashes below.
@@ -313,10 +316,13 @@ def _covered(rows: np.ndarray, multi: np.ndarray, first: SuffixLevels, second: S
     return cover
 
 
-def _scan(entries: DataFrame) -> DataFrame:
+def _scan(entries: DataFrame, whole: int = WHOLE) -> DataFrame:
     """Windows that repeat in a range, as rows (ctx, ctx2, lo, hi) of offsets, and the grams at its borders."""
     reach = SPAN - GRAM
-    dealt = entries.select(*_CTX, "multi", "gram", "after", "before").repartitionByRange("gram", "after", "before")
+    common = entries.groupBy("gram").count().where(F.col("count") > whole).select(F.col("gram").alias("gram_"))
+    rows = entries.select(*_CTX, "multi", "gram", "after", "before").join(F.broadcast(common), _on("gram"), "left")
+    # only a common gram's entries are dealt by what stands around it
+    dealt = rows.repartitionByRange("gram", *[F.when(F.col("gram_").isNotNull(), F.col(c)) for c in ("after", "before")]).drop("gram_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, packer = (SuffixLevels(reach), SuffixLevels(reach)), Entries(reach)
@@ -361,7 +367,7 @@ def _on(*names: str) -> Column:
     return functools.reduce(Column.__and__, [F.col(n) == F.col(f"{n}_") for n in names])
 
 
-def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame:
+def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str, whole: int = WHOLE) -> DataFrame:
     """(tkey, second, runs) for the texts of (id, tkey, second, text) that hold repeats: runs (start, end) of bytes.
 
     ``copies`` names the row (rep) whose text stands for all equal ones.
@@ -392,7 +398,7 @@ def repeated_bytes(docs: DataFrame, copies: DataFrame, folder: str) -> DataFrame
     discard(spark, f"{folder}/contexts")
     release(spark)
 
-    scan = stored(_scan(entries), folder, "scan", "zstd")
+    scan = stored(_scan(entries, whole), folder, "scan", "zstd")
     release(spark)
     shown = scan.where("border is null").select(*_CTX, F.struct("lo", "hi").alias("s"))
     # grams at the borders of two ranges or more (two grams a range at most): their windows are counted over all ranges

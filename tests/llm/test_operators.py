@@ -631,3 +631,17 @@ def test_spans_hash_alike_wherever_they_stand():
     h = words.hashes()
     assert got == [b"one", b"two", b"one", b"two", b"\x00one"] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     assert gram_hashes(h, 2)[0] == gram_hashes(h, 2)[2]
+
+
+def test_only_very_common_grams_are_split_between_ranges(spark):
+    """A gram's windows are counted over all ranges only where more entries than one range should take have it."""
+    rng = random.Random(3)
+    rows = [(i, -i, False, g, bytearray(rng.randbytes(136)), bytearray(rng.randbytes(136))) for i, g in enumerate([7] * 400 + list(range(100, 200)) * 2)]
+    entries = spark.createDataFrame(rows, "ctx long, ctx2 long, multi boolean, gram long, before binary, after binary")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shared = lambda whole: {r[0] for r in suffixes._scan(entries, whole).where("border is not null").groupBy("border").count().where("count > 1").collect()}
+        assert shared(1000) == set()
+        assert shared(300) == {7}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
