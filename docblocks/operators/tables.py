@@ -45,6 +45,11 @@ def equal_columns(widths: Column) -> Column:
     return (F.size(widths) > 1) & (F.array_max(widths) - F.array_min(widths) <= 1)
 
 
+def _tenths(pct: Column) -> Column:
+    """Tenths, halves to even; what the last bits of a sum's order leave of a half counts as one."""
+    return F.bround(F.bround(pct, 9), 1)
+
+
 def content_shares(needs: Column, wants: Column) -> Column:
     """Percentages of a table's columns from what they need (longest words) and want (longest lines).
 
@@ -69,8 +74,8 @@ def content_shares(needs: Column, wants: Column) -> Column:
         return F.get(F.transform(F.array(value), step), F.lit(0))
 
     pct = then(base, lambda b: F.transform(b, lambda x: 100 * x / total(b)))
-    tenths = then(then(pct, floored), lambda p: F.transform(p, lambda x: F.bround(x, 1)))
-    return then(tenths, lambda t: F.when(F.size(t) > 0, F.concat(F.slice(t, 1, F.size(t) - 1), F.array(F.bround(100 - total(F.slice(t, 1, F.size(t) - 1)), 1)))).otherwise(t))
+    tenths = then(then(pct, floored), lambda p: F.transform(p, _tenths))
+    return then(tenths, lambda t: F.when(F.size(t) > 0, F.concat(F.slice(t, 1, F.size(t) - 1), F.array(_tenths(100 - total(F.slice(t, 1, F.size(t) - 1)))))).otherwise(t))
 
 
 def cell_measures(text: Column) -> tuple[Column, Column]:

@@ -175,3 +175,9 @@ def test_a_struck_item_is_struck_as_a_whole(spark, tmp_path):
     spark.createDataFrame([(1, "56.187.231.175 texto\nx\n1. item")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["pos"]: r["struck"] for r in reference.queries()["whole_strike"](spark, str(tmp_path)).collect()}
     assert got == {0: True, 1: False, 2: False}
+
+
+def test_half_a_tenth_goes_to_the_even_one_whatever_the_order_of_the_sums(spark):
+    """2469.5 / 110 is 22.45: 22.4, though the sum of the shares ends a few bits off 110."""
+    rows = spark.createDataFrame([([16.0, 16.0, 16.0, 15.0], [826.0, 152.0, 386.0, 699.0])], "n array<double>, w array<double>")
+    assert rows.select(B.content_shares(F.col("n"), F.col("w")).alias("p")).first()[0] == [31.8, 17.5, 22.4, 28.3]
