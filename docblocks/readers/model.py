@@ -6,7 +6,7 @@ row and span, and what the reader has to say to the user is a row of its own (``
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 
@@ -31,7 +31,7 @@ class Run:
     image: str | None = None
 
     def alike(self, other: Run) -> bool:
-        mine, theirs = asdict(self), asdict(other)
+        mine, theirs = vars(self), vars(other)
         return self.image is None and other.image is None and all(mine[k] == theirs[k] for k in mine if k != "text")
 
 
@@ -80,7 +80,7 @@ def joined(runs: list[Run]) -> list[Run]:
         if out and out[-1].alike(run):
             out[-1].text += run.text
         else:
-            out.append(Run(**asdict(run)))
+            out.append(replace(run))
     return out
 
 

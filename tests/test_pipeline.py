@@ -316,3 +316,9 @@ def test_one_exchange_of_paragraphs(spark):
     plan = html._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert html.where(F.col("html").contains("Item_Nivel1")).count() == 8
+
+
+def test_plain_text_is_one_run_however_long():
+    """A run for every stretch of one format, not one for every character."""
+    assert [r.text for r in inline.runs("palavra " * 500)] == ["palavra " * 500]
+    assert [(r.text, r.href, r.bold) for r in inline.runs("a b [c](u)[d](v) \\* **e f**")] == [("a b ", None, False), ("c", "u", False), ("d", "v", False), (" * ", None, False), ("e f", None, True)]
