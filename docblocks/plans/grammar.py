@@ -41,7 +41,8 @@ _MARKED = """array_join(transform(split(line, ' '), (w, i) -> CASE i % 9 WHEN 1
 def q_runs(spark, sf):
     """Runs of every line, its words marked by their places."""
     found = I.runs(lines(spark, sf).withColumn("line", F.expr(_MARKED)), "line")
-    return found.select("doc_id", "pos", F.posexplode("runs").alias("n", "run")).select("doc_id", "pos", "n", "run.*")
+    # an outer one, since Spark would put a filter with all of the runs' expression before a plain one
+    return found.select("doc_id", "pos", F.posexplode_outer("runs").alias("n", "run")).where("n is not null").select("doc_id", "pos", "n", "run.*")
 
 
 @query("image_sizes", """SELECT p_partkey, format, CASE WHEN format = 'other' THEN NULL ELSE p_size END AS width, CASE WHEN format = 'other' THEN NULL ELSE CAST(p_partkey % 4000 + 1 AS INTEGER) END AS height FROM (SELECT p_partkey, p_size, ['png', 'gif', 'jpeg', 'other'][p_partkey % 4 + 1] AS format FROM part) x""")

@@ -207,3 +207,14 @@ LONG = "Encaminhe-se o presente processo à unidade de origem para as providênc
 )
 def test_signatures_in_lines(spark, text, out):
     assert column(spark, M.signature_lines, [text]) == [out]
+
+
+def test_the_runs_of_a_line_are_computed_once(spark):
+    """Spark's filter on an explode would hold the whole inline grammar a second time."""
+    from docblocks.plans import reference
+
+    from .conftest import SF
+
+    plan = reference.queries()["inline_runs"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan
+    assert not [row for row in plan.splitlines() if "Filter" in row.split("(")[0] and "aggregate(" in row]
