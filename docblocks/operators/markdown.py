@@ -105,13 +105,18 @@ def signature_lines(text: Column) -> Column:
 
     One without a mark stays as it is, and so does one in which a line after the mark is too long for a name or an office.
     """
-    parts = F.transform(F.split(text, "\n"), T.strip)
-    seen = F.transform(parts, T.unescape_markdown)
-    at = F.array_position(F.transform(seen, T.is_signature_mark), F.lit(True)).cast("int")
-    rest = lambda lines: F.filter(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)), lambda p: p != "")
-    short = F.forall(rest(seen), lambda p: F.size(T.words(p)) <= S.SIGNATURE_WORDS)
-    head = T.strip(F.array_join(F.slice(parts, 1, F.greatest(at - 1, F.lit(0))), "\n"))
-    return F.when((at == 0) | ~short, F.array(text)).otherwise(F.concat(F.when(head != "", F.array(head)).otherwise(F.array().cast("array<string>")), rest(parts)))
+    none = F.array().cast("array<string>")
+
+    def from_mark(lines: Column, at: Column) -> Column:
+        rest = F.filter(F.slice(lines, at, F.size(lines)), lambda x: x["seen"] != "")
+        head = T.strip(F.array_join(F.slice(lines, 1, at - 1)["part"], "\n"))
+        parts = lambda r: F.concat(T.let(head, lambda h: F.when(h != "", F.array(h)).otherwise(none)), r["part"])
+        short = lambda r: F.forall(r, lambda x: F.size(T.words(x["seen"])) <= S.SIGNATURE_WORDS)
+        return T.let(rest, lambda r: F.when(~short(r), F.array(text)).otherwise(parts(r)))
+
+    lines = F.transform(F.split(text, "\n"), lambda line: T.let(T.strip(line), lambda part: F.struct(part.alias("part"), T.unescape_markdown(part).alias("seen"))))
+    marked = lambda x: F.array_position(F.transform(x, lambda line: T.is_signature_mark(line["seen"])), F.lit(True)).cast("int")
+    return T.let(lines, lambda x: T.let(marked(x), lambda at: F.when(at == 0, F.array(text)).otherwise(from_mark(x, at))))
 
 
 def signature_indices(flags: Column, short: Column, tail: Column | None = None) -> Column:

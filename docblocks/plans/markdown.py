@@ -89,7 +89,8 @@ SELECT doc_id, pos, unnest(CASE WHEN long THEN [raw || chr(10) || mark || chr(10
 def q_signature_lines(spark, sf):
     """Every line, then a mark, then a name or the line again: where that is too long for a name, the paragraph stays whole."""
     text = F.concat("line", F.lit("\n[Assinado eletronicamente]\n\n"), F.when(F.col("pos") % 2 == 0, F.col("line")).otherwise("Nome"))
-    return lines(spark, sf).select("doc_id", "pos", F.explode(M.signature_lines(text)).alias("part"))
+    # an outer one: for a plain one Spark would compute the parts again, and once more, to leave out rows without any
+    return lines(spark, sf).select("doc_id", "pos", F.explode_outer(M.signature_lines(text)).alias("part")).where("part is not null")
 
 
 @query("signature_indices")

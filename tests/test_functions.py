@@ -15,6 +15,16 @@ def one(spark, column, value=None, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()[0]
 
 
+def test_white_space_of_any_kind_is_stripped(spark):
+    """The characters that are stripped are those of the pattern that words are divided at."""
+    rows = spark.createDataFrame([(chr(n),) for n in range(0x10000) if not 0xD800 <= n < 0xE000], "c string")
+    white = F.col("c").rlike(r"(?U)^\s$")
+    assert rows.where((T.strip(F.concat("c", F.lit("x y"), "c", "c")) == "x y") != white).isEmpty()
+    assert rows.where(white).count() == len(T.WHITE) == 25
+    assert rows.where(white & (F.size(T.words(F.concat("c", F.lit("x"), "c", F.lit("y"), "c"))) != 2)).isEmpty()
+    assert one(spark, T.words, " \n") == [] and one(spark, T.words) is None and one(spark, T.strip) is None
+
+
 @pytest.mark.parametrize(("n", "kind", "out"), [(3, "1", "3."), (3, "a", "c)"), (27, "a", "aa)"), (2, "A", "B)"), (4, "i", "iv -"), (1994, "I", "MCMXCIV -"), (0, "a", "0)")])
 def test_item_number(spark, n, kind, out):
     assert one(spark, lambda x: T.item_number(x, F.lit(kind)), n, "int") == out

@@ -209,6 +209,15 @@ def test_signatures_in_lines(spark, text, out):
     assert column(spark, M.signature_lines, [text]) == [out]
 
 
+def test_signature_lines_are_computed_once(spark):
+    """Every use of the lines, and the filter on an explode, would write their whole expression out again."""
+    from docblocks.plans import reference
+
+    plan = reference.queries()["signature_lines"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("assinado eletronicamente") == 1
+    assert not [row for row in plan.splitlines() if "Filter" in row.split("(")[0] and "assinado" in row]
+
+
 def test_the_runs_of_a_line_are_computed_once(spark):
     """Spark's filter on an explode would hold the whole inline grammar a second time."""
     from docblocks.plans import reference
