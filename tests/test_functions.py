@@ -178,6 +178,12 @@ def test_boilerplate_is_cleaned_as_by_the_reader(spark):
     assert not different
 
 
+def test_boilerplate_lines_are_looked_at_once(spark):
+    """A line's plain form is written once, not for every rule that asks for it."""
+    plan = spark.range(1).select(T.clean_boilerplate(F.col("id").cast("string")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_a_struck_item_is_struck_as_a_whole(spark, tmp_path):
     """whole_strike asks for the marks alone; that an item stays an item is is_struck's."""
     from docblocks.plans import reference
