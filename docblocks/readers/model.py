@@ -6,7 +6,7 @@ row and span, and what the reader has to say to the user is a row of its own (``
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 
@@ -30,6 +30,12 @@ class Run:
     vertical: str | None = None
     image: str | None = None
 
+    def with_text(self, text: str) -> Run:
+        """The same format around another text; a plain copy, since there is one for every stretch of every page."""
+        made = object.__new__(Run)
+        made.__dict__ = {**self.__dict__, "text": text}
+        return made
+
     def alike(self, other: Run) -> bool:
         mine, theirs = vars(self), vars(other)
         return self.image is None and other.image is None and all(mine[k] == theirs[k] for k in mine if k != "text")
@@ -80,7 +86,7 @@ def joined(runs: list[Run]) -> list[Run]:
         if out and out[-1].alike(run):
             out[-1].text += run.text
         else:
-            out.append(replace(run))
+            out.append(run.with_text(run.text))
     return out
 
 

@@ -309,6 +309,25 @@ def test_levels_are_bounded(level):
         pipeline.Options(max_level=level)
 
 
+def test_files_of_one_task_are_read_by_all(spark):
+    """A table of one row group comes in one partition; its files are dealt out before they are parsed."""
+    files = spark.createDataFrame([(i, "a", ".html", f"<p>x{i}</p>".encode()) for i in range(400)], "doc_id long, name string, suffix string, content binary").coalesce(1)
+    found = read.paragraphs(files).select("doc_id", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(400))
+    assert len({r["task"] for r in found}) == 4
+
+
+def test_white_space_between_blocks_is_no_paragraph(monkeypatch):
+    """Neither runs nor lines of a signature are made of it."""
+    from docblocks.readers import html
+
+    seen = []
+    monkeypatch.setattr(html.PageReader, "runs", lambda self, nodes, outer=None, runs=html.PageReader.runs: seen.append(nodes) or runs(self, nodes, outer))
+    page = "<div>\n <p>a <b>b</b></p>\n \xa0\n<p> c\t<i>d </i> e<br> f</p>\n</div>\n"
+    assert ["".join(r.text for r in p.runs) for p in html.paragraphs(page)] == ["a b", "c d e\nf"]
+    assert len(seen) == 2
+
+
 def test_one_exchange_of_paragraphs(spark):
     """What is exchanged is paragraphs by document, the warnings, and the narrow sides of the last joins."""
     files = spark.createDataFrame([(i, f"n{i}.md", ".md", bytearray(b"1. A\n\nb")) for i in range(8)], "doc_id long, name string, suffix string, content binary").repartition(2)
