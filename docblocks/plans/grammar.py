@@ -59,8 +59,8 @@ def q_images(spark, sf):
     jpeg = F.concat(F.lit("FFD8"), segments, F.lit("FFFFC40004FFC0FFC2001108"), wide(h, 2), wide(w, 2), F.lit("03012200021101031101"))
     kind = F.get(F.array(*[F.lit(f) for f in ("png", "gif", "jpeg", "other")]), F.col("p_partkey") % 4)
     digits = F.when(kind == "png", png).when(kind == "gif", gif).when(kind == "jpeg", jpeg).otherwise(F.concat(F.lit("424D"), name))
-    size = images.size(F.unhex(digits))
-    return table(spark, sf, "part").select("p_partkey", kind.alias("format"), size["width"].alias("width"), size["height"].alias("height"))
+    sizes = table(spark, sf, "part").select("p_partkey", kind.alias("format"), images.size(F.unhex(digits)).alias("size"))
+    return sizes.select("p_partkey", "format", "size.width", "size.height")
 
 
 @query("held_tokens", LINES + r"""SELECT doc_id, pos, len(regexp_extract_all(line || '\*' || chr(57344) || '\', '\\[!-/:-@\[-`{-~]|' || chr(57344))) AS held, line || '\*' || chr(57344) || '\' AS text FROM lines""")

@@ -65,6 +65,14 @@ def test_image_sizes(spark, blob, out):
     assert (got and tuple(got)) == out
 
 
+def test_bytes_of_an_image_are_written_once(spark):
+    """Not for every number that is read of them: the steps of a walk would put them together again and again."""
+    from docblocks.plans import reference
+
+    plan = reference.queries()["image_sizes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unhex(") == 1
+
+
 # tokens
 ALPHABET = ["\ue000", "\ue001", "\\", "*", "~", "[", "]", "(", ")", "<red>", "</red>", "a", " b ", "!", "ç", "\\*", "&", "\ue017", "0", "1", *[chr(0xE010 + i) for i in range(7)]]
 
