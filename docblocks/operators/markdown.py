@@ -40,7 +40,7 @@ def blocks(lines: DataFrame, id_col: str, pos: str, line: str, markdown: bool =
     """(id, pos, kind, level, text): lines with their kinds; lines of code blocks are ``code`` whatever they look like."""
     text = F.col(line)
     if markdown:
-        listed = lines.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(pos, line))).alias("__l"))
+        listed = lines.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(pos, line))).alias("__l"))
         flags = listed.select(id_col, F.explode(F.arrays_zip(F.col(f"__l.{pos}").alias("p"), F.col(f"__l.{line}").alias("t"), O.fence_blocks(F.col(f"__l.{line}")).alias("c"))).alias("z"))
         lines = flags.select(id_col, F.col("z.p").alias(pos), F.col("z.t").alias(line), F.col("z.c").alias("__code"))
     else:

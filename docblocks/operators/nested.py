@@ -70,5 +70,5 @@ def quotations(elements: DataFrame, doc: str = "doc_id", pos: str = "pos", kind:
     """
     bare = T.strip(F.col(text))
     seen = elements.where(F.col(kind).isin(LIST, TABLE) | (bare != ""))
-    rows = seen.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.when(F.col(kind) == PARAGRAPH, F.col(text)).alias("t")))).alias("x"))
+    rows = seen.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.when(F.col(kind) == PARAGRAPH, F.col(text)).alias("t")))).alias("x"))
     return rows.select(doc, "x", F.explode(O.quoted_spans(F.col("x.t"))).alias("at")).select(doc, F.get("x", F.col("at"))["p"].alias(pos))

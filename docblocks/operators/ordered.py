@@ -214,7 +214,7 @@ def regroup(frame: DataFrame, id_col: str, pos: str, line: str) -> DataFrame:
     frame = frame.withColumns({"__header": header, "__alone": alone, "__item": item, "__blank": blank})
     opens = F.col("__alone") | F.col("__item") | F.coalesce(F.lag("__alone").over(w), F.lit(True)) | F.coalesce(F.lag("__blank").over(w), F.lit(True))
     grouped = frame.withColumn("__o", opens.cast("int")).withColumn("__g", F.sum("__o").over(upto)).where(~F.col("__blank"))
-    out = grouped.groupBy(id_col, "__g").agg(F.min(pos).alias("first"), F.bool_or("__header").alias("h"), F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), text.alias("t")))).alias("b"))
+    out = grouped.groupBy(id_col, "__g").agg(F.min(pos).alias("first"), F.bool_or("__header").alias("h"), F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), text.alias("t")))).alias("b"))
     joined = T.strip(F.regexp_replace(F.array_join("b.t", " "), r"(?U)\s+", " "))
     return out.select(id_col, "first", F.when(F.col("h"), "cabecalho").otherwise("corpo").alias("kind"), F.when(F.col("h"), F.element_at("b.t", 1)).otherwise(joined).alias("text"))
 

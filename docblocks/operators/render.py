@@ -13,7 +13,7 @@ COUNTERS = ["item-n1", "item-n2", "item-n3", "item-n4", "paragrafo-n1", "paragra
 
 def joined_blocks(blocks: DataFrame, id_col: str, pos: str, html: str, out: str = "html") -> DataFrame:
     """(id, html): blocks of a document in order, one to a line."""
-    rows = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(html).alias("h")))).alias("__b"))
+    rows = blocks.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(html).alias("h")))).alias("__b"))
     return rows.select(id_col, F.array_join(F.col("__b.h"), "\n").alias(out))
 
 

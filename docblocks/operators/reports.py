@@ -23,7 +23,7 @@ def paragraph_format(paragraphs: DataFrame, runs: DataFrame, key: str, flags: di
 
 def quotation_counts(paragraphs: DataFrame, id_col: str, pos: str, text: str, by_indent: Column, by_marks: Column) -> DataFrame:
     """(id, by_indent, by_marks, excerpts): two separate counts and the beginnings of all of them in order."""
-    listed = F.array_sort(F.collect_list(F.when(by_indent | by_marks, F.struct(F.col(pos).alias("p"), T.excerpt(F.col(text)).alias("e")))))
+    listed = F.sort_array(F.collect_list(F.when(by_indent | by_marks, F.struct(F.col(pos).alias("p"), T.excerpt(F.col(text)).alias("e")))))
     out = paragraphs.groupBy(id_col).agg(F.count_if(by_indent).alias("by_indent"), F.count_if(by_marks).alias("by_marks"), listed.alias("l"))
     return out.select(id_col, "by_indent", "by_marks", F.col("l.e").alias("excerpts"))
 
@@ -88,9 +88,9 @@ def changelog(lines: DataFrame, id_col: str, pos: str, line: str) -> DataFrame:
     item = text.rlike(r"^\s*[-*]\s+\S")
     rows = rows.withColumn("entry", F.sum(item.cast("int")).over(Window.partitionBy(id_col, "section").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)))
     bare = T.strip(F.regexp_replace(line, r"^\s*[-*]\s+", ""))
-    parts = rows.groupBy(id_col, "section", "entry").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.when(opens, F.regexp_replace(line, r"^##\s+", "")).alias("h"), F.when(~opens & (bare != ""), bare).alias("t")))).alias("x"))
+    parts = rows.groupBy(id_col, "section", "entry").agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.when(opens, F.regexp_replace(line, r"^##\s+", "")).alias("h"), F.when(~opens & (bare != ""), bare).alias("t")))).alias("x"))
     joined = parts.select(id_col, "section", "entry", F.array_join(F.array_compact(F.col("x.h")), " ").alias("h"), F.array_join(F.array_compact(F.col("x.t")), " ").alias("t"))
-    out = joined.groupBy(id_col, "section").agg(F.max(F.when(F.col("entry") == 0, F.col("h"))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("entry") > 0, F.struct("entry", "t")))).alias("e"))
+    out = joined.groupBy(id_col, "section").agg(F.max(F.when(F.col("entry") == 0, F.col("h"))).alias("title"), F.sort_array(F.collect_list(F.when(F.col("entry") > 0, F.struct("entry", "t")))).alias("e"))
     return out.select(id_col, "section", T.strip(F.col("title")).alias("title"), F.col("e.t").alias("entries"))
 
 
@@ -118,24 +118,32 @@ def first_lines(results: DataFrame, name: str, order: str, lines: str, suffix: s
     groups = F.array(F.struct(F.lit("all").alias("by"), F.lit(None).cast("string").alias("suffix")), F.struct(F.lit("suffix").alias("by"), F.col("suffix").alias("suffix")))
     keyed = rows.select(F.explode(groups).alias("g"), "at", "nth", F.concat_ws(": ", "name", "line").alias("line")).select("g.*", "at", "nth", "line")
     place = F.row_number().over(Window.partitionBy("by", "suffix").orderBy("at", "nth"))
-    few = keyed.withColumn("place", place).where(F.col("place") <= limit).groupBy("by", "suffix").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("x"))
+    few = keyed.withColumn("place", place).where(F.col("place") <= limit).groupBy("by", "suffix").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("x"))
     totals = keyed.groupBy("by", "suffix").agg(F.count("*").alias("n")).withColumnsRenamed({"by": "b_", "suffix": "s_"})
     joined = few.join(totals, (F.col("by") == F.col("b_")) & F.col("suffix").eqNullSafe(F.col("s_")))
     return joined.select("by", "suffix", F.col("x.line").alias("lines"), F.greatest(F.col("n") - limit, F.lit(0)).alias("more"))
 
 
-def without_names(text: Column, names: Column) -> Column:
-    """A line of a report in which no file has a name: those of ``names``, with and without their suffix, the longest first, then any word that looks like one."""
+def _longest_first(names: Column) -> Column:
+    """Names with and without their suffix, the longest first; very short ones are left out."""
     bare = F.transform(names, lambda n: F.regexp_replace(n, r"\.[^.]+$", ""))
     known = F.filter(F.array_distinct(F.concat(names, bare)), lambda n: F.length(n) > 2)
-    longest = F.transform(F.array_sort(F.transform(known, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n")))), lambda s: s["n"])
+    return F.sort_array(F.transform(known, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))["n"]
+
+
+def _cleaned(text: Column, longest: Column) -> Column:
     clean = F.aggregate(longest, text, lambda t, n: F.replace(t, n, F.lit(NO_NAME)))
     return F.regexp_replace(clean, rf"(?i)[^\s\[\]:|\"'()]+\.({NAME_SUFFIXES})\b", NO_NAME)
 
 
+def without_names(text: Column, names: Column) -> Column:
+    """A line of a report in which no file has a name: those of ``names``, with and without their suffix, the longest first, then any word that looks like one."""
+    return _cleaned(text, _longest_first(names))
+
+
 def report_lines(lines: Column, names: Column, limit: int = SHOWN_LINES) -> Column:
-    """The lines that a report shows, without names, and a last one that counts the others."""
-    shown_ = F.transform(F.slice(lines, 1, limit), lambda t: F.concat(F.lit("- "), without_names(t, names)))
+    """The lines that a report shows, without names, and a last one that counts the others; names are put in order once, not for every line."""
+    shown_ = T.let(_longest_first(names), lambda longest: F.transform(F.slice(lines, 1, limit), lambda t: F.concat(F.lit("- "), _cleaned(t, longest))))
     more = F.size(lines) - limit
     return F.concat(shown_, F.when(more > 0, F.array(F.concat(F.lit("- "), F.format_string(MORE, more)))).otherwise(F.array().cast("array<string>")))
 

@@ -92,7 +92,7 @@ def content_widths(cells: DataFrame, table: str | list[str], col: str, text: str
     keys = [table] if isinstance(table, str) else list(table)
     need, want = cell_measures(F.col(text))
     found = cells.select(*keys, col, need.alias("n"), want.alias("w")).groupBy(*keys, col).agg(F.max("n").alias("n"), F.max("w").alias("w"))
-    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(col).alias("c"), "n", "w"))).alias("x"))
+    whole = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("c"), "n", "w"))).alias("x"))
     shares = content_shares(F.col("x.n"), F.col("x.w"))
     return whole.select(*keys, F.explode(F.arrays_zip(F.col("x.c").alias("c"), shares.alias("p"))).alias("z")).select(*keys, F.col("z.c").alias(col), F.col("z.p").alias("width"))
 

@@ -99,7 +99,7 @@ def prepared(paragraphs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def judged(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Paragraphs with what their document says: convention, base level, body font, signature and quotation."""
     columns = [c for c in rows.columns if c not in (id_col, "pos")]
-    whole = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("x"))
+    whole = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("x"))
     x = F.col("x")
     votes = F.aggregate(x, F.lit(0), lambda a, r: a + F.when(_flag(r["opener"]), F.when(r["prose"], 1).otherwise(-1)).otherwise(0))
     convention = F.when(votes > 0, "paragrafos").otherwise("titulos")
@@ -177,7 +177,7 @@ def blocks(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     cells = spot.groupBy(id_col, "unit", "r", "c").agg(
         F.min("unit_kind").alias("unit_kind"), F.min_by("class", "pos").alias("class"), F.max("level").alias("level"), F.max("span").alias("span"), F.bool_or("continues").alias("continues"),
         F.max("grid").alias("grid"), F.bool_or("fixed_grid").alias("fixed"), F.max("table_width").alias("table_width"),
-        F.array_sort(F.collect_list(F.struct("pos", "html", "text"))).alias("x"),
+        F.sort_array(F.collect_list(F.struct("pos", "html", "text"))).alias("x"),
     )
     row = Window.partitionBy(id_col, "unit", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("gridcol", F.when(F.col("unit_kind") == "cell", F.coalesce(F.sum("span").over(row), F.lit(0))).cast("int"))
@@ -196,8 +196,8 @@ def blocks(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     cell = F.struct("r", "c", "gridcol", "span", "rowspan", filled.alias("html"))
     units = cells.groupBy(id_col, "unit").agg(
         F.min("unit_kind").alias("unit_kind"), F.min_by("class", F.struct("r", "c")).alias("class"), F.max("grid").alias("grid"), F.bool_or("fixed").alias("fixed"), F.max("table_width").alias("table_width"),
-        F.array_sort(F.collect_list(cell)).alias("cells"), F.collect_set(F.when(F.col("unit_kind") == "cell", col)).alias("cols"),
-        F.array_sort(F.collect_list(F.struct("c", F.coalesce("level", F.lit(0)).alias("level"), F.col("inner").alias("html")))).alias("items"), F.min_by("text", F.struct("r", "c")).alias("text"),
+        F.sort_array(F.collect_list(cell)).alias("cells"), F.collect_set(F.when(F.col("unit_kind") == "cell", col)).alias("cols"),
+        F.sort_array(F.collect_list(F.struct("c", F.coalesce("level", F.lit(0)).alias("level"), F.col("inner").alias("html")))).alias("items"), F.min_by("text", F.struct("r", "c")).alias("text"),
     )
     least = F.lit(float(1 + S.CELL_SLACK))
     widest = lambda field: F.transform(F.sequence(F.lit(0), F.size("grid") - 1), lambda k: F.coalesce(F.array_max(F.transform(F.filter("cols", lambda c: (c["gridcol"] == k) & c["one"]), lambda c: c[field])), least))
@@ -249,20 +249,20 @@ def convert(files: DataFrame, options: Options = Options(), id_col: str = "doc_i
     # parsed once, classed once: what follows reads the two tables, and its plan has neither parser nor ladder in it
     paragraphs = cut(read.paragraphs(files, id_col, name_col, suffix_col, content_col, recognised_col, pasted))
     said = paragraphs.where("kind in ('warning', 'error')").groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "warning", F.struct("pos", "message")))).alias("w"), F.array_sort(F.collect_list(F.when(F.col("kind") == "error", F.struct("pos", "message")))).alias("e")
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "warning", F.struct("pos", "message")))).alias("w"), F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.struct("pos", "message")))).alias("e")
     )
     rows = cut(classed(judged(prepared(paragraphs, id_col), id_col), options))
     quote = F.col("by_quotes") | F.col("by_indent")
-    quotes = rows.groupBy(id_col).agg(F.count_if("by_indent").cast("int").alias("n_indent"), F.count_if("by_quotes").cast("int").alias("n_quotes"), F.array_sort(F.collect_list(F.when(quote, F.struct("pos", T.excerpt(F.col("text")).alias("t"))))).alias("q"))
+    quotes = rows.groupBy(id_col).agg(F.count_if("by_indent").cast("int").alias("n_indent"), F.count_if("by_quotes").cast("int").alias("n_quotes"), F.sort_array(F.collect_list(F.when(quote, F.struct("pos", T.excerpt(F.col("text")).alias("t"))))).alias("q"))
     found = blocks(rows, id_col)
     starts = F.col("class").isin(*BODY_STARTS)
     found = O.split_header(found, id_col, "pos", starts)
     shown = T.block_excerpt(F.col("html"))
     body = F.struct("pos", "html")
     joined = found.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("header") | F.lit(not options.skip_header), body))).alias("b"),
+        F.sort_array(F.collect_list(F.when(~F.col("header") | F.lit(not options.skip_header), body))).alias("b"),
         F.count_if("header").cast("int").alias("n_header"),
-        F.array_sort(F.collect_list(F.when(F.col("header") & (T.strip(F.replace(shown, F.lit(" "), F.lit(" "))) != ""), F.struct("pos", shown.alias("t"))))).alias("h"),
+        F.sort_array(F.collect_list(F.when(F.col("header") & (T.strip(F.replace(shown, F.lit(" "), F.lit(" "))) != ""), F.struct("pos", shown.alias("t"))))).alias("h"),
     )
     named = files.select(F.col(id_col), F.col(name_col).alias("nome_origem"), F.lower(F.col(suffix_col)).alias("suffix_"))
     out = named.join(said, id_col, "left").join(joined, id_col, "left").join(quotes, id_col, "left")

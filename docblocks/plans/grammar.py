@@ -139,11 +139,12 @@ c AS (SELECT l_orderkey, len(lines) AS n, list_transform(list_slice(lines, 1, 10
 SELECT l_orderkey, array_to_string(shown, '|') || CASE WHEN n > 10 THEN '|- e mais ' || (n - 10) || '.' ELSE '' END AS report FROM c""")
 def q_nameless(spark, sf):
     """A report for every order, about files that its lines name with and without their suffix, some names being the beginning of others."""
-    t = table(spark, sf, "lineitem")
-    name = F.concat(F.lit("doc"), F.col("l_partkey").cast("string"))
-    line = F.concat(F.lit("erro em "), name, F.lit(".odt e "), name, F.lit(", veja Nota-"), F.col("l_suppkey").cast("string"), F.lit(".PDF"))
-    rows = t.groupBy("l_orderkey").agg(F.collect_set(F.concat(name, F.lit(".odt"))).alias("names"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", line.alias("line")))).alias("x"))
-    return rows.select("l_orderkey", F.array_join(G.report_lines(F.col("x.line"), F.col("names")), "|").alias("report"))
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    # texts are made of an order's numbers after these have met
+    name = lambda x: F.concat(F.lit("doc"), x["l_partkey"].cast("string"))
+    line = lambda x: F.concat(F.lit("erro em "), name(x), F.lit(".odt e "), name(x), F.lit(", veja Nota-"), x["l_suppkey"].cast("string"), F.lit(".PDF"))
+    names = F.array_distinct(F.transform("x", lambda x: F.concat(name(x), F.lit(".odt"))))
+    return rows.select("l_orderkey", F.array_join(G.report_lines(F.transform("x", line), names), "|").alias("report"))
 
 
 @query("link_targets", r"""SELECT page_id, CASE WHEN bare <> '' AND NOT starts_with(bare, '#') AND (s = '' OR s IN ('http','https','mailto','tel','ftp')) THEN replace(replace(replace(bare, ' ', '%20'), '(', '%28'), ')', '%29') END AS target

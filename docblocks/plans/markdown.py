@@ -98,7 +98,7 @@ def q_indices(spark, sf):
     n = F.size(F.split("line", " "))
     short = F.when(F.col("pos") % 6 == 2, "[assinado eletronicamente]").when(n <= 12, F.col("line"))
     rows = lines(spark, sf).select("doc_id", "pos", (n <= 12).alias("f"), short.alias("s"))
-    t = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "f", "s"))).alias("l"))
+    t = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "f", "s"))).alias("l"))
     return t.select("doc_id", F.array_join(M.signature_indices(F.col("l.f"), F.col("l.s")), ",").alias("at"))
 
 

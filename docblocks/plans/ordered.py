@@ -45,7 +45,7 @@ def q_gaps(spark, sf):
 
 def _arrays(spark, sf, *cols):
     """One row for each document with its lines in order."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", *cols)))
+    listed = F.sort_array(F.collect_list(F.struct("pos", *cols)))
     return lines(spark, sf).groupBy("doc_id").agg(listed.alias("l"))
 
 
@@ -62,7 +62,7 @@ def q_fences(spark, sf):
     """Every line, with fences of three and four marks between them."""
     fence = F.when(F.col("pos") % 2 == 0, "```").otherwise("````")
     t = all_lines(spark, sf).withColumn("line", F.when(F.col("pos") % 5 == 1, fence).otherwise(F.col("line")))
-    t = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    t = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
     t = t.withColumn("code", O.fence_blocks(F.col("l.line")))
     return t.select("doc_id", F.explode(F.arrays_zip(F.col("l.pos").alias("pos"), "code")).alias("z")).select("doc_id", "z.pos", "z.code")
 
@@ -72,7 +72,7 @@ def q_signature(spark, sf):
     n = F.size(F.split("line", " "))
     mark = F.when(F.col("pos") % 6 == 5, "[assinado eletronicamente]").otherwise(F.col("line"))
     rows = lines(spark, sf).select("doc_id", "pos", (n <= 12).alias("flag"), F.when(n <= 12, mark).alias("short"))
-    t = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "flag", "short"))).alias("l"))
+    t = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "flag", "short"))).alias("l"))
     return t.select("doc_id", O.signature_tail(F.col("l.flag"), F.col("l.short")).alias("lines"))
 
 
@@ -81,7 +81,7 @@ t AS (SELECT f.doc_id, count(*) FILTER (pos > last) AS n, any_value(total) AS to
 SELECT doc_id, CAST(CASE WHEN n = total OR n < 2 THEN 0 ELSE n END AS INTEGER) AS lines FROM t""")
 def q_signature_centred(spark, sf):
     rows = lines(spark, sf).select("doc_id", "pos", (F.size(T.words(F.col("line"))) <= 12).alias("flag"))
-    t = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "flag"))).alias("l"))
+    t = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "flag"))).alias("l"))
     none = F.transform("l.flag", lambda _: F.lit(None).cast("string"))
     return t.select("doc_id", O.signature_tail(F.col("l.flag"), none).alias("lines"))
 
@@ -108,7 +108,7 @@ def q_quoted(spark, sf):
     """Every line; some open a quotation, some close one, some are tables."""
     k = F.col("pos") % 5
     text = F.when(k == 1, F.concat(F.lit("“"), "line")).when(k == 3, F.concat("line", F.lit("” (art. 1)."))).when(k == 4, F.lit(None).cast("string")).otherwise(F.col("line"))
-    t = lines(spark, sf).select("doc_id", "pos", text.alias("t")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("l"))
+    t = lines(spark, sf).select("doc_id", "pos", text.alias("t")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("l"))
     t = t.withColumn("at", O.quoted_spans(F.col("l.t")))
     return t.select("doc_id", F.explode(F.transform("at", lambda i: F.get(F.col("l.pos"), i))).alias("pos"))
 
@@ -117,7 +117,7 @@ def q_quoted(spark, sf):
 def q_glue(spark, sf):
     """Before every line the pieces of a number, a blank among them."""
     t = lines(spark, sf).select("doc_id", "pos", F.posexplode(F.array(F.lit("1"), F.lit("."), (F.col("pos") % 30).cast("string"), F.lit("."), F.lit(""), F.col("line"))).alias("k", "x"))
-    t = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "x"))).alias("l"))
+    t = t.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "k", "x"))).alias("l"))
     return t.select("doc_id", F.posexplode(O.glue_numbers(F.col("l.x"))).alias("n", "line"))
 
 

@@ -223,7 +223,7 @@ def q_suffixes(spark, sf):
 
 @query("top_excerpts", LINES + "SELECT doc_id, array_to_string(list_slice(list(pos ORDER BY pos), 1, 5), ',') AS shown, greatest(count(*) - 5, 0) AS more FROM lines GROUP BY doc_id")
 def q_top(spark, sf):
-    t = lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("all"))
+    t = lines(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("all"))
     first, more = G.shown(F.col("all"))
     return t.select("doc_id", F.array_join(first, ",").alias("shown"), more.alias("more"))
 

@@ -12,6 +12,7 @@ from docblocks.functions import entities, images
 from docblocks.functions import tokens as K
 from docblocks.operators import inline as I
 from docblocks.operators import markdown as M
+from docblocks.operators import reports as G
 
 from .conftest import SF
 
@@ -217,6 +218,14 @@ def test_signatures_in_lines(spark, text, out):
     assert column(spark, M.signature_lines, [text]) == [out]
 
 
+def test_names_of_a_report_are_put_in_order_once(spark):
+    """Outside the lines that are shown, not in each of them."""
+    frame = spark.createDataFrame([(["erro em b.odt e ab", "x b.odt.", "nada"], ["b.odt", "ab.odt", "abc.pdf"])], "l array<string>, n array<string>").select(G.report_lines(F.col("l"), F.col("n"), 2).alias("o"))
+    assert frame.first()["o"] == ["- erro em <arquivo> e ab", "- x <arquivo>.", "- e mais 1."]
+    plan = frame._jdf.queryExecution().analyzed().toString()
+    assert plan.index("regexp_replace") < plan.index("slice(")
+
+
 def test_signature_lines_are_computed_once(spark):
     """Every use of the lines, and the filter on an explode, would write their whole expression out again."""
     from docblocks.plans import reference
