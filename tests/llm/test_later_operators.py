@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import pytest
@@ -63,6 +64,24 @@ def test_groups_of_crowded_blocks(spark, block):
     assert len(got) == len(counts)
 
 
+def test_long_words_are_compared_in_pairs():
+    base = "".join(RNG.choices("abcÀ", k=6000))
+    at = 4000
+    alike = [(base, 9), (base[:at] + "x" + base[at + 1 :], 5), (base[:at] + "xx" + base[at + 2 :], 5)]
+    longer = [(base, 9), (base[:at] + "x" + base[at:], 5), (base[:-1] + "xx", 5)]
+    tracemalloc.start()
+    found = [list(variants.near_in_block(alike, True, 6000, 3000, 0)), list(variants.near_in_block(longer, False, 6000, 3000, 0))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [[(alike[0], alike[1]), (alike[1], alike[2])], [(longer[0], longer[1])]]
+    assert peak < 2_000_000
+
+
+def test_blocks_of_words_beyond_a_million_letters_stay_apart(spark):
+    rows = spark.createDataFrame([("abc", 5, True, m, 0, 0) for m in (100_000, 1_000_000, 1_000_001)], variants._ROW)
+    assert variants._keyed(rows).select("key").distinct().count() == 3
+
+
 def test_chains_reach_their_root(spark):
     counts = {"aaaaaa": 3125 * 5, "aaaaab": 3125, "aaaabb": 625, "aaabbb": 125, "aabbbb": 25, "abbbbb": 5, "zzzzzz": 7}
     got = {r["word"]: r["root"] for r in variants.group(spark.createDataFrame(list(counts.items()), "word string, n long")).collect()}
