@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docblocks.operators import nested as N
 from docblocks.operators import styles as Y
+from docblocks.plans import reference
+
+from .conftest import SF
 
 NAMES = ["weight", "size", "key"]
 
@@ -109,6 +112,20 @@ def test_items(spark):
     assert None in labels and {x for x in labels if x and x.startswith("(")} and all((r["label"] is None) == (r["number"] is None) for r in got)
 
 
+def test_lists_whose_outer_list_is_known(spark):
+    nodes = [row for doc in [*range(12), None] for row in tree(random.Random(f"o{doc}"), 12, doc)[0]]
+    over = {(doc, n): parent for doc, n, parent, *_ in nodes}
+    known = [(doc, n, kind, style, over.get((doc, parent))) for doc, n, parent, _, kind, style, _ in nodes if kind == N.LIST] + [(1, 10**6, N.LIST, "s1", 10**7)]
+    frame = spark.createDataFrame(nodes, "doc_id int, node long, parent long, pos long, kind string, style string, start int")
+    found = N.around(spark.createDataFrame(known, "doc_id int, node long, kind string, style string, outer long"), outer="outer").collect()
+    assert sorted(map(str, found)) == sorted([*map(str, N.around(frame).collect()), "Row(doc_id=1, node=1000000, list_style='s1', level=1)"])
+
+
+def test_lines_are_dealt_out_once(spark):
+    plan = reference.queries()["nested_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # the lines by their order, and their lists
+
+
 def test_labels(spark):
     nodes = [(1, 0, None, 0, N.LIST, "s", None), *[(1, i, 0, i, N.ITEM, None, s) for i, s in ((1, None), (2, None), (3, 27), (4, None))]]
     frame = spark.createDataFrame(nodes, "doc_id int, node long, parent long, pos long, kind string, style string, start int")
@@ -116,6 +133,12 @@ def test_labels(spark):
     assert [r["label"] for r in N.items(frame, table).orderBy("pos").collect()] == ["(b)", "(c)", "(aa)", "(ab)"]
 
 
+def test_items_without_a_place_come_last(spark):
+    rows = spark.createDataFrame([(1, 1, N.ITEM, None, "s", 0), (1, None, N.ITEM, None, "s", 0), (1, 2, N.ITEM, None, "s", 0)], "list int, pos int, kind string, start int, list_style string, level int")
+    table = spark.createDataFrame([("s", 1, "1", None, ".", 1)], "list_style string, level int, num_type string, prefix string, suffix string, first int")
+    assert {r["pos"]: r["label"] for r in N.numbered(rows, table, ["list"]).collect()} == {1: "1.", 2: "2.", None: "3."}
+
+
 def test_no_lists(spark):
     none = spark.createDataFrame([], "doc_id int, node long, parent long, pos long, kind string, style string, start int")
     table = spark.createDataFrame([], "list_style string, level int, num_type string, prefix string, suffix string, first int")
