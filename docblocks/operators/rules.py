@@ -95,11 +95,15 @@ def with_convention(paragraphs: DataFrame, id_col: str, depth: Column, prose: Co
     return paragraphs.withColumn("convention", F.when(votes > 0, "paragrafos").otherwise("titulos"))
 
 
-def body_size(runs: DataFrame, id_col: str, size: str, chars: str, pos: str) -> DataFrame:
-    """(id, body_size): the size with the most characters; on ties the one seen first. Unknown sizes and empty runs don't count."""
-    known = runs.where(F.col(size).isNotNull() & (F.col(chars) > 0))
-    weights = known.groupBy(id_col, size).agg(F.sum(chars).alias("w"), F.min(pos).alias("p"))
-    return weights.groupBy(id_col).agg(F.max_by(size, F.struct("w", -F.col("p"))).alias("body_size"))
+def body_size(runs: DataFrame, id_col: str, size: str, chars: str, pos: str, seen: str) -> DataFrame:
+    """(id, body_size): the size with the most characters; on ties the one seen first. Empty runs don't count, unknown sizes and sizes without any ``pos``
+    are never chosen: null if there is no other.
+
+    ``seen`` is a number of its own for each run, in the order of the runs: it decides between sizes that begin at one ``pos``.
+    """
+    weights = runs.where(F.col(chars) > 0).groupBy(id_col, size).agg(F.sum(chars).alias("w"), F.min(pos).alias("p"), F.min(seen).alias("s"))
+    order = F.when(F.col(size).isNotNull() & F.col("p").isNotNull(), F.struct("w", -F.col("p"), -F.col("s")))
+    return weights.groupBy(id_col).agg(F.max_by(size, order).alias("body_size"))
 
 
 def max_unless_unknown(value: Column) -> Column:

@@ -9,7 +9,7 @@ from docblocks.functions import text as T
 from docblocks.operators import lookups as L
 from docblocks.operators import reports as G
 from docblocks.operators import rules as R
-from docblocks.plans.registry import LINES, NUMBERED, lines, numbered, query, table, words_sql
+from docblocks.plans.registry import LINES, NUMBERED, lines, numbered, placed, query, table, words_sql
 from docblocks.plans.text import PROSE
 
 _CLASS_LIST = ", ".join(f"('{c}')" for c in S.CLASSES)
@@ -77,8 +77,9 @@ def q_convention(spark, sf):
 
 @query("body_font", """SELECT l_orderkey, arg_max(size, w * 10000000 - p) AS body_size FROM (SELECT l_orderkey, CAST(l_quantity % 5 + 8 AS INTEGER) AS size, CAST(sum(l_partkey % 7) AS BIGINT) AS w, min(l_linenumber * 100000 + l_partkey) AS p FROM lineitem WHERE l_partkey % 7 > 0 AND l_suppkey % 9 > 0 GROUP BY 1, 2) x GROUP BY l_orderkey""")
 def q_body_font(spark, sf):
-    t = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_suppkey") % 9 > 0, (F.col("l_quantity") % 5 + 8).cast("int")).alias("size"), (F.col("l_partkey") % 7).alias("chars"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"))
-    return R.body_size(t, "l_orderkey", "size", "chars", "pos")
+    t = placed(spark, sf, "lineitem").where("l_suppkey % 9 > 0")
+    t = t.select("l_orderkey", F.rint(F.col("l_quantity") % 5 + 8).cast("int").alias("size"), (F.col("l_partkey") % 7).alias("chars"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), "seen")
+    return R.body_size(t, "l_orderkey", "size", "chars", "pos", "seen")
 
 
 @query("max_unless_unknown", "SELECT l_orderkey, CASE WHEN count(*) = count(s) THEN max(s) END AS size FROM (SELECT l_orderkey, CASE WHEN l_suppkey % 9 > 0 THEN l_quantity END AS s FROM lineitem) x GROUP BY l_orderkey")
